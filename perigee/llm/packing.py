@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,8 @@ from pyspark.sql import types as T
 from perigee.llm.common import materialize
 
 #: Entries of the cache from words to ids; it is emptied when full, so a worker's memory stays bounded.
-CACHE = 300_000
+CACHE = 500_000
+LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
 class WordEncoder:
@@ -40,18 +42,35 @@ class WordEncoder:
         self.tokenizer, self.cache = Tokenizer.from_file(path), {}
 
     def blobs(self, texts: list[bytes | None]) -> list[bytes]:
-        out, cache = [], self.cache
-        words = [(t or b"").split() for t in texts]
-        for one in words:
-            new = list({w for w in one if w not in cache})
-            if len(cache) + len(new) > CACHE:
-                cache.clear()
-                new = list(set(one))
-            if new:
-                coded = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-                cache.update((w, np.array(c.ids, dtype="<u4").tobytes()) for w, c in zip(new, coded, strict=True))
-            out.append(b"".join([cache[w] for w in one]))
-        return out
+        # The tokenizer lower-cases, so case may go first; a special token's string counts in its own case only.
+        words = [(t if b"<|" in t else t.translate(LOWER)).split() if t else [] for t in texts]
+        every = set(chain.from_iterable(words))
+        new = every.difference(self.cache)
+        if len(self.cache) + len(new) > CACHE:
+            self.cache.clear()
+            new = every
+        self._learn(new)
+        get = self.cache.__getitem__
+        return [b"".join(map(get, one)) for one in words]
+
+    def _learn(self, new: set[bytes]) -> None:
+        """Encodes words that the cache lacks; one comma or stop after a letter is a piece of its own, so only the stem counts."""
+        cache = self.cache
+        marked = [w for w in new if len(w) > 1 and w[-1] in b",." and 97 <= w[-2] <= 122]
+        stems = {w[:-1] for w in marked}
+        plain = list((stems | new.difference(marked)).difference(cache))
+        plain += [m for m in (b",", b".") if m not in cache and m not in plain[-2:]]
+        for at in range(0, len(plain), 20_000):
+            some = plain[at : at + 20_000]
+            coded = self.tokenizer.encode([w.decode("utf-8", "replace") for w in some], is_pretokenized=True, add_special_tokens=False)
+            ids = np.array(coded.ids, dtype="<u4").tobytes()
+            ends = np.cumsum(np.bincount(np.array(coded.word_ids, dtype=np.int64), minlength=len(some))) * 4
+            start = 0
+            for w, end in zip(some, ends.tolist(), strict=True):
+                cache[w] = ids[start:end]
+                start = end
+        for w in marked:
+            cache[w] = cache[w[:-1]] + cache[w[-1:]]
 
 
 def _binary(column: pa.Array) -> list[bytes | None]:
