@@ -8,10 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perigee.llm import packing, quality, simhash
+from perigee.llm import lines, packing, quality, simhash
 from perigee.llm.common import held_out, table
 
 
+def op1_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dropped_lines(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "line_no", F.col("kept_id").alias("kept_doc_id"), "kept_line_no", "edits")
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.simhash_groups(table(spark, sf_dir, "documents"))
     return groups.select(F.col("id").alias("doc_id"), simhash.hex_fingerprint("fp").alias("fingerprint"), "component_id")
@@ -29,6 +33,29 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (held_out(F.col("doc_id"), 5) == 0).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_simhash": op2_simhash, "op6_packing": op6_packing, "op8_quality": op8_quality}
-
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_lines": op1_lines, "op2_simhash": op2_simhash, "op6_packing": op6_packing, "op8_quality": op8_quality}
+
+OP1_SQL = r"""
+WITH lines AS (
+  SELECT doc_id AS d, CAST(unnest(range(len(string_split(text, chr(10))))) AS INTEGER) AS n,
+    list_filter(string_split(translate(unnest(string_split(text, chr(10))), chr(9) || chr(13) || chr(11) || chr(12), '    '), ' '), lambda x: x <> '') AS w
+  FROM documents
+), places AS (SELECT d, n, w FROM lines WHERE len(w) > 0),
+firsts AS (SELECT w, min({'d': d, 'n': n}) AS f FROM places GROUP BY w),
+variants AS (
+  SELECT w, f, len(w) AS len, 0 AS hole, array_to_string(w, ' ') AS v FROM firsts
+  UNION ALL
+  SELECT w, f, len(w), i, array_to_string(list_concat(w[1:i - 1], w[i + 1:len(w)]), ' ') FROM (SELECT w, f, unnest(range(1, len(w) + 1)) AS i FROM firsts)
+), near AS (
+  SELECT a.w, min(b.f) AS f FROM variants a JOIN variants b
+  ON a.v = b.v AND b.f < a.f AND greatest(a.len, b.len) >= 5
+    AND (a.hole = b.hole AND a.hole > 0 AND a.len = b.len OR a.hole = 0 AND b.hole > 0 OR a.hole > 0 AND b.hole = 0)
+  GROUP BY a.w
+)
+SELECT d AS doc_id, n AS line_no, coalesce(near.f, firsts.f).d AS kept_doc_id, coalesce(near.f, firsts.f).n AS kept_line_no,
+  CAST(near.f IS NOT NULL AS INTEGER) AS edits
+FROM places JOIN firsts USING (w) LEFT JOIN near USING (w)
+WHERE near.f IS NOT NULL OR {'d': d, 'n': n} > firsts.f
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_lines": OP1_SQL}
