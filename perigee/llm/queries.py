@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perigee.llm import lines, packing, quality, simhash
+from perigee.llm import decontaminate, lines, packing, quality, simhash
 from perigee.llm.common import held_out, table
 
 
@@ -33,7 +33,12 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (held_out(F.col("doc_id"), 5) == 0).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_lines": op1_lines, "op2_simhash": op2_simhash, "op6_packing": op6_packing, "op8_quality": op8_quality}
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), "item_id", "start", "agreeing", "window")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_lines": op1_lines, "op2_simhash": op2_simhash, "op6_packing": op6_packing, "op8_quality": op8_quality, "op10_decontamination": op10_decontamination}
 
 OP1_SQL = r"""
 WITH lines AS (
@@ -58,4 +63,23 @@ FROM places JOIN firsts USING (w) LEFT JOIN near USING (w)
 WHERE near.f IS NOT NULL OR {'d': d, 'n': n} > firsts.f
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_lines": OP1_SQL}
+OP10_SQL = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(string_split(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM documents
+), b AS (
+  SELECT item_id, list_filter(string_split(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g'), ' '), lambda x: x <> '') AS v FROM benchmark
+), ds AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, w FROM d),
+bs AS (SELECT item_id, unnest(range(1, len(v) + 1)) AS j, v FROM b),
+seeds AS (
+  SELECT DISTINCT doc_id, item_id, i - j AS start FROM ds JOIN bs ON w[i] = v[j] AND w[i + 1] = v[j + 1] AND w[i + 3] = v[j + 3] AND w[i + 6] = v[j + 6] AND w[i + 7] = v[j + 7]
+), laid AS (
+  SELECT doc_id, item_id, start, least(len(v), 13) AS win, list_transform(range(1, len(v) + 1), lambda k: CAST(k + start >= 1 AND coalesce(w[k + start] = v[k], false) AS INTEGER)) AS a
+  FROM seeds JOIN d USING (doc_id) JOIN b USING (item_id)
+), best AS (
+  SELECT doc_id, item_id, start, win, CAST(list_max(list_transform(range(1, len(a) - win + 2), lambda k: list_sum(a[k:k + win - 1]))) AS INTEGER) AS n FROM laid
+)
+SELECT doc_id, item_id, CAST(arg_min(start, {'a': -n, 'b': start}) AS INTEGER) AS start, max(n) AS agreeing, CAST(max(win) AS INTEGER) AS "window"
+FROM best WHERE n >= ceil(win * 0.8) GROUP BY doc_id, item_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_lines": OP1_SQL, "op10_decontamination": OP10_SQL}
