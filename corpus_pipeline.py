@@ -1,15 +1,61 @@
-"""The corpus pipeline: filled in stage by stage."""
+"""The corpus pipeline: documents in, packed training sequences out.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; all but the last return the
+columns of documents. Between stages the rows are written to the folder that the cluster names.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from perigee.llm import decontaminate, lines, packing, quality, simhash
+from perigee.llm.common import materialize, table
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Trains on the labels of docs and keeps the documents that score at least 0.3."""
+    return quality.keep_good(docs, quality.train(docs, table(spark, sf_dir, "labels")), 0.3)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes repeated and nearly repeated lines out of the texts; every document stays, n_chars follows its text."""
+    return lines.dedup_lines(docs, count_col="n_chars")
+
+
+def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, that with the smallest id."""
+    return simhash.keep_one(docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which a benchmark item is found go."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the packed sequences."""
+    pieces = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select(F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("line dedup", line_dedup),
+    ("simhash near-dedup", simhash_dedup),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("packing", sequence_packing),
+]
 
-STAGES: list = []
+#: SQL can express neither the trained classifier nor the tokenizer; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = materialize(docs)
     return docs

@@ -101,5 +101,5 @@ def overlaps(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col
 
 def clean(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
     """docs without the documents in which an item is found; rows with a null id are judged as one document."""
-    found = overlaps(docs, bench, id_col, text_col, **more).select(F.col("id").alias("_found")).distinct()
-    return docs.join(found, docs[id_col].eqNullSafe(F.col("_found")), "left_anti")
+    found = overlaps(docs, bench, id_col, text_col, **more).select(F.col("id").alias("__perigee_found")).distinct()
+    return docs.join(found, docs[id_col].eqNullSafe(F.col("__perigee_found")), "left_anti")

@@ -141,14 +141,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A text all of whose lines are dropped becomes empty; its row stays.
     """
-    gone = dropped_lines(docs, id_col, text_col).groupBy(F.col("id").alias("_gone_id")).agg(F.collect_list(F.struct("line_no", "line_hash")).alias("_gone"))
-    both = docs.join(gone, docs[id_col].eqNullSafe(F.col("_gone_id")), "left").withColumn("_lines", F.split(docs[text_col].cast("string"), "\n"))
+    gone = dropped_lines(docs, id_col, text_col).groupBy(F.col("id").alias("__perigee_id")).agg(F.collect_list(F.struct("line_no", "line_hash")).alias("__perigee_gone"))
+    both = docs.join(gone, docs[id_col].eqNullSafe(F.col("__perigee_id")), "left").withColumn("__perigee_lines", F.split(docs[text_col].cast("string"), "\n"))
     # Another row with the same id may have another line there.
-    own = F.filter("_gone", lambda g: F.xxhash64(words_of(F.get("_lines", g["line_no"]))) == g["line_hash"])
-    left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.transform(own, lambda g: g["line_no"]))
-    left = F.transform(left, lambda n: F.get("_lines", n))
-    text = F.when(F.col("_gone").isNull(), docs[text_col]).otherwise(F.array_join(left, "\n"))
+    own = F.filter("__perigee_gone", lambda g: F.xxhash64(words_of(F.get("__perigee_lines", g["line_no"]))) == g["line_hash"])
+    left = F.array_except(F.sequence(F.lit(0), F.size("__perigee_lines") - 1), F.transform(own, lambda g: g["line_no"]))
+    left = F.transform(left, lambda n: F.get("__perigee_lines", n))
+    text = F.when(F.col("__perigee_gone").isNull(), docs[text_col]).otherwise(F.array_join(left, "\n"))
     new = {text_col: text}
     if count_col:
-        new[count_col] = F.when(F.col("_gone").isNull(), docs[count_col]).otherwise(F.length(text))
+        new[count_col] = F.when(F.col("__perigee_gone").isNull(), docs[count_col]).otherwise(F.length(text))
     return both.select(*(new[c].alias(c) if c in new else docs[c] for c in docs.columns))

@@ -151,3 +151,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], scores], names=[f.name for f in schema])
 
     return docs.select(F.col(text_col).cast("string").alias("_text"), *names).mapInArrow(run, schema)
+
+
+def keep_good(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows of docs whose texts score at least `threshold`, as they are."""
+    rows = docs.select(F.col(text_col).alias("_text"), F.struct("*").alias("row"))
+    return score(rows, model, text_col="_text", keep=("row",)).where(F.col("_score") >= threshold).select("row.*")

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,16 +49,17 @@ def fingerprint(text: bytes | None, size: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
-    """(id, fp): fp is the fingerprint as a signed long."""
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("fp", T.LongType())])
+    """(id, sum, fp): fp is the fingerprint as a signed long, sum a hash of the text, which tells rows of one id apart."""
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("sum", T.LongType()), T.StructField("fp", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary())
+            texts = batch.column(2).cast(pa.binary())
             fp = np.array([fingerprint(t.as_py(), size) for t in texts], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.int64())], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(fp, pa.int64())], names=["id", "sum", "fp"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("sum"), text.alias("text")).mapInArrow(run, schema)
 
 
 def _quarters(fp: np.ndarray) -> np.ndarray:
@@ -142,26 +143,28 @@ def links(distinct: DataFrame, radius: int = 3, tile: int = TILE) -> DataFrame:
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, size: int = 3) -> DataFrame:
-    """(id, fp, component_id): component_id is the smallest id that links reach."""
+    """(id, sum, fp, root, component_id): root is a fingerprint that names the component, component_id the
+    smallest id that links reach."""
     fps = materialize(fingerprints(docs, id_col, text_col, size))
     distinct = materialize(fps.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("n")))
     roots = connected_components(links(distinct, radius))
-    named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"), (F.col("root").isNotNull() | (F.col("n") > 1)).alias("shared"))
-    named = named.where("shared")
+    named = distinct.join(roots, distinct["fp"] == roots["node"], "left").where("root is not null or n > 1").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     names = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = named.join(names, "root").select(F.col("fp").alias("of"), "component_id")
-    return fps.join(named, fps["fp"] == named["of"], "left").select("id", "fp", F.coalesce("component_id", "id").alias("component_id"))
+    named = named.join(names, "root").select(F.col("fp").alias("of"), "root", "component_id")
+    return fps.join(named, fps["fp"] == named["of"], "left").select("id", "sum", "fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "id").alias("component_id"))
 
 
-def hex_fingerprint(column: str):
+def hex_fingerprint(column: str) -> Column:
     return F.lpad(F.lower(F.hex(column)), 16, "0")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3) -> DataFrame:
-    """The rows of docs that lead their group: the smallest id stays. Rows without an id stay; of rows that
-    share the leading id and whose texts share the group, one stays."""
+    """One row of each group, as it is: that with the smallest id (null ids last; of rows that share it, the one
+    whose text hashes lowest; of equal rows, one)."""
     groups = simhash_groups(docs, id_col, text_col, radius)
-    leads = groups.where(F.col("id") == F.col("component_id")).select(F.col("id").alias("lead")).distinct()
-    named = docs.where(F.col(id_col).isNotNull())
-    kept = named.join(leads, named[id_col] == leads["lead"], "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+    key = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    leads = groups.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "sum")).alias("lead"))
+    leads = leads.select(key(F.col("lead.id")).alias("__perigee_lead"), F.col("lead.sum").alias("__perigee_lead_sum"))
+    keyed = docs.withColumns({"__perigee_id": key(docs[id_col]), "__perigee_sum": F.xxhash64(docs[text_col].cast("string"))})
+    kept = keyed.join(leads, (F.col("__perigee_id") == F.col("__perigee_lead")) & (F.col("__perigee_sum") == F.col("__perigee_lead_sum")), "left_semi")
+    return kept.dropDuplicates(["__perigee_id", "__perigee_sum"]).drop("__perigee_id", "__perigee_sum")

@@ -71,6 +71,8 @@ def test_components_of_a_chain_and_a_star(spark):
 
 
 def test_keep_one_and_empty(spark):
-    docs = spark.createDataFrame([(1, "a b c d"), (2, "A b c d"), (3, "other words here now"), (None, "a b c d"), (3, "other words here now")], "doc_id long, text string")
-    assert sorted(str(r.doc_id) for r in simhash.keep_one(docs).collect()) == ["1", "3", "None"]
+    docs = spark.createDataFrame([(1, "a b c d"), (2, "A b c d"), (3, "other words here now"), (None, "a b c d"), (3, "other words here now"), (3, "quite another text with the same id"), (None, "z"), (None, "z"), (None, "y")], "doc_id long, text string").withColumn("sum", F.lit(1))
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted((str(r.doc_id), r.text) for r in kept.collect()) == [("1", "a b c d"), ("3", "other words here now"), ("3", "quite another text with the same id"), ("None", "y"), ("None", "z")]
     assert simhash.simhash_groups(docs.limit(0)).count() == 0
