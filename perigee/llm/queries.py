@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perigee.llm import decontaminate, lines, packing, quality, simhash
+from perigee.llm import decontaminate, embeddings, lines, packing, quality, simhash
 from perigee.llm.common import held_out, table
 
 
@@ -26,6 +26,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select(F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.embedding_groups(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.train(docs, table(spark, sf_dir, "labels"))
@@ -38,7 +42,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "item_id", "start", "agreeing", "window")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_lines": op1_lines, "op2_simhash": op2_simhash, "op6_packing": op6_packing, "op8_quality": op8_quality, "op10_decontamination": op10_decontamination}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_lines": op1_lines, "op2_simhash": op2_simhash, "op6_packing": op6_packing, "op7_embeddings": op7_embeddings, "op8_quality": op8_quality, "op10_decontamination": op10_decontamination}
 
 OP1_SQL = r"""
 WITH lines AS (
@@ -82,4 +86,21 @@ SELECT doc_id, item_id, CAST(arg_min(start, {'a': -n, 'b': start}) AS INTEGER) A
 FROM best WHERE n >= ceil(win * 0.8) GROUP BY doc_id, item_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_lines": OP1_SQL, "op10_decontamination": OP10_SQL}
+OP7_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), u AS (
+  SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM v
+  WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+), pairs AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_inner_product(a.e, b.e) / (a.norm * b.norm) >= 0.9
+), reach(x, y) AS (
+  SELECT x, y FROM pairs UNION SELECT r.x, p.y FROM reach r JOIN pairs p ON r.y = p.x
+), names AS (SELECT x, least(x, min(y)) AS name FROM reach GROUP BY x),
+degrees AS (SELECT x, count(*) AS n FROM pairs GROUP BY x)
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(name, vec_id) AS component_id, vec_id = coalesce(name, vec_id) AS kept
+FROM v LEFT JOIN names ON names.x = vec_id LEFT JOIN degrees ON degrees.x = vec_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op7_embeddings": OP7_SQL, "op1_lines": OP1_SQL, "op10_decontamination": OP10_SQL}
