@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perigee.llm import decontaminate, embeddings, lines, lm, packing, quality, simhash, urls
+from perigee.llm import decontaminate, embeddings, langid, lines, lm, packing, quality, simhash, urls
 from perigee.llm.common import held_out, table
 
 
@@ -28,6 +28,10 @@ def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged(table(spark, sf_dir, "pages"), RULES).withColumnRenamed("id", "page_id").drop("known")
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents")).withColumnRenamed("id", "page_id")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return pieces.select(F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -53,7 +57,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "item_id", "start", "agreeing", "window")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_lines": op1_lines, "op2_simhash": op2_simhash, "op4_urls": op4_urls, "op6_packing": op6_packing, "op7_embeddings": op7_embeddings, "op8_quality": op8_quality, "op9_lm_score": op9_lm_score, "op10_decontamination": op10_decontamination}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_lines": op1_lines, "op2_simhash": op2_simhash, "op4_urls": op4_urls, "op5_language_id": op5_language_id, "op6_packing": op6_packing, "op7_embeddings": op7_embeddings, "op8_quality": op8_quality, "op9_lm_score": op9_lm_score, "op10_decontamination": op10_decontamination}
 
 OP1_SQL = r"""
 WITH lines AS (
