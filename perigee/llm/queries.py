@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perigee.llm import decontaminate, embeddings, langid, lines, lm, packing, quality, simhash, urls
+from perigee.llm import decontaminate, embeddings, langid, lines, lm, packing, quality, simhash, token_counts, urls
 from perigee.llm.common import held_out, table
 
 
@@ -21,6 +21,11 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select(F.col("id").alias("doc_id"), simhash.hex_fingerprint("fp").alias("fingerprint"), "component_id")
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, token_counts.redactions)
+    return counted.drop("text_after").withColumnRenamed("id", "doc_id")
+
+
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
 
@@ -57,7 +62,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "item_id", "start", "agreeing", "window")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_lines": op1_lines, "op2_simhash": op2_simhash, "op4_urls": op4_urls, "op5_language_id": op5_language_id, "op6_packing": op6_packing, "op7_embeddings": op7_embeddings, "op8_quality": op8_quality, "op9_lm_score": op9_lm_score, "op10_decontamination": op10_decontamination}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_lines": op1_lines, "op2_simhash": op2_simhash, "op3_token_counts": op3_token_counts, "op4_urls": op4_urls, "op5_language_id": op5_language_id, "op6_packing": op6_packing, "op7_embeddings": op7_embeddings, "op8_quality": op8_quality, "op9_lm_score": op9_lm_score, "op10_decontamination": op10_decontamination}
 
 OP1_SQL = r"""
 WITH lines AS (
