@@ -30,60 +30,55 @@ from perigee.llm.common import materialize
 
 MIN_WORDS = 5
 #: Words that are hashed together in one step of a running exclusive-or.
-BLOCK = 128
+BLOCK = 1 << 7
 
 
-def words_of(line: Column) -> Column:
-    return F.array_remove(F.split(F.translate(line, "\t\r\u000b\u000c", "    "), " "), "")
+def normal(line: Column) -> Column:
+    """The line's words joined by one blank. Most lines are so already, which plain byte searches tell."""
+    odd = F.lit(False)
+    for mark in ("  ", "\t", "\r", "\u000b", "\u000c"):
+        odd = odd | F.contains(line, F.lit(mark))
+    words = F.array_remove(F.split(F.translate(line, "\t\r\u000b\u000c", "    "), " "), "")
+    return F.when(odd | F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" ")), F.array_join(words, " ")).otherwise(line)
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     lines = docs.select(F.col(id_col).alias("d"), F.posexplode(F.split(F.col(text_col).cast("string"), "\n")).alias("n", "line"))
-    lines = lines.select("d", "n", words_of(F.col("line")).alias("w"))
-    lines = lines.select("d", "n", "w", F.size("w").alias("len")).where("len > 0")
-    return lines.withColumn("i1", F.xxhash64("w")).withColumn("i2", F.xxhash64(F.lit(7), "w"))
+    lines = lines.select("d", "n", normal(F.col("line")).alias("s")).where("s <> ''")
+    return lines.select("d", "n", "s", F.xxhash64("s").alias("i1"), F.xxhash64(F.lit(7), "s").alias("i2"))
 
 
-def _halves() -> Column:
+def _halves(s: Column, size: Column) -> list[Column]:
     """Hashes that a line shares with every line within one edit: two overlapping classes of lengths, and in each
     the first and the last half of the words that every line of the class has."""
     found = []
     for turn in (0, 4):
-        least = F.greatest(F.lit(0), F.floor((F.col("len") + turn) / 8) * 8 - turn).cast("int")
-        half = F.greatest(F.lit(MIN_WORDS - 1), least)
-        half = F.floor(half / 2).cast("int")
-        found += [F.xxhash64(F.lit(turn), least, F.slice("w", 1, half)), F.xxhash64(F.lit(turn + 1), least, F.slice("w", F.col("len") - half + 1, half))]
-    return F.array(*found)
-
-
-def _xor(array: Column) -> Column:
-    return F.aggregate(array, F.lit(0).cast("long"), lambda a, b: a.bitwiseXOR(b))
+        least = F.greatest(F.lit(0), (F.shiftright(size + turn, 3) * 8 - turn))
+        half = F.shiftright(F.greatest(F.lit(MIN_WORDS - 1), least), 1)
+        found += [F.xxhash64(F.lit(turn), least, F.call_function("substring_index", s, F.lit(" "), half)), F.xxhash64(F.lit(turn + 1), least, F.call_function("substring_index", s, F.lit(" "), -half))]
+    return found
 
 
 def _variants(near: DataFrame) -> DataFrame:
     """A row for each variant: key, role (y: compares with any; x: a word was left out and the gap closed)."""
-    pos = F.transform("w", lambda w, i: F.xxhash64(w, i))
-    back = F.transform("w", lambda w, i: F.xxhash64(w, i - 1))
-    rows = near.select("i1", "i2", "first", "len", pos.alias("h"), back.alias("b")).withColumn("all", _xor(F.col("h")))
-    # moved[i]: exclusive-or, over the words after i, of both hashes; made block by block so that arrays stay short.
-    rows = rows.withColumn("m", F.zip_with("h", "b", lambda a, b: a.bitwiseXOR(b)))
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.col("len") - 1) / BLOCK).cast("int")), lambda k: F.slice("m", k * BLOCK + 1, F.lit(BLOCK)))
-    rows = rows.withColumn("blocks", blocks).withColumn("sums", F.transform("blocks", _xor))
-    run = lambda part, start: F.aggregate(part, F.array(start), lambda acc, x: F.array_append(acc, F.element_at(acc, -1).bitwiseXOR(x)))
-    before = F.aggregate(F.col("sums"), F.array(F.lit(0).cast("long")), lambda acc, x: F.array_append(acc, F.element_at(acc, -1).bitwiseXOR(x)))
-    rows = rows.withColumn("before", before).withColumn("total", F.element_at("before", -1))
-    # upto[i]: of the words up to and with i.
-    upto = F.flatten(F.zip_with("blocks", F.slice("before", 1, F.size("blocks")), lambda part, start: F.slice(run(part, start), F.lit(2), F.size(part))))
-    rows = rows.withColumn("upto", upto)
-    key = F.zip_with(
-        "h",
-        "upto",
-        lambda h, u: F.struct(F.col("all").bitwiseXOR(h).alias("hole"), F.col("all").bitwiseXOR(h).bitwiseXOR(F.col("total")).bitwiseXOR(u).alias("closed")),
-    )
-    whole = F.array(F.struct(F.xxhash64(F.lit("d"), "len", "all").alias("key"), F.lit("y").alias("role")))
-    holes = F.transform(key, lambda k, i: F.struct(F.xxhash64(F.lit("s"), F.col("len"), i, k["hole"]).alias("key"), F.lit("y").alias("role")))
-    closed = F.transform(key, lambda k: F.struct(F.xxhash64(F.lit("d"), F.col("len") - 1, k["closed"]).alias("key"), F.lit("x").alias("role")))
-    return rows.select("i1", "i2", "first", F.explode(F.array_distinct(F.concat(whole, holes, closed))).alias("v")).select("i1", "i2", "first", "v.key", "v.role")
+    rows = near.select("i1", "i2", "first", "len", "w", F.aggregate(F.transform("w", lambda w, i: F.xxhash64(w, i)), F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x)).alias("all"))
+    # upto[i]: exclusive-or, over the words up to and with i, of a word's hashes at its place and one before it; made
+    # block by block, so that the arrays that grow stay short.
+    moved = F.transform("w", lambda w, i: F.xxhash64(w, i).bitwiseXOR(F.xxhash64(w, i - 1)))
+    rows = rows.withColumn("m", moved)
+    blocks = F.transform(F.sequence(F.lit(0), F.shiftright(F.col("len") - 1, 7)), lambda k: F.slice("m", k * BLOCK + 1, F.lit(BLOCK)))
+    run = lambda part: F.aggregate(part, F.array(F.lit(0).cast("long")), lambda acc, x: F.array_append(acc, F.element_at(acc, -1).bitwiseXOR(x)))
+    rows = rows.withColumn("runs", F.transform(blocks, run)).withColumn("before", run(F.transform("runs", lambda r: F.element_at(r, -1))))
+    holes = rows.select("i1", "i2", "first", "len", "all", "w", "runs", "before", F.explode(F.sequence(F.lit(-1), F.col("len") - 1)).alias("i"))
+    own = F.xxhash64(F.get("w", F.col("i")), "i")
+    block = F.shiftright("i", 7)
+    upto = F.get("before", block).bitwiseXOR(F.get(F.get("runs", block), F.col("i") - block * BLOCK + 1))
+    hole = F.col("all").bitwiseXOR(own)
+    closed = hole.bitwiseXOR(F.element_at("before", -1)).bitwiseXOR(upto)
+    # Place -1 stands for the whole line.
+    keys = F.when(F.col("i") < 0, F.array(F.xxhash64(F.lit("d"), "len", "all"))).otherwise(F.array(F.xxhash64(F.lit("s"), "len", "i", hole), F.xxhash64(F.lit("d"), F.col("len") - 1, closed)))
+    out = holes.select("i1", "i2", "first", F.posexplode(keys).alias("x", "key"))
+    return out.select("i1", "i2", "first", "key", F.when(F.col("x") == 1, "x").otherwise("y").alias("role")).where("key is not null")
 
 
 def _within_one(a: Column, b: Column) -> Column:
@@ -101,19 +96,24 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(id, line_no, kept_id, kept_line_no, edits, line_hash): every occurrence to drop, with the earliest line that drops it
     (line_no counts from 0; edits is 0 for an exact copy, 1 for a near copy, which goes first if it is earlier)."""
     lines = _lines(docs, id_col, text_col)
-    distinct = lines.withColumn("keys", F.when(F.col("len") >= MIN_WORDS - 1, _halves())).groupBy("i1", "i2").agg(F.min(F.struct("d", "n")).alias("first"), F.count("*").alias("n"), F.first("len").alias("len"), F.first("keys").alias("keys"))
-    distinct = materialize(distinct)
+    size = F.octet_length("s") - F.octet_length(F.replace(F.col("s"), F.lit(" "), F.lit(""))) + 1
+    sized = lines.withColumn("len", size)
+    halves = [h.alias(f"h{k}") for k, h in enumerate(_halves(F.col("s"), F.col("len")))]
+    sized = sized.select("d", "n", "i1", "i2", "len", *halves)
+    distinct = materialize(sized.groupBy("i1", "i2").agg(F.min(F.struct("d", "n")).alias("first"), F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("len", "h0", "h1", "h2", "h3"))))
 
-    halves = distinct.where(F.col("keys").isNotNull()).select("i1", "i2", F.explode("keys").alias("key")).repartition("key")
+    halves = distinct.where(F.col("len") >= MIN_WORDS - 1).select("i1", "i2", F.explode(F.array("h0", "h1", "h2", "h3")).alias("key")).where("key is not null")
     shared = halves.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     able = halves.join(shared, "key", "left_semi").select("i1", "i2").distinct()
     able = distinct.join(able, ["i1", "i2"], "left_semi").select(F.col("i1").alias("j1"), F.col("i2").alias("j2"), "first")
     # Their words, from the document that has them first: a document's list is no longer than the document.
     places = able.groupBy(F.col("first.d").alias("at")).agg(F.collect_list(F.struct(F.col("first.n").alias("n"), "j1", "j2")).alias("at_lines"))
     texts = docs.select(F.col(id_col).alias("d"), F.col(text_col).cast("string").alias("text"))
-    near = texts.join(places, F.col("d").eqNullSafe(F.col("at"))).select("d", F.split("text", "\n").alias("lines"), F.explode("at_lines").alias("p"))
-    near = near.select(F.struct("d", F.col("p.n").alias("n")).alias("first"), "p.j1", "p.j2", words_of(F.get("lines", F.col("p.n"))).alias("w"))
-    near = near.where((F.xxhash64("w") == F.col("j1")) & (F.xxhash64(F.lit(7), "w") == F.col("j2")))
+    # The split stands below the explode: one for each document, not one for each of its lines.
+    near = texts.join(places, F.col("d").eqNullSafe(F.col("at"))).select("d", F.split("text", "\n").alias("lines"), "at_lines")
+    near = near.select("d", "lines", F.explode("at_lines").alias("p"))
+    near = near.select(F.struct("d", F.col("p.n").alias("n")).alias("first"), "p.j1", "p.j2", normal(F.get("lines", F.col("p.n"))).alias("s"))
+    near = near.where((F.xxhash64("s") == F.col("j1")) & (F.xxhash64(F.lit(7), "s") == F.col("j2"))).withColumn("w", F.split("s", " "))
     near = materialize(near.select(F.col("j1").alias("i1"), F.col("j2").alias("i2"), "first", "w", F.size("w").alias("len")).dropDuplicates(["i1", "i2"]))
 
     variants = _variants(near).repartition("key")
@@ -144,7 +144,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = dropped_lines(docs, id_col, text_col).groupBy(F.col("id").alias("__perigee_id")).agg(F.collect_list(F.struct("line_no", "line_hash")).alias("__perigee_gone"))
     both = docs.join(gone, docs[id_col].eqNullSafe(F.col("__perigee_id")), "left").withColumn("__perigee_lines", F.split(docs[text_col].cast("string"), "\n"))
     # Another row with the same id may have another line there.
-    own = F.filter("__perigee_gone", lambda g: F.xxhash64(words_of(F.get("__perigee_lines", g["line_no"]))) == g["line_hash"])
+    own = F.filter("__perigee_gone", lambda g: F.xxhash64(normal(F.get("__perigee_lines", g["line_no"]))) == g["line_hash"])
     left = F.array_except(F.sequence(F.lit(0), F.size("__perigee_lines") - 1), F.transform(own, lambda g: g["line_no"]))
     left = F.transform(left, lambda n: F.get("__perigee_lines", n))
     text = F.when(F.col("__perigee_gone").isNull(), docs[text_col]).otherwise(F.array_join(left, "\n"))
