@@ -32,25 +32,23 @@ BLOCK_STARTS = 1_000_000
 
 
 def tokens(text: Column) -> Column:
-    return F.array_remove(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), " "), "")
+    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
 
 
-def _keyed(h: Column, k: int, mask: tuple[int, ...]):
-    return lambda i: F.struct(i.alias("at"), F.xxhash64(F.lit(k), *(F.get(h, i + p) for p in mask)).alias("key"))
-
-
-def _hashes(h: Column, size: Column, masks: tuple[tuple[int, ...], ...]) -> Column:
-    """(at, key) for each start (from 0) and mask."""
-    found = []
-    for k, mask in enumerate(masks):
-        starts = F.when(size > mask[-1], F.sequence(F.lit(0), size - 1 - mask[-1])).otherwise(F.array().cast("array<int>"))
-        found.append(F.transform(starts, _keyed(h, k, mask)))
-    return F.concat(*found)
+def _starts(rows: DataFrame, tokens_col: str, masks: tuple[tuple[int, ...], ...], *keep: str) -> DataFrame:
+    """A row for each start and mask: key, at (from 0), the columns `keep` and the tokens. Plain generators and hashes
+    of array elements: all of it is compiled, and the tokens are pointed to, not copied."""
+    size = F.size(tokens_col)
+    least = 1 + min(m[-1] for m in masks)
+    # No filter on the size: it would make the tokens twice.
+    rows = rows.select(*keep, tokens_col, F.explode(F.when(size >= least, F.sequence(F.lit(0), size - least))).alias("at"))
+    keys = [F.when(F.col("at") + m[-1] < size, F.xxhash64(F.lit(k), *(F.get(tokens_col, F.col("at") + p) for p in m))) for k, m in enumerate(masks)]
+    return rows.select(*keep, tokens_col, "at", F.explode(F.array(*keys)).alias("key")).where("key is not null")
 
 
 def _items(bench: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    items = bench.select(F.col(id_col).alias("item_id"), tokens(F.col(text_col).cast("string")).alias("w"))
-    return items.select("item_id", F.transform("w", lambda w: F.xxhash64(w)).alias("item"), F.size("w").alias("len")).where("len > 0").distinct()
+    items = bench.select(F.col(id_col).alias("item_id"), tokens(F.col(text_col).cast("string")).alias("item"))
+    return items.withColumn("len", F.size("item")).where("len > 0").distinct()
 
 
 def _best(agree: Column, size: Column, window: int) -> Column:
@@ -69,30 +67,31 @@ def overlaps(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col
     blocks = max(1, -(-total * len(masks) // block_starts))
 
     rows = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col).cast("string")).alias("w"))
-    rows = rows.select("id", F.transform("w", lambda w: F.xxhash64(w)).alias("h"), F.size("w").alias("n"))
-    starts = rows.select("id", "h", "n", F.explode(_hashes(F.col("h"), F.col("n"), masks)).alias("s"))
-    starts = starts.select("id", "h", "n", F.col("s.at").alias("at"), F.col("s.key").alias("key"))
+    starts = _starts(rows, "w", masks, "id")
 
     def found(block: int) -> DataFrame:
         own = items.where((F.pmod(F.xxhash64("item"), F.lit(blocks)) == block) & (F.col("len") >= span))
-        keys = own.select("item_id", "item", "len", F.explode(_hashes(F.col("item"), F.col("len"), masks)).alias("s"))
-        keys = keys.select(F.col("s.key").alias("key"), F.col("s.at").alias("from"), "item_id", "item", "len")
-        hits = starts.join(F.broadcast(keys), "key").withColumn("start", F.col("at") - F.col("from"))
-        return hits.select("id", "item_id", "item", "len", "start", F.slice("h", F.greatest(F.col("start"), F.lit(0)) + 1, F.col("len")).alias("piece"))
-
-    hits = reduce(DataFrame.unionByName, [found(b) for b in range(blocks)])
+        keys = _starts(own, "item", masks, "item_id", "len").withColumnRenamed("at", "from")
+        hits = starts.join(F.broadcast(keys.drop("item")), "key").withColumn("start", F.col("at") - F.col("from"))
+        return hits.select("id", "item_id", "start", F.slice("w", F.greatest(F.col("start"), F.lit(0)) + 1, F.col("len")).alias("piece"))
+
+    # Distinct placements first, the items' tokens and the comparison after: compared inside the join with the hashes,
+    # every start would have to carry a copy of its document.
+    hits = reduce(DataFrame.unionByName, [found(b) for b in range(blocks)]).distinct()
+    named = items.withColumnRenamed("item_id", "named")
+    hits = hits.join(named, F.col("item_id").eqNullSafe(F.col("named")))
     # The item's places that lie before or behind the document agree with nothing.
-    laid = F.concat(F.array_repeat(F.lit(None).cast("long"), F.greatest(-F.col("start"), F.lit(0))), F.col("piece"))
+    laid = F.concat(F.array_repeat(F.lit(None).cast("string"), F.greatest(-F.col("start"), F.lit(0))), F.col("piece"))
     agree = F.zip_with("item", F.slice(laid, F.lit(1), F.col("len")), lambda a, b: F.coalesce(a == b, F.lit(False)).cast("int"))
     hits = hits.select("id", "item_id", "start", "len", agree.alias("agree"))
     hits = hits.select("id", "item_id", "start", _best(F.col("agree"), F.col("len"), window).alias("agreeing"), F.least("len", F.lit(window)).alias("window"))
 
     # Items too short for a mask: runs of their whole length.
     short = items.where(F.col("len") < span)
-    run = lambda k: rows.select("id", F.explode(F.when(F.col("n") >= k, F.transform(F.sequence(F.lit(0), F.col("n") - k), lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice("h", i + 1, k)).alias("key"))))).alias("s")).select("id", F.col("s.at").alias("start"), F.col("s.key").alias("key"))
     for k in [r["len"] for r in short.select("len").distinct().collect()]:  # fewer than `span`
         own = short.where(F.col("len") == k).select("item_id", F.xxhash64("item").alias("key"))
-        whole = run(k).join(own, "key").select("id", "item_id", "start", F.lit(k).alias("agreeing"), F.lit(k).alias("window"))
+        at = rows.where(F.size("w") >= k).select("id", "w", F.explode(F.sequence(F.lit(0), F.size("w") - k)).alias("start"))
+        whole = at.select("id", "start", F.xxhash64(F.slice("w", F.col("start") + 1, k)).alias("key")).join(own, "key").select("id", "item_id", "start", F.lit(k).alias("agreeing"), F.lit(k).alias("window"))
         hits = hits.unionByName(whole)
     hits = hits.where(F.col("agreeing") >= F.ceil(F.col("window") * F.lit(similarity) - 1e-9))
     best = hits.groupBy("id", "item_id").agg(F.max("agreeing").alias("agreeing"), F.max("window").alias("window"), F.min_by("start", F.struct(-F.col("agreeing"), F.col("start"))).alias("start"))

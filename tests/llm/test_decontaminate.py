@@ -33,10 +33,11 @@ def test_masks_miss_no_two_differences_in_a_window():
 def test_planted_passages_match_brute_force(spark):
     rng = random.Random(3)
     word = lambda: rng.choice("abcdefghijklmnopqrst") * rng.choice((1, 2))
-    items = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate((3, 3, 7, 13, 14, 20, 30, 36))] + [(50, ""), (51, None), (52, "a a a a a a a a a a a a a a")]
+    items = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate((3, 3, 7, 13, 14, 20, 30, 36))] + [(None, " ".join(word() for _ in range(25)))]
+    items += [(50, ""), (51, None), (52, "a a a a a a a a a a a a a a")]
     docs = [(100, None), (101, ""), (102, "a " * 400), (None, items[6][1])]
     for d in range(60):
-        _, item = items[rng.choice((0, 2, 3, 4, 5, 6, 7))]
+        _, item = items[rng.choice((0, 2, 3, 4, 5, 6, 7, 8))]
         v = item.split()
         cut = rng.choice((0, 0, 0, 4, -4))
         v = v[cut:] if cut >= 0 else v[:cut]
