@@ -20,13 +20,46 @@ def kept(d: Dialect, lines: str) -> str:
     return f"SELECT src_file, line_no, raw, {kind} AS kind FROM ({lines}) l WHERE NOT ({tle.content_free(d, 'raw')} AND {size} < {OVERSIZED})"
 
 
+#: Lines of a file that are ordered in one task; a file of any length is many such blocks.
+BLOCK = 65_536
+
+
+def _block(no: str) -> str:
+    return f"CAST(floor({no} / {float(BLOCK)}) AS BIGINT)"
+
+
+def neighbours(d: Dialect, lines: str) -> str:
+    """The kept lines with the kind before them and the kind, number and text behind them, in their file.
+
+    Windows span one block of a file; what a block's first and last line see beyond it comes from a table of the
+    blocks' edges, a row a block.
+    """
+    w = "OVER (PARTITION BY src_file, blk ORDER BY line_no)"
+    inner = f"SELECT *, lag(kind) {w} AS b0, lead(kind) {w} AS a0, lead(line_no) {w} AS n0, lead(raw) {w} AS r0 FROM (SELECT *, {_block('line_no')} AS blk FROM ({kept(d, lines)}) k) x"
+    firsts = f"SELECT src_file, blk, kind, line_no, raw FROM ({inner}) f WHERE b0 IS NULL"
+    lasts = f"SELECT src_file, blk, kind FROM ({inner}) l WHERE a0 IS NULL"
+    f = "OVER (PARTITION BY f.src_file ORDER BY f.blk)"
+    edges = f"SELECT f.src_file AS e_file, f.blk AS e_blk, lead(f.kind) {f} AS a1, lead(f.line_no) {f} AS n1, lead(f.raw) {f} AS r1, lag(l.kind) {f} AS b1 FROM ({firsts}) f JOIN ({lasts}) l ON f.src_file = l.src_file AND f.blk = l.blk"
+    return (
+        "SELECT src_file, line_no, raw, kind, CASE WHEN b0 IS NULL THEN b1 ELSE b0 END AS before, CASE WHEN a0 IS NULL THEN a1 ELSE a0 END AS after, "
+        f"CASE WHEN a0 IS NULL THEN n1 ELSE n0 END AS next_no, CASE WHEN a0 IS NULL THEN r1 ELSE r0 END AS next_raw FROM ({inner}) i JOIN ({edges}) e ON i.src_file = e.e_file AND i.blk = e.e_blk"
+    )
+
+
+def in_file(d: Dialect, rows: str, order: str, name: str) -> str:
+    """`rows` numbered from 0 within their file in the order of the number `order`, block by block like `neighbours`."""
+    blocked = f"SELECT *, {_block(order)} AS blk FROM ({rows}) r"
+    totals = f"SELECT src_file AS t_file, blk AS t_blk, sum(m) OVER (PARTITION BY src_file ORDER BY blk) - m AS ahead FROM (SELECT src_file, blk, count(*) AS m FROM ({blocked}) b GROUP BY src_file, blk) t"
+    own = f"SELECT *, row_number() OVER (PARTITION BY src_file, blk ORDER BY {order}) AS nth FROM ({blocked}) b"
+    joined = f"SELECT *, CAST(ahead + nth - 1 AS BIGINT) AS {name} FROM ({own}) o JOIN ({totals}) t ON o.src_file = t.t_file AND o.blk = t.t_blk"
+    return f"SELECT * {'EXCEPT' if d.spark else 'EXCLUDE'} (blk, t_file, t_blk, ahead, nth) FROM ({joined}) j"
+
+
 def paired(d: Dialect, lines: str) -> str:
     """(src_file, src1, src2, raw1, raw2, rule_id, note): records, and lines without a partner with their diagnosis.
 
     A line 1 pairs with the next kept line if that is a line 2; everything else is an orphan.
     """
-    w = "OVER (PARTITION BY src_file ORDER BY line_no)"
-    seen = f"SELECT *, lag(kind) {w} AS before, lead(kind) {w} AS after, lead(line_no) {w} AS next_no, lead(raw) {w} AS next_raw FROM ({kept(d, lines)}) k"
     record = "kind = '1' AND coalesce(after, '') = '2'"
     rule = f"CASE WHEN {record} THEN NULL WHEN kind IN ('1', '2') THEN 'TLE-PAIR-001' WHEN kind = 'X' THEN 'TLE-PAIR-002' ELSE 'TLE-COL-001' END"
     note = (
@@ -36,7 +69,7 @@ def paired(d: Dialect, lines: str) -> str:
     raw = f"CASE WHEN kind = 'O' THEN substr(raw, 1, {OVERSIZED}) ELSE raw END"
     return (
         f"SELECT src_file, line_no AS src1, CASE WHEN {record} THEN next_no END AS src2, {raw} AS raw1, CASE WHEN {record} THEN next_raw END AS raw2, {rule} AS rule_id, {note} AS note "
-        f"FROM ({seen}) s WHERE NOT (kind = '2' AND coalesce(before, '') = '1')"
+        f"FROM ({neighbours(d, lines)}) s WHERE NOT (kind = '2' AND coalesce(before, '') = '1')"
     )
 
 
@@ -81,7 +114,7 @@ FIXES = ("crlf", "leading-trim", "trailing-ws", "trailing-backslash", "reconstru
 def cleaned(d: Dialect, routed_sql: str) -> str:
     """The fact table: (catalog, epoch_key, epoch_us, elset, line1, line2, src_file, idx). The keys of a record whose
     line 1 can't be read are -1; a blank catalog number alone is -1 with a real epoch."""
-    rows = f"SELECT src_file, src1, line1, line2, row_number() OVER (PARTITION BY src_file ORDER BY src1) - 1 AS idx FROM ({routed_sql}) r WHERE clean"
+    rows = in_file(d, f"SELECT src_file, src1, line1, line2 FROM ({routed_sql}) r WHERE clean", "src1", "idx")
     catalog = tle.decode_catalog(d, tle.catalog_field("line1"))
     return (
         f"SELECT CASE WHEN epoch_day IS NULL THEN -1 ELSE coalesce({catalog}, -1) END AS catalog, coalesce(epoch_key, CAST(-1 AS DOUBLE)) AS epoch_key, epoch_us, "
