@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from perigee.llm.common import materialize
+
 #: Levels of the tree; what lies deeper is one wildcard.
 DEPTH = 4
 
@@ -63,7 +65,7 @@ def templates(pages: DataFrame, max_children: int = 24, share: float = 0.02) ->
     """
     parts = F.slice(F.split(F.substr("path", F.lit(2)), "/"), 1, DEPTH)
     rows = pages.groupBy("host", "path").agg(F.sum("n").alias("n")).withColumn("pieces", F.when(F.col("path") == "", F.array().cast("array<string>")).otherwise(parts))
-    rows = rows.withColumn("template", F.lit("")).withColumn("deep", F.size(F.split("path", "/")) > DEPTH + 1)
+    rows = materialize(rows).withColumn("template", F.lit("")).withColumn("deep", F.size(F.split("path", "/")) > DEPTH + 1)
     for level in range(1, DEPTH + 1):
         piece = F.when(F.size("pieces") >= level, F.element_at("pieces", F.least(F.size("pieces"), F.lit(level))))
         rows = rows.withColumn("piece", F.when(_variable(piece), _shaped(piece)).otherwise(piece))
@@ -74,6 +76,7 @@ def templates(pages: DataFrame, max_children: int = 24, share: float = 0.02) ->
         rows = rows.join(many, (F.col("host") == F.col("h")) & (F.col("template") == F.col("t")) & (F.col("piece") == F.col("p")), "left")
         chosen = F.when(F.col("p").isNotNull(), _shaped(F.col("piece"))).otherwise(F.col("piece"))
         rows = rows.withColumn("template", F.when(F.col("piece").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), chosen))).drop("h", "t", "p", "piece")
+        rows = materialize(rows)
     rows = rows.withColumn("template", F.when(F.col("deep"), F.concat("template", F.lit("/**"))).otherwise(F.col("template")))
     return rows.select("host", "path", "template")
 
@@ -98,9 +101,11 @@ def judged(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_i
         own = labels.select(F.col("id").alias("_of"), F.col("bad").cast("int").alias("bad")).where("bad in (0, 1)").groupBy("_of").agg(F.max("bad").alias("bad"))
         rows = rows.join(own, F.col("id") == F.col("_of"), "left").drop("_of")
     # Everything below works on one row for each address without query and fragment.
+    rows = materialize(rows)
     paths = rows.groupBy("host", "path").agg(F.count("*").alias("n"), F.count("bad").alias("known"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
+    paths = materialize(paths)
     named = templates(paths)
-    tree = paths.join(named, ["host", "path"])
+    tree = materialize(paths.join(named, ["host", "path"]))
 
     total = tree.agg(F.sum("known").alias("known"), F.sum("bad").alias("bad")).first()
     corpus = F.lit((total["bad"] or 0) / ((total["known"] or 0) + 1))
