@@ -23,6 +23,7 @@ while they are counted (a clash would add two words' counts).
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 from itertools import chain
 
@@ -39,9 +40,9 @@ DEPTH = 5
 #: Distinct grams whose log probabilities, 16 bytes each, are broadcast; where there are more, each bucket gets its own.
 BROADCAST = 4_000_000
 #: Bytes of text in a bucket, about.
-BUCKET = 12_000_000
+BUCKET = 6_000_000
 #: Positions that are worked on at a time.
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 END = b"\n"
 GRAM, WORD = 0, 1
 
@@ -274,6 +275,18 @@ def log_probabilities(counts: DataFrame, depth: int) -> DataFrame:
     return pairs.groupBy("pair").applyInPandas(finish, "key long, logp double")
 
 
+_held: dict[str, tuple[pd.Index, np.ndarray]] = {}
+
+
+def _held_once(token: str, small) -> tuple[pd.Index, np.ndarray]:
+    """The broadcast model with an index of its keys, once for a worker's process."""
+    if token not in _held:
+        _held.clear()
+        keys, logp = small.value
+        _held[token] = pd.Index(keys), logp
+    return _held[token]
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod: int = 7, rest: int = 2, depth: int = DEPTH, bucket: int = BUCKET, broadcast: int = BROADCAST) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte) of every row. Rows
     whose crc32(id as text) mod `mod` is `rest` are held out of training. depth: 2 to 6."""
@@ -292,9 +305,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod:
     least = math.log10(tokens + distinct + 1)
     kind = docs.schema[id_col].dataType.simpleString()
 
-    small, spread = None, known.limit(0)
+    small, spread, token = None, known.limit(0), uuid.uuid4().hex
     if model.count() <= broadcast:
-        every = model.sort("key").toArrow()
+        every = model.toArrow()
         small = docs.sparkSession.sparkContext.broadcast((every.column("key").to_numpy(), every.column("logp").to_numpy()))
     else:
         spread = held_grams(texts, depth).join(model, "key").select("bucket", F.lit(GRAM).cast("byte").alias("kind"), "key", F.col("logp").alias("value"))
@@ -302,16 +315,17 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod:
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         outs = []
         of, keys, values = (right.column(c).to_numpy() for c in ("kind", "key", "value"))
-        order = np.argsort(keys, kind="stable")
-        of, keys, values = of[order], keys[order], values[order]
-        gram, logp = (keys[of == GRAM], values[of == GRAM]) if small is None else small.value
-        word, total = keys[of == WORD], values[of == WORD]
+        if small is None:
+            gram, logp = pd.Index(keys[of == GRAM]), values[of == GRAM]
+        else:
+            gram, logp = _held_once(token, small)
+        word, total = pd.Index(keys[of == WORD]), values[of == WORD]
         for blob in left.column("blob"):
             rows, seqs, train = _opened(blob.as_py())
             number, hashes, counts = _words(seqs, train)
             if len(word):
-                at = np.minimum(np.searchsorted(word, hashes), len(word) - 1)
-                counts = np.where(word[at] == hashes, total[at].astype(np.int64), counts)
+                at = word.get_indexer(hashes)
+                counts = np.where(at >= 0, total[at].astype(np.int64), counts)
             share, there = np.log10(counts + 1.0), counts > 0
             n, n_known, base, lm = (np.zeros(len(seqs), dtype=k) for k in (np.int64, np.int64, float, float))
             for k, seq in enumerate(seqs):
@@ -321,7 +335,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod:
                 n_known[k] = there[ids].sum() + (n_train > 0)
                 base[k] = share[ids].sum() + math.log10(n_train + 1) - n[k] * least
             for a, b, found, starts in _chunks(seqs, depth):
-                lm[a:b] += np.add.reduceat(logp[np.searchsorted(gram, found)], starts)
+                lm[a:b] += np.add.reduceat(logp[gram.get_indexer(found)], starts)
             size = np.array([len(s) for s in seqs], dtype=np.int64)
             outs.append(pa.table({"id": rows.column("id"), "held_out": rows.column("held_out"), "n_tokens": n, "n_known": n_known, "train_tokens": np.full(len(n), tokens), "base_score": base, "score": lm, "n_bytes": size, "bits_per_byte": -lm / math.log10(2) / size}))
         return pa.concat_tables(outs)
