@@ -7,10 +7,11 @@ from collections.abc import Callable
 from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from perigee.functions import tle
 from perigee.functions.tle import DUCK, SPARK, Dialect
-from perigee.operators import dedup, records, verify
+from perigee.operators import align, dedup, orbit, records, verify
 from perigee.plans import feed
 from perigee.sources import storage
 
@@ -179,5 +180,22 @@ def _oracle(text: str) -> str:
     return f"WITH {tables} {text}" if tables else text
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _query(name) for name in TEXTS}
+def _base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.sql(_scanned(f"SELECT * FROM {name}", spark, sf_dir))
+
+
+def align_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cleaned records, some changed afterwards, against the lines that they come from."""
+    routed = _base(spark, sf_dir, "routed").where("clean").withColumn("idx", F.col("src1"))
+    changed = routed.withColumn("line2", F.when(F.col("src1") % 13 == 0, F.concat(F.expr("substr(line2, 1, 67)"), F.lit("##"))).otherwise(F.col("line2")))
+    return align.by_provenance(changed.withColumn("src2", F.when(F.col("src1") % 17 == 0, F.col("src2") + 10_000_000).otherwise(F.col("src2"))), _base(spark, sf_dir, "feed_lines"))
+
+
+def orbit_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orbit.track_residuals(_base(spark, sf_dir, "good"))
+
+
+#: These have no SQL text: the first is checked by tests on a small archive, the second by published residuals.
+FRAMES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"align_source": align_source, "orbit_residuals": orbit_residuals}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _query(name) for name in TEXTS} | FRAMES
 ORACLE_SQL: dict[str, str] = {name: _oracle(text(DUCK)) for name, text in TEXTS.items()}
