@@ -186,7 +186,7 @@ def embedding_groups(vecs: DataFrame, id_col: str = "vec_id", vec_col: str = "em
         pdf = pdf.sort_values("me", kind="stable")
         split = None if lo == hi else int((pdf["me"] == lo).sum())
         if split in (0, len(pdf)):
-            return pd.DataFrame({c: [] for c in ("k1", "k2", "links", "o1", "o2")})
+            return pd.DataFrame({c: np.zeros(0, dtype=np.int64) for c in ("k1", "k2", "links", "o1", "o2")})
         k1, k2, weight = (pdf[c].to_numpy() for c in ("k1", "k2", "n"))
         linked, forest = tile_links(np.vstack(pdf["t"].to_list()), np.vstack(pdf["v"].to_list()), weight, split, threshold)
         rows = np.nonzero(linked)[0]
