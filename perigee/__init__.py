@@ -1,0 +1,25 @@
+"""A PySpark engine for archives of two-line element sets, and for training-data corpora."""
+
+from __future__ import annotations
+
+import os
+from pathlib import Path
+
+_HOME = str(Path(__file__).resolve().parent.parent)
+
+
+def on_path() -> None:
+    """Lets Python workers on this machine import the package wherever the driver was started. On a cluster it is
+    installed on the executors or sent with --py-files."""
+    from pyspark import SparkContext
+
+    places = [os.environ]
+    if SparkContext._active_spark_context is not None:
+        places.append(SparkContext._active_spark_context.environment)
+    for env in places:
+        have = env.get("PYTHONPATH", "")
+        if _HOME not in have.split(os.pathsep):
+            env["PYTHONPATH"] = os.pathsep.join(filter(None, [have, _HOME]))
+
+
+on_path()

@@ -9,6 +9,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from perigee import on_path
 from perigee.functions import tle
 from perigee.functions.tle import DUCK, SPARK, Dialect
 from perigee.operators import align, dedup, orbit, records, verify
@@ -181,6 +182,7 @@ def _oracle(text: str) -> str:
 
 
 def _base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    on_path()
     return spark.sql(_scanned(f"SELECT * FROM {name}", spark, sf_dir))
 
 
