@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from perigee import on_path
+
 _roots: dict[str, str] = {}
 
 
@@ -49,6 +51,7 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    on_path()
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
