@@ -13,7 +13,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perigee.functions import registry, tle
+from perigee.functions import diagnostics, registry, tle
 from perigee.functions.tle import SPARK
 from perigee.operators import align, dedup as latest, records, verify as checks
 from perigee.sources import exports, storage, tle_text
@@ -75,17 +75,26 @@ def clean(spark: SparkSession, path: str, reconstruct_checksum: bool = False, ou
 
 def findings_json(findings: DataFrame) -> DataFrame:
     """(src_file, src1, text): a JSON line of sorted keys for each finding."""
-    lines = F.when(F.col("src2").isNull(), F.array("src1")).otherwise(F.array("src1", "src2"))
-    related = F.when(F.col("related_rule").isNull(), F.array()).otherwise(F.array(F.struct(F.lit(None).cast("array<int>").alias("column_range"), F.lit(None).cast("string").alias("expected"), F.lit(None).cast("string").alias("note"), F.lit(None).cast("string").alias("observed"), F.col("related_rule").alias("rule_id"), F.array("src2").alias("source_lines"), F.lit("tier-1").alias("tier_attempted"))))
+    none = F.lit(None)
+    tier2 = F.when(F.col("related_rule") == "TLE-COL-003", "none").otherwise("tier-1")
+    on_first = F.col("rule_id").isNotNull() & (F.col("rule_id") != "TLE-PAIR-003") & ~F.col("orphan")
+    # Which line of the record is at fault: the second only where the first is fine, which the router left in no column.
+    fine1 = F.expr(f"{tle.line_ok(SPARK, tle.core(SPARK, 'raw1'), 1)} AND raw1 RLIKE R'^[\\x00-\\x7F]*\\z'")
+    second = on_first & F.col("related_rule").isNull() & fine1
+    rows = findings.withColumn("d1", diagnostics.diagnosis(F.col("rule_id"), "raw1", 1, F.col("tier"), F.col("src1"))).withColumn("d2", diagnostics.diagnosis(F.col("rule_id"), "raw2", 2, F.col("tier"), F.col("src2")))
+    rows = rows.withColumn("d3", diagnostics.diagnosis(F.col("related_rule"), "raw2", 2, tier2, F.col("src2"))).withColumn("d", F.when(second, F.col("d2")).otherwise(F.col("d1")))
+    mate = F.col("rule_id") == "TLE-PAIR-003"
+    field = lambda raw: F.expr(f"substr({tle.core(SPARK, raw)}, 3, 5)")
     row = F.struct(
-        F.when(F.col("rule_id") == "TLE-PAIR-003", F.array(F.lit(3), F.lit(7))).when(F.col("rule_id") == "TLE-CHK-001", F.array(F.lit(69), F.lit(69))).alias("column_range"),
-        F.when(F.col("rule_id") == "TLE-PAIR-003", F.expr(f"substr({tle.core(SPARK, 'raw2')}, 3, 5)")).alias("expected"),
-        F.concat("src_file", F.lit(".txt")).alias("file"), F.col("norad_id"), F.col("note"),
-        F.when(F.col("rule_id") == "TLE-PAIR-003", F.expr(f"substr({tle.core(SPARK, 'raw1')}, 3, 5)")).alias("observed"),
-        F.lit("quarantined").alias("outcome"), related.alias("related"), F.col("rule_id"), F.lit("1").alias("schema_version"),
-        F.when(F.col("rule_id").startswith("TLE-PAIR-003") | ~F.col("orphan"), lines).otherwise(F.array("src1")).alias("source_lines"), F.col("tier").alias("tier_attempted"),
+        F.when(mate, F.array(F.lit(3), F.lit(7))).when(on_first, F.col("d.column_range")).alias("column_range"),
+        F.when(mate, field("raw2")).when(on_first, F.col("d.expected")).alias("expected"),
+        F.concat("src_file", F.lit(".txt")).alias("file"), F.col("norad_id"),
+        F.when(F.col("orphan"), F.col("note")).when(on_first, F.col("d.note")).otherwise(none).alias("note"),
+        F.when(mate, field("raw1")).when(on_first, F.col("d.observed")).alias("observed"), F.lit("quarantined").alias("outcome"),
+        F.when(F.col("related_rule").isNull(), F.array()).otherwise(F.array("d3")).alias("related"), F.col("rule_id"), F.lit("1").alias("schema_version"),
+        F.when(F.col("orphan"), F.array("src1")).when(mate, F.array("src1", "src2")).otherwise(F.col("d.source_lines")).alias("source_lines"), F.col("tier").alias("tier_attempted"),
     )
-    return findings.select("src_file", "src1", F.concat(F.to_json(row, {"ignoreNullFields": "false"}), F.lit("\n")).alias("text"))
+    return rows.select("src_file", "src1", F.concat(F.to_json(row, {"ignoreNullFields": "false"}), F.lit("\n")).alias("text"))
 
 
 def export_clean(result: CleanResult, out_dir: str, stems: list[str], chunk_records: int = exports.DEFAULT_UNITS) -> None:

@@ -57,7 +57,7 @@ def test_clean_verify_dedup_extract(spark, archive):
     assert (archive / "out/01-cleaned/tle1.00001.cleaned.txt").read_text() == f"{L1}\n{L2}\n" * 2
     assert (archive / "out/01-cleaned/tle3.00001.cleaned.txt").read_text() == ""
     found = [json.loads(x) for x in (archive / "out/03-report/report.00001.jsonl").read_text().splitlines()]
-    assert [(f["file"], f["rule_id"], f["source_lines"]) for f in found] == [("tle1.txt", "TLE-CHK-001", [5, 6]), ("tle2.txt", "TLE-PAIR-002", [1])]
+    assert [(f["file"], f["rule_id"], f["source_lines"]) for f in found] == [("tle1.txt", "TLE-CHK-001", [5]), ("tle2.txt", "TLE-PAIR-002", [1])]
     assert list(found[0]) == sorted(found[0]) and (archive / "out/03-report/broken-noradids.ndjson").read_text() == '{"noradId":5}\n'
     assert json.loads((archive / "out/03-report/report.json").read_text())["summary"]["fix_counts"] == {"crlf": 1, "reconstructed-checksum": 2, "trailing-backslash": 1}
     back = tle_text.read_cleaned(spark, f"{out}/01-cleaned")
