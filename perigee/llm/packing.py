@@ -12,8 +12,8 @@ is, each row being its own document; other columns are ignored. An empty table g
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,53 +24,73 @@ from pyspark.sql import types as T
 from perigee.llm.common import materialize
 
 #: Entries of the cache from words to ids; it is emptied when full, so a worker's memory stays bounded.
-CACHE = 500_000
+CACHE = 350_000
+#: Below U+0180 and in lower case: runs of letters, single digits, runs of other marks.
+PIECES = re.compile("[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u017f]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u017f0-9\xb2\xb3\xb9\xbc-\xbe]+")
+#: Words of those without apostrophes, blanks and control characters.
+PLAIN = re.compile("[!-&(-~\xa1-\xac\xae-\u017f]+")
+#: The letters by which a byte-level vocabulary writes bytes that are no visible character of their own.
+_HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)]
+BYTES = {b: 256 + n for n, b in enumerate(_HIDDEN)}
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
-class WordEncoder:
-    """ids of whole texts by a tokenizer whose pieces never cross white space, as little-endian 32-bit words.
+def width(vocabulary: int) -> int:
+    """Bytes of an id while it is on its way."""
+    return 2 if vocabulary <= 1 << 16 else 4
+
+
+class WordEncoder(dict):
+    """ids of whole texts by a tokenizer whose pieces never cross white space, little-endian, `width` bytes an id.
 
     Splitting at ASCII white space first and keeping each word's ids gives what encoding the text gives, as the
-    tokenizer drops white space, normalises characters one by one and never joins across it.
+    tokenizer drops white space, normalises characters one by one and never joins across it. The dictionary holds the
+    words' ids; a word that it lacks is encoded as it is asked for.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = 0):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        size = self.tokenizer.get_vocab_size()
+        self.width = width(max(size, most + 1))
+        self.ids = [i.to_bytes(self.width, "little") for i in range(size)]
+        self.merges = self.tokenizer.model.tokenize
 
     def blobs(self, texts: list[bytes | None]) -> list[bytes]:
+        """Each text's ids."""
+        if len(self) > CACHE:
+            # Short words are the frequent ones; the rest is learned again where it returns.
+            short = {w: ids for w, ids in self.items() if len(w) <= 8}
+            self.clear()
+            self.update(short if len(short) <= CACHE // 2 else {})
         # The tokenizer lower-cases, so case may go first; a special token's string counts in its own case only.
-        words = [(t if b"<|" in t else t.translate(LOWER)).split() if t else [] for t in texts]
-        every = set(chain.from_iterable(words))
-        new = every.difference(self.cache)
-        if len(self.cache) + len(new) > CACHE:
-            self.cache.clear()
-            new = every
-        self._learn(new)
-        get = self.cache.__getitem__
-        return [b"".join(map(get, one)) for one in words]
-
-    def _learn(self, new: set[bytes]) -> None:
-        """Encodes words that the cache lacks; one comma or stop after a letter is a piece of its own, so only the stem counts."""
-        cache = self.cache
-        marked = [w for w in new if len(w) > 1 and w[-1] in b",." and 97 <= w[-2] <= 122]
-        stems = {w[:-1] for w in marked}
-        plain = list((stems | new.difference(marked)).difference(cache))
-        plain += [m for m in (b",", b".") if m not in cache and m not in plain[-2:]]
-        for at in range(0, len(plain), 20_000):
-            some = plain[at : at + 20_000]
-            coded = self.tokenizer.encode([w.decode("utf-8", "replace") for w in some], is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(coded.ids, dtype="<u4").tobytes()
-            ends = np.cumsum(np.bincount(np.array(coded.word_ids, dtype=np.int64), minlength=len(some))) * 4
-            start = 0
-            for w, end in zip(some, ends.tolist(), strict=True):
-                cache[w] = ids[start:end]
-                start = end
-        for w in marked:
-            cache[w] = cache[w[:-1]] + cache[w[-1:]]
+        words = ((t if b"<|" in t else t.translate(LOWER)).split() if t else () for t in texts)
+        return [b"".join(map(self.__getitem__, one)) for one in words]
+
+    def __missing__(self, word: bytes) -> bytes:
+        """Encodes a word. What the tokenizer's normaliser leaves alone and its pattern cuts only into runs of letters,
+        single digits and runs of marks goes straight to its merges; the rest goes through all of it."""
+        if word.isalpha() and word.islower():  # ASCII letters alone
+            found = self._merged(word.decode())
+        elif word[-1:] in (b",", b".") and word[:-1].isalpha() and word[:-1].islower():
+            found = self[word[:-1]] + self._merged(word[-1:].decode())
+        else:
+            text = word.decode("utf-8", "replace")
+            if PLAIN.fullmatch(text) and "<|" not in text and text.lower() == text:
+                pieces = PIECES.findall(text)
+                found = b"".join([self._merged(p) for p in pieces]) if len(pieces) < 3 else b"".join([self[p.encode()] for p in pieces])
+            else:
+                found = b"".join([self.ids[i] for i in self.tokenizer.encode(text, add_special_tokens=False).ids])
+        self[word] = found
+        return found
+
+    def _merged(self, piece: str) -> bytes:
+        text = piece if piece.isascii() else piece.encode().decode("latin-1").translate(BYTES)
+        ids = self.ids
+        return b"".join([ids[t.id] for t in self.merges(text)])
 
 
 def _binary(column: pa.Array) -> list[bytes | None]:
@@ -85,12 +105,13 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_i
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, start, coder, end = TaskContext.get().partitionId(), 0, WordEncoder(tokenizer), np.array([end_id], dtype="<u4").tobytes()
+        part, start, own = TaskContext.get().partitionId(), 0, WordEncoder(tokenizer, end_id)
+        end = end_id.to_bytes(own.width, "little")
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                piece = batch.slice(at, 256)
-                blobs = [b + end for b in coder.blobs(_binary(piece.column(1)))]
-                n = np.array([len(b) // 4 for b in blobs], dtype=np.int64)
+            for at in range(0, batch.num_rows, 128):
+                piece = batch.slice(at, 128)
+                blobs = [b + end for b in own.blobs(_binary(piece.column(1)))]
+                n = np.array([len(b) // own.width for b in blobs], dtype=np.int64)
                 starts = start + np.cumsum(n) - n
                 start += int(n.sum())
                 yield pa.RecordBatch.from_arrays([pa.array([part] * len(n), pa.int32()), pa.array(starts), piece.column(0), pa.array(n), pa.array(blobs, pa.binary())], names=["part", "start", "id", "n", "ids"])
@@ -119,14 +140,14 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 4096, end_id: int = 2, i
             sequence = at[row] // length + nth
             first = np.maximum(at[row], sequence * length)
             last = np.minimum(at[row] + n[row], (sequence + 1) * length)
-            ids = _slices(batch.column(4), row, first - at[row], last - at[row])
+            ids = _slices(batch.column(4), n, row, first - at[row], last - at[row])
             yield pa.RecordBatch.from_arrays([batch.column(2).take(pa.array(row)), pa.array(first - at[row]), pa.array(last - first), pa.array(ids, pa.binary()), pa.array(n[row]), pa.array(sequence), pa.array(first - sequence * length)], names=[f.name for f in fields])
 
     return done.mapInArrow(cut, T.StructType(fields))
 
 
-def _slices(blobs: pa.Array, row: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[bytes]:
-    whole = blobs.to_pylist()
+def _slices(blobs: pa.Array, n: np.ndarray, row: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[bytes]:
+    whole = [np.frombuffer(b, dtype=f"<u{len(b) // k}").astype("<u4").tobytes() for b, k in zip(blobs.to_pylist(), n.tolist(), strict=True)]
     return [whole[r][4 * a : 4 * b] for r, a, b in zip(row.tolist(), first.tolist(), last.tolist(), strict=True)]
 
 
