@@ -121,7 +121,9 @@ def export_clean(result: CleanResult, out_dir: str, stems: list[str], chunk_reco
     exports.write_numbered(lines.select(F.lit("report").alias("stem"), (F.col("n") + base).alias("n"), F.col("json").alias("text")), report, ".jsonl", chunk_records, ["report"])
     ids = [r[0] for r in result.findings.where("norad_id is not null").select("norad_id").distinct().orderBy("norad_id").collect()]  # catalog numbers: at most some hundred thousand
     exports.write_document(spark, f"{report}/broken-noradids.ndjson", "".join(json.dumps({"noradId": i}, separators=(",", ":")) + "\n" for i in ids))
-    exports.write_json(spark, f"{report}/report.json", run_report(result))
+    whole = run_report(result)
+    exports.write_json(spark, f"{report}/report.json", whole)
+    exports.write_document(spark, f"{report}/report.md", report_text(whole))
 
 
 def _made(spark: SparkSession, folder: str) -> str:
@@ -252,3 +254,76 @@ def diff(findings_a: DataFrame, findings_b: DataFrame, file_col: str = "src_file
         counts[1].createOrReplaceTempView(f"__b{len(keys)}")
         out.append(_over(counts[0], lambda t, k=keys: latest.run_diff(t, f"SELECT * FROM __b{len(k)}", k)))
     return out[0], out[1]
+
+
+def _ordered(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """`rows` with n, their number from 0 in the order of `columns`: sorted once into ranges; only one count a range
+    is summed up on the driver."""
+    part = _saved(rows.repartitionByRange(*columns).sortWithinPartitions(*columns).withColumn("id", F.monotonically_increasing_id()))
+    ranges = part.groupBy(F.shiftright("id", 33).alias("p")).agg(F.min("id").alias("first"), F.count("*").alias("m")).orderBy("p").collect()
+    ahead, total = {}, 0
+    for r in ranges:
+        ahead[r["p"]], total = total - r["first"], total + r["m"]
+    base = F.element_at(F.create_map(*[F.lit(x) for kv in ahead.items() for x in kv]), F.shiftright("id", 33)) if ahead else F.lit(0)
+    return part.withColumn("n", (F.col("id") + base).cast("long")).drop("id")
+
+
+def export_verify(result: VerifyResult, out_dir: str, records: int, chunk_records: int = exports.DEFAULT_UNITS) -> None:
+    """04-verify: suspects.NNNNN.jsonl in the order (rule, catalog, epoch, file, index), summary.json, summary.md."""
+    spark = result.suspects.sparkSession
+    folder = _made(spark, f"{out_dir}/04-verify")
+    rows = _ordered(result.suspects, ["rule", "catalog", "epoch_key", "src_file", "idx"])
+    line = exports.json_lines(rows, [F.lit("2").alias("schema_version"), F.col("rule"), F.col("severity"), F.col("catalog"), F.col("epoch_key"), F.col("src_file"), F.col("idx").alias("index")])
+    exports.write_numbered(rows.select(F.lit("suspects").alias("stem"), "n", line.alias("text")), folder, ".jsonl", chunk_records, ["suspects"])
+    by_rule = {r["rule"]: r["n"] for r in _over(result.suspects, checks.suspect_summary).orderBy("rule").collect()}
+    months = {r["month"]: r["n"] for r in result.histogram.orderBy("month").collect()}
+    again = result.reissues.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hard = sum(n for r, n in by_rule.items() if r in checks.HARD)
+    doc = {"schema_version": "2", "checked": {"records": records, "epoch_reissues": again}, "suspects": {"hard": hard, "soft": sum(by_rule.values()) - hard, "by_rule": by_rule}, "epoch_distribution": months, "exit_code": int(hard > 0)}
+    exports.write_json(spark, f"{folder}/summary.json", doc, sort=True)
+    table = "".join(f"| {r} | {n} |\n" for r, n in by_rule.items())
+    exports.write_document(spark, f"{folder}/summary.md", f"# Verification\n\n{records} records checked, {hard} hard suspects, {again} re-issues.\n\n| rule | suspects |\n|-|-|\n{table}")
+
+
+def export_dedup(result: DedupResult, out_dir: str, chunk_records: int = exports.DEFAULT_UNITS) -> None:
+    """05-dedup: import.NNNNN.txt (140 bytes a record, by catalog and epoch), notes.NNNNN.jsonl, manifest.jsonl, summary.json."""
+    spark = result.import_set.sparkSession
+    folder = _made(spark, f"{out_dir}/05-dedup")
+    numbered = _over(result.import_set, latest.numbered)
+    units = numbered.select(F.lit("import").alias("stem"), (F.col("n") - 1).alias("n"), F.concat("line1", F.lit("\n"), "line2", F.lit("\n")).alias("text"))
+    exports.write_numbered(units, folder, ".txt", chunk_records, ["import"])
+    card = lambda c: f"named_struct('src_file', split({c}, ':')[0], 'index', CAST(split({c}, ':')[1] AS BIGINT), 'element_set', try_cast(split({c}, ':')[2] AS INT))"
+    notes = _ordered(result.notes, ["catalog", "epoch_key"])
+    cells = [F.lit("2").alias("schema_version"), F.col("catalog"), F.col("epoch_key"), (F.col("conflict") == 1).alias("conflict"), F.expr(card("kept")).alias("kept"), F.expr(f"transform(split(dropped, ','), x -> {card('x')})").alias("dropped")]
+    exports.write_numbered(notes.select(F.lit("notes").alias("stem"), "n", exports.json_lines(notes, cells).alias("text")), folder, ".jsonl", chunk_records, ["notes"])
+    rows = _ordered(result.manifest, ["key"])
+    names = [F.col("key").alias("norad_id"), *(F.col(c) for c in ("records", "first_epoch", "last_epoch", "span_days", "median_spacing_days", "largest_gap_days", "gap_count"))]
+    (made,) = exports.write_numbered(rows.select(F.lit("manifest").alias("stem"), "n", exports.json_lines(rows, names).alias("text")), folder, ".jsonl", 0, ["manifest"])
+    exports.rename(spark, f"{folder}/{made}", f"{folder}/manifest.jsonl")
+    exports.write_json(spark, f"{folder}/summary.json", {**result.summary, "exit_code": result.exit_code(), "schema_version": "2"}, sort=True)
+
+
+def export_extract(rows: DataFrame, docs: list[dict], dest: str) -> None:
+    """06-extract: for each satellite its records, <id>.txt, and what is known of its history, <id>.json."""
+    spark = rows.sparkSession
+    folder = _made(spark, dest)
+    numbered = _over(rows, latest.numbered)
+    first = numbered.groupBy("catalog").agg(F.min("n").alias("first"))
+    units = numbered.join(first, "catalog").select(F.col("catalog").cast("string").alias("stem"), (F.col("n") - F.col("first")).alias("n"), F.concat("line1", F.lit("\n"), "line2", F.lit("\n")).alias("text"))
+    for name in exports.write_numbered(units, folder, ".txt", 0):
+        exports.rename(spark, f"{folder}/{name}", f"{folder}/{name.split('.')[0]}.txt")
+    for doc in docs:
+        exports.write_json(spark, f"{folder}/{doc['norad_id']}.json", doc, sort=True)
+
+
+def report_text(report: dict) -> str:
+    """The run's report as Markdown: totals, fixes and rules by number (then name), files by name."""
+    s = report["summary"]
+    all_ = s["paired_records"] + s["orphan_entries"]
+    share = lambda n: f"{100 * n / all_:.4f}%" if all_ else "n/a"
+    order = lambda counts: sorted(counts.items(), key=lambda kv: (-kv[1], kv[0]))
+    out = ["# Cleaning report", "", f"Files: {s['files_processed']}, lines: {s['input_lines_seen']}, records: {s['paired_records']}, orphans: {s['orphan_entries']}", "", f"Clean: {s['clean_count']} ({share(s['clean_count'])}), quarantined: {s['quarantined_count']} ({share(s['quarantined_count'])})", ""]
+    for title, counts, names in (("Fixes", s["fix_counts"], registry.FIXES), ("Quarantined by rule", s["quarantine_counts"], registry.RULES)):
+        out += [f"## {title}", "", "| | n | |", "|-|-|-|", *(f"| {k} | {n} | {names[k]} |" for k, n in order(counts)), ""]
+    out += ["## Files", "", "| file | records | clean | quarantined |", "|-|-|-|-|", *(f"| {f['file']} | {f['paired_records']} | {f['clean_count']} | {f['quarantined_count']} |" for f in report["files"]), ""]
+    return "\n".join(out)

@@ -64,6 +64,13 @@ def write_numbered(units: DataFrame, folder: str, suffix: str, per_file: int = D
     return sorted(name for _, name in made)
 
 
+def rename(spark: SparkSession, old: str, new: str) -> None:
+    Path, fs = _fs(spark, old)
+    fs.delete(Path(new), False)
+    if not fs.rename(Path(old), Path(new)):
+        raise OSError(f"can't rename {old} to {new}")
+
+
 def write_document(spark: SparkSession, path: str, text: str) -> None:
     """A small text file, written beside its place and renamed."""
     Path, fs = _fs(spark, path)

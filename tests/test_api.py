@@ -73,6 +73,17 @@ def test_clean_verify_dedup_extract(spark, archive):
     assert [r.line1 for r in rows.collect()] == [L1] and docs[0]["records"] == 1 and docs[0]["had_quarantined_records"] is True and docs[0]["mean_records_per_day"] is None
     with pytest.raises(KeyError):
         api.extract(kept.import_set, [77])
+    api.export_verify(checked, out, 4)
+    api.export_dedup(api.dedup(result.cleaned), out)
+    api.export_extract(rows, docs, f"{out}/06-extract")
+    assert json.loads((archive / "out/04-verify/suspects.00001.jsonl").read_text()) == {"schema_version": "2", "rule": "VRFY-EPOCH-CONFLICT", "severity": "hard", "catalog": 5, "epoch_key": 2000179.78495062, "src_file": "tle1", "index": 2}
+    assert json.loads((archive / "out/04-verify/summary.json").read_text())["epoch_distribution"] == {"2000-06": 4}
+    assert (archive / "out/05-dedup/import.00001.txt").read_text() == f"{L1}\n{L2}\n" and len(f"{L1}\n{L2}\n") == 140
+    note = json.loads((archive / "out/05-dedup/notes.00001.jsonl").read_text())
+    assert note["conflict"] is True and note["kept"] == {"src_file": "tle2", "index": 0, "element_set": 475} and [x["index"] for x in note["dropped"]] == [0, 1, 2]
+    assert json.loads((archive / "out/05-dedup/manifest.jsonl").read_text())["norad_id"] == 5
+    assert (archive / "out/06-extract/5.txt").read_text() == f"{L1}\n{L2}\n" and json.loads((archive / "out/06-extract/5.json").read_text())["records"] == 1
+    assert "| crlf | 1 |" in (archive / "out/03-report/report.md").read_text()
     plain = api.clean(spark, str(archive / "in"))
     by_rule, by_file = api.diff(plain.findings, result.findings)
     assert {(r.rule_id, r.a, r.b, r.presence) for r in by_rule.collect()} == {("TLE-COL-001", 1, 0, "a-only"), ("TLE-CHK-001", 1, 1, "both"), ("TLE-PAIR-002", 1, 1, "both")}
