@@ -55,7 +55,7 @@ def _variable(piece: Column) -> Column:
 
 def _shaped(piece: Column) -> Column:
     """The wildcard for a variable piece, with the extension that it keeps."""
-    return F.concat(F.lit("*"), F.regexp_extract(piece, r"(\.[A-Za-z]{1,5})$", 1))
+    return F.concat(F.lit("*"), F.regexp_extract(piece, r"(\.[A-Za-z]{1,5})\z", 1))
 
 
 def templates(pages: DataFrame, max_children: int = 24, share: float = 0.02) -> DataFrame:
