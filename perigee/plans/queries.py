@@ -99,7 +99,7 @@ TEXTS: dict[str, Text] = {
     "tle_layout_valid": lambda d: f"SELECT src_file, line_no, {tle.layout_ok(d, 'raw', 1)} AS as_line1, {tle.layout_ok(d, 'raw', 2)} AS as_line2 FROM (SELECT * FROM feed_lines) l",
     "tle_semantic_valid": lambda d: f"SELECT src_file, line_no, {tle.body_ok(d, 'raw', 1)} AS as_line1, {tle.body_ok(d, 'raw', 2)} AS as_line2 FROM (SELECT * FROM feed_lines) l",
     "tle_line_valid": lambda d: f"SELECT src_file, line_no, {tle.line_ok(d, 'raw', 1)} AS as_line1, {tle.line_ok(d, 'raw', 2)} AS as_line2 FROM (SELECT * FROM feed_lines) l",
-    "tle_content_free_drop": lambda d: f"SELECT doc_id, count(*) AS lines, sum(CASE WHEN {tle.content_free(d, 'raw')} THEN 1 ELSE 0 END) AS dropped FROM ({_text_lines(d)}) l GROUP BY doc_id",
+    "tle_content_free_drop": lambda d: f"SELECT doc_id, count(*) AS lines, CAST(sum(CASE WHEN {tle.content_free(d, 'raw')} THEN 1 ELSE 0 END) AS BIGINT) AS dropped FROM ({_text_lines(d)}) l GROUP BY doc_id",
     "tle_line_kinds": lambda d: f"SELECT src_file, kind, count(*) AS n FROM ({records.kept(d, "SELECT * FROM feed_lines")}) k GROUP BY src_file, kind",
     "tle_edge_fixes": _edges,
     "tle_pair_records": lambda d: f"SELECT src_file, src1, src2 FROM ({records.paired(d, "SELECT * FROM feed_lines")}) p WHERE rule_id IS NULL",
