@@ -219,11 +219,14 @@ LEAD, TAIL, EMPTY = "^[ \\t]+", "[ \\t\\r\\\\]+\\z", "^[ \\t\\r\\\\]*\\z"
 
 
 def content_free(d: Dialect, raw: str) -> str:
-    return d.like(raw, EMPTY)
+    """Whether a line has nothing but edge marks; a line that begins with a line number has more, without a pattern."""
+    return f"(substr({raw}, 1, 1) NOT IN ('1', '2') AND {d.like(raw, EMPTY)})"
 
 
 def core(d: Dialect, raw: str) -> str:
-    return d.replace(d.replace(raw, TAIL), LEAD)
+    """The line without its edges; one that begins with a line number and ends with a digit has none."""
+    bare = f"substr({raw}, 1, 1) IN ('1', '2') AND substr({raw}, length({raw}), 1) BETWEEN '0' AND '9'"
+    return f"(CASE WHEN {bare} THEN {raw} ELSE {d.replace(d.replace(raw, TAIL), LEAD)} END)"
 
 
 def edge_fixes(d: Dialect, raw: str) -> dict[str, str]:

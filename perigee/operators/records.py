@@ -16,12 +16,13 @@ def kept(d: Dialect, lines: str) -> str:
     """Lines that have content, with their kind: 1 or 2 by their first two characters, O oversized, X anything else."""
     size = "octet_length(raw)" if d.spark else "octet_length(encode(raw))"
     head = f"{d.replace('raw', tle.LEAD)}"
-    kind = f"CASE WHEN {size} >= {OVERSIZED} THEN 'O' WHEN {head} LIKE '1 %' THEN '1' WHEN {head} LIKE '2 %' THEN '2' ELSE 'X' END"
+    plain = "WHEN substr(raw, 1, 2) = '1 ' THEN '1' WHEN substr(raw, 1, 2) = '2 ' THEN '2'"
+    kind = f"CASE WHEN {size} >= {OVERSIZED} THEN 'O' {plain} WHEN {head} LIKE '1 %' THEN '1' WHEN {head} LIKE '2 %' THEN '2' ELSE 'X' END"
     return f"SELECT src_file, line_no, raw, {kind} AS kind FROM ({lines}) l WHERE NOT ({tle.content_free(d, 'raw')} AND {size} < {OVERSIZED})"
 
 
 #: Lines of a file that are ordered in one task; a file of any length is many such blocks.
-BLOCK = 65_536
+BLOCK = 8_192
 
 
 def _block(no: str) -> str:
@@ -89,8 +90,11 @@ def routed(d: Dialect, lines: str, rebuild: bool = False) -> str:
     facts = []
     for n in (1, 2):
         said = f"try_cast(CASE WHEN {d.like(f'substr(core{n}, 69, 1)', '^[0-9]' + chr(92) + 'z')} THEN substr(core{n}, 69, 1) END AS INT)"
-        facts += [f"{tle.checksum(f'core{n}')} AS sum{n}", f"{tle.body_ok(d, f'core{n}', n)} AS body{n}", f"length(core{n}) AS size{n}", f"{d.like(f'raw{n}', '^[' + chr(92) + 'x00-' + chr(92) + 'x7F]*' + chr(92) + 'z')} AS ascii{n}", f"{said} AS said{n}"]
+        facts += [f"{tle.checksum(f'core{n}')} AS sum{n}", f"{tle.body_ok(d, f'core{n}', n)} AS body{n}", f"length(core{n}) AS size{n}", f"{said} AS said{n}"]
     step = f"SELECT *, {', '.join(facts)} FROM ({step}) c"
+    # A line whose layout and checksum column fit, and that had no edges, has ASCII alone.
+    ascii_only = lambda n: f"CASE WHEN raw{n} = core{n} AND size{n} = 69 AND body{n} AND said{n} IS NOT NULL THEN true ELSE {d.like(f'raw{n}', '^[' + chr(92) + 'x00-' + chr(92) + 'x7F]*' + chr(92) + 'z')} END AS ascii{n}"
+    step = f"SELECT *, {ascii_only(1)}, {ascii_only(2)} FROM ({step}) a"
     step = f"SELECT *, CASE WHEN NOT orphan THEN {_judged(d, 1, rebuild)} END AS rule1, CASE WHEN NOT orphan THEN {_judged(d, 2, rebuild)} END AS rule2 FROM ({step}) j"
     step = f"SELECT *, CASE WHEN NOT orphan AND rule1 IS NULL AND rule2 IS NULL AND substr(core1, 3, 5) <> substr(core2, 3, 5) THEN 'TLE-PAIR-003' END AS rule3 FROM ({step}) m"
     step = f"SELECT *, NOT orphan AND rule1 IS NULL AND rule2 IS NULL AND rule3 IS NULL AS clean FROM ({step}) f"
@@ -98,7 +102,7 @@ def routed(d: Dialect, lines: str, rebuild: bool = False) -> str:
     fixes = []
     for n in (1, 2):
         for fix, test in tle.edge_fixes(d, f"raw{n}").items():
-            fixes.append(f"CASE WHEN clean AND {test} THEN 1 ELSE 0 END AS {fix.replace('-', '_')}{n}")
+            fixes.append(f"CASE WHEN clean AND raw{n} <> core{n} AND {test} THEN 1 ELSE 0 END AS {fix.replace('-', '_')}{n}")
         fixes.append(f"CASE WHEN clean AND size{n} = 68 THEN 1 ELSE 0 END AS reconstructed_checksum{n}")
     tier = "CASE WHEN orphan OR coalesce(rule1, rule2) = 'TLE-COL-003' THEN 'none' WHEN rule3 IS NOT NULL AND (size1 = 68 OR size2 = 68) THEN 'tier-2' WHEN NOT clean THEN 'tier-1' END"
     return (
