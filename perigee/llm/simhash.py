@@ -6,6 +6,13 @@ meeting, blocks of 256 rows ordered by the counts of the four 16-bit quarters sk
 summed over quarters; the rest are compared by exclusive-or and bit count in numpy. A meeting gives a spanning
 forest of its links, never all pairs of a group, and connected components join the forests.
 
+Groups by similarity (`similar_groups`): texts link if their sets of word shingles have a Jaccard similarity of at
+least `similarity`. Equal sets collapse. Candidates are pairs whose set sizes allow it and whose fingerprints over the
+sets, 128 bits here, differ in at most RADIUS bits (FEW_RADIUS where the larger set has at most FEW shingles); the sets
+of each candidate pair are compared exactly. At similarity 0.8 some 19 bits differ, with a standard deviation of 4.
+Two passes: the first gives a forest of candidates a meeting, the second all candidate pairs between the groups that
+the first's verified links make, so a group of copies never gives its pairs but no link is missed for it.
+
 Defined results: a null or empty text, or one without words, has fingerprint zero and links like any other; a
 null id takes part and never is a component's name unless all its members' ids are null; repeated rows are copies;
 other columns are ignored.
@@ -28,6 +35,8 @@ LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: Fingerprints in a tile at most, about: a worker holds two tiles.
 TILE = 32_768
 BLOCK = 256
+RADIUS = 40
+FEW, FEW_RADIUS = 8, 52
 
 
 def fingerprint(text: bytes | None, size: int = 3) -> int:
@@ -154,14 +163,147 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return fps.join(named, fps["fp"] == named["of"], "left").select("id", "sum", "fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "id").alias("component_id"))
 
 
+def shingle_set(text: bytes | None, size: int) -> np.ndarray:
+    """The distinct hashes of the text's word shingles, in order; all its words are one shingle where they are fewer."""
+    from xxhash import xxh64_intdigest
+
+    words = (text or b"").translate(LOWER).split()
+    if not words:
+        return np.zeros(0, dtype=np.uint64)
+    shingles = [b" ".join(words)] if len(words) <= size else map(b" ".join, zip(*(words[k:] for k in range(size)), strict=False))
+    return np.unique(np.array([xxh64_intdigest(s, 42) for s in shingles], dtype=np.uint64))
+
+
+def _majority(h: np.ndarray) -> int:
+    ones = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(h), 65_536):
+        ones += np.unpackbits(h[at : at + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<i8")[0])
+
+
+def shingle_sets(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    """(id, sum, sig, n, fp, more, shingles): sig names the set, of n hashes; fp and more are 64 bits of its fingerprint each."""
+    from_ = docs.schema[id_col].dataType
+    longs = [T.StructField(c, T.LongType()) for c in ("sum", "sig", "n", "fp", "more")]
+    schema = T.StructType([T.StructField("id", from_), *longs, T.StructField("shingles", T.ArrayType(T.LongType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                sets = [shingle_set(t.as_py(), size) for t in part.column(2).cast(pa.binary())]
+                sig = np.array([xxh64_intdigest(h.tobytes(), 42) for h in sets], dtype=np.uint64).view(np.int64)
+                again = [(m := h * np.uint64(0x9E3779B97F4A7C15)) ^ (m >> np.uint64(29)) for h in sets]
+                again = [(m := h * np.uint64(0xBF58476D1CE4E5B9)) ^ (m >> np.uint64(32)) for h in again]
+                ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                shingles = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))
+                numbers = [np.array(x, dtype=np.int64) for x in (list(map(len, sets)), list(map(_majority, sets)), list(map(_majority, again)))]
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(sig), *map(pa.array, numbers), shingles], names=schema.names)
+
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("sum"), text.alias("text")).mapInArrow(run, schema)
+
+
+def set_candidates(a: np.ndarray, b: np.ndarray | None, similarity: float, forest: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Places, in a and b one after the other, of the candidate pairs between a and b, or within a: columns label, n,
+    fp, more. Pairs of one label don't count; forest: only as many as join what is not joined yet."""
+    both = a if b is None else np.concatenate([a, b])
+    order = np.argsort(a[:, 1], kind="stable")
+    other = order if b is None else len(a) + np.argsort(b[:, 1], kind="stable")
+    size = both[other, 1]
+    tree, found = Forest(len(both)), []
+    for at in range(0, len(order), BLOCK):
+        rows = order[at : at + BLOCK]
+        low, high = both[rows[0], 1], both[rows[-1], 1]
+        first = max(np.searchsorted(size, np.floor(low * similarity)), at if b is None else 0)
+        end = np.searchsorted(size, np.ceil(high / similarity), side="right")
+        for start in range(first, end, 32 * BLOCK):
+            cols = other[start : min(end, start + 32 * BLOCK)]
+            few = low <= FEW
+            near = np.bitwise_count(both[rows, 2].view(np.uint64)[:, None] ^ both[cols, 2].view(np.uint64)[None, :])
+            i, j = np.nonzero(near <= (FEW_RADIUS if few else 26))
+            bits = near[i, j]
+            i, j = rows[i], cols[j]
+            bits = bits + np.bitwise_count(both[i, 3].view(np.uint64) ^ both[j, 3].view(np.uint64))
+            small, large = np.minimum(both[i, 1], both[j, 1]), np.maximum(both[i, 1], both[j, 1])
+            good = (bits <= np.where(large <= FEW, FEW_RADIUS, RADIUS)) & (small >= large * similarity - 1e-9) & (both[i, 0] != both[j, 0])
+            i, j = i[good], j[good]
+            if b is None:
+                i, j = np.minimum(i, j), np.maximum(i, j)
+            if forest and len(i):
+                made = np.array(tree.join(i, j), dtype=np.int64).reshape(-1, 2)
+                i, j = made[:, 0], made[:, 1]
+            found.append((i, j))
+    pairs = np.unique(np.concatenate([np.stack(f, axis=1) for f in found]), axis=0) if found else np.zeros((0, 2), dtype=np.int64)
+    return pairs[:, 0], pairs[:, 1]
+
+
+def similar_candidates(distinct: DataFrame, similarity: float, forest: bool, tile: int = TILE) -> DataFrame:
+    """(a, b): candidate pairs among the rows (sig, label, n, fp, more) of different labels."""
+    # Sizes in one class or in neighbours: similar sets are never further apart.
+    rows = distinct.where("n > 0").withColumn("c", F.floor(F.ln("n") / F.lit(-np.log(similarity) * (1 + 1e-9))).cast("int"))
+    counts = {r["c"]: r["k"] for r in rows.groupBy("c").agg(F.count("*").alias("k")).collect()}  # some hundred rows at most
+    if not counts:
+        return distinct.select(F.col("sig").alias("a"), F.col("sig").alias("b")).limit(0)
+    classes = max(counts) + 1
+    tiles = [-(-counts.get(c, 0) // tile) for c in range(classes)]
+    first = np.cumsum([0, *tiles]).tolist()
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("c") + 1)
+    own = pick(first[:classes]) + F.pmod(F.xxhash64("sig"), F.greatest(pick(tiles), F.lit(1)))
+    to = [first[min(classes, c + 2)] - 1 for c in range(classes)]
+    from_ = [first[max(0, c - 1)] for c in range(classes)]
+    dealt = rows.select("sig", "label", "n", "fp", "more", own.cast("int").alias("t"), F.explode(F.sequence(pick(from_), pick(to))).alias("u"))
+    dealt = dealt.withColumns({"lo": F.least("t", "u"), "hi": F.greatest("t", "u")})
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        t, lo, hi = pdf["t"].to_numpy(), pdf["lo"].iloc[0], pdf["hi"].iloc[0]
+        cells = np.ascontiguousarray(pdf[["label", "n", "fp", "more"]].to_numpy(dtype=np.int64))
+        names = pdf["sig"].to_numpy()
+        mine = np.concatenate([np.nonzero(t == lo)[0], np.nonzero(t == hi)[0] if lo != hi else np.zeros(0, dtype=np.int64)])
+        split = int((t == lo).sum())
+        a, b = cells[mine[:split]], None if lo == hi else cells[mine[split:]]
+        i, j = set_candidates(a, b, similarity, forest) if len(a) and (b is None or len(b)) else (np.zeros(0, dtype=np.int64),) * 2
+        return pd.DataFrame({"a": names[mine[i]], "b": names[mine[j]]})
+
+    return dealt.groupBy("lo", "hi").applyInPandas(meet, "a long, b long")
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, tile: int = TILE) -> DataFrame:
+    """(id, sum, root): root names the component of verified links."""
+    sets = materialize(shingle_sets(docs, id_col, text_col, size))
+    distinct = materialize(sets.groupBy("sig").agg(*(F.first(c).alias(c) for c in ("n", "fp", "more"))).withColumn("label", F.col("sig")))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = materialize(pairs.distinct())
+        need = pairs.select(F.explode(F.array("a", "b")).alias("need")).distinct()
+        texts = sets.select("sig", "shingles").join(need, F.col("sig") == F.col("need"), "left_semi").dropDuplicates(["sig"])
+        texts = materialize(texts)
+        mine = texts.select(F.col("sig").alias("a"), F.col("shingles").alias("s"))
+        other = texts.select(F.col("sig").alias("b"), F.col("shingles").alias("o"))
+        both = pairs.join(mine, "a").join(other, "b").withColumn("common", F.size(F.array_intersect("s", "o")))
+        return materialize(both.where(F.col("common") >= similarity * (F.size("s") + F.size("o") - F.col("common")) - 1e-9).select("a", "b"))
+
+    def labelled(edges: DataFrame) -> DataFrame:
+        roots = connected_components(edges)
+        named = distinct.drop("label").join(roots, F.col("sig") == F.col("node"), "left")
+        return materialize(named.select("sig", "n", "fp", "more", F.coalesce("root", "sig").alias("label")))
+
+    edges = verified(similar_candidates(distinct, similarity, True, tile))
+    rest = verified(similar_candidates(labelled(edges), similarity, False, tile))
+    named = labelled(edges.union(rest)).select(F.col("sig").alias("of"), F.col("label").alias("root"))
+    return sets.select("id", "sum", "sig").join(named, F.col("sig") == F.col("of")).select("id", "sum", "root")
+
+
 def hex_fingerprint(column: str) -> Column:
     return F.lpad(F.lower(F.hex(column)), 16, "0")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, size: int = 3, similarity: float | None = None) -> DataFrame:
     """One row of each group, as it is: that with the smallest id (null ids last; of rows that share it, the one
-    whose text hashes lowest; of equal rows, one)."""
-    groups = simhash_groups(docs, id_col, text_col, radius)
+    whose text hashes lowest; of equal rows, one). With a similarity, groups link by it (`radius` has no part then)."""
+    groups = simhash_groups(docs, id_col, text_col, radius, size) if similarity is None else similar_groups(docs, id_col, text_col, size, similarity)
     key = lambda c: F.coalesce(c.cast("string"), F.lit(""))
     leads = groups.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "sum")).alias("lead"))
     leads = leads.select(key(F.col("lead.id")).alias("__perigee_lead"), F.col("lead.sum").alias("__perigee_lead_sum"))

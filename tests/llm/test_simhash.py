@@ -76,3 +76,54 @@ def test_keep_one_and_empty(spark):
     assert kept.columns == docs.columns
     assert sorted((str(r.doc_id), r.text) for r in kept.collect()) == [("1", "a b c d"), ("3", "other words here now"), ("3", "quite another text with the same id"), ("None", "y"), ("None", "z")]
     assert simhash.simhash_groups(docs.limit(0)).count() == 0
+
+
+def slow_shingles(text, size=5):
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    return frozenset(" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))) if words else frozenset()
+
+
+def slow_similar(sets):
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if sets[i] == sets[j] or sets[i] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(sets))]
+
+
+def test_groups_by_similarity_match_brute_force(spark):
+    rng = random.Random(8)
+    texts = ["", None, " \n", "one", "One", "one two three four five", "one two three four five six"]
+    for n in (5, 9, 10, 14, 24, 60, 200, 900):
+        for _ in range(6):
+            words = [f"w{rng.randrange(5000)}" for _ in range(n)]
+            texts.append(" ".join(words))
+            for _ in range(6):
+                new = list(words)
+                for _ in range(rng.randrange(max(2, n // 30) + 1)):
+                    at, what = rng.randrange(len(new)), rng.randrange(3)
+                    new[at : at + (what > 0)] = ["x"] if what < 2 else []
+                new = new + ["y"] * rng.choice((0, 0, 1, 2))
+                words = new if rng.random() < 0.5 else words
+                texts.append(" ".join(new))
+    rng.shuffle(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [slow_shingles(t) for t in texts]
+    want = slow_similar(sets)
+    for tile in (32_768, 40):
+        rows = sorted(simhash.similar_groups(docs, tile=tile).collect(), key=lambda r: r.id)
+        seen = {}
+        assert [seen.setdefault(r.root, r.id) for r in rows] == want
+    # Most of these links differ in more than three bits of the thin query's fingerprints.
+    assert len(set(slow_components([slow_fingerprint(t) for t in texts]))) > len(set(want))
+    kept = simhash.keep_one(docs, size=5, similarity=0.8)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(want))
+    assert simhash.similar_groups(docs.limit(0)).count() == 0
