@@ -36,7 +36,8 @@ SIZE = 1 << 16
 CHUNK = 1 << 20
 _UNSEEN = re.compile(r"<(script|style|nav|template|noscript)\b.*?</\1\s*>|<!--.*?-->", re.I | re.S)
 _TAG = re.compile(r"<[^>]*>")
-_LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?\s*([A-Za-z]+)", re.I)
+_HTML = re.compile(r"<html\b[^>]*", re.I)
+_LANG = re.compile(r"\blang\s*=\s*[\"']?\s*([A-Za-z]+)", re.I)
 _MARKS = re.compile(r"[\W\d_]+")
 
 
@@ -45,8 +46,11 @@ def visible(page: str | None) -> str:
 
 
 def declared(page: str | None) -> str | None:
-    found = _LANG.search((page or "")[:4096])
-    return found[1].lower() if found else None
+    # Tag by tag over the whole page: each character is in one tag, so long pages take linear time.
+    for tag in _HTML.finditer(page or ""):
+        if found := _LANG.search(tag[0], 5):
+            return found[1].lower()
+    return None
 
 
 def trigrams(text: str) -> Iterator[np.ndarray]:

@@ -62,3 +62,11 @@ def test_fusion_matches_brute_force_on_odd_rows(spark):
         assert a[:2] == b[:2] and a[3:] == b[3:] and abs(a[2] - b[2]) < 1e-6
     assert langid.identify(df.limit(0), spark.createDataFrame(docs, "lang string, text string")).count() == 0
     assert {r.lang for r in langid.identify(df, spark.createDataFrame([], "lang string, text string")).collect()} == {None}
+
+
+def test_declarations_anywhere_in_a_page():
+    for before in ("", "<!-- licence " + "x" * 5000 + " -->", " " * 5000):
+        for inside in ("", " data-x='" + "y" * 5000 + "'"):
+            assert langid.declared(f"{before}<HTML{inside} lang = 'de-AT'><p lang=fr>") == "de"
+    assert langid.declared("<html><p lang=fr>") is None and langid.declared("<html a><html lang=es>") == "es"
+    assert langid.declared("<html " * 200_000) is None
