@@ -21,6 +21,7 @@ other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -37,6 +38,8 @@ TILE = 32_768
 BLOCK = 256
 RADIUS = 40
 FEW, FEW_RADIUS = 8, 52
+#: Names of candidates' sets that are broadcast at a time.
+NEED = 1_000_000
 
 
 def fingerprint(text: bytes | None, size: int = 3) -> int:
@@ -270,16 +273,19 @@ def similar_candidates(distinct: DataFrame, similarity: float, forest: bool, til
     return dealt.groupBy("lo", "hi").applyInPandas(meet, "a long, b long")
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, tile: int = TILE) -> DataFrame:
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, tile: int = TILE, block: int = NEED) -> DataFrame:
     """(id, sum, root): root names the component of verified links."""
     sets = materialize(shingle_sets(docs, id_col, text_col, size))
     distinct = materialize(sets.groupBy("sig").agg(*(F.first(c).alias(c) for c in ("n", "fp", "more"))).withColumn("label", F.col("sig")))
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = materialize(pairs.distinct())
-        need = pairs.select(F.explode(F.array("a", "b")).alias("need")).distinct()
-        texts = sets.select("sig", "shingles").join(need, F.col("sig") == F.col("need"), "left_semi").dropDuplicates(["sig"])
-        texts = materialize(texts)
+        need = materialize(pairs.select(F.explode(F.array("a", "b")).alias("need")).distinct())
+        # Block by block, so that the sets that no candidate needs are never shuffled.
+        blocks = max(1, -(-need.count() // block))
+        own = [need.where(F.pmod(F.xxhash64("need"), F.lit(blocks)) == k) for k in range(blocks)]
+        found = [sets.select("sig", "shingles").join(F.broadcast(n), F.col("sig") == F.col("need"), "left_semi") for n in own]
+        texts = materialize(reduce(DataFrame.unionByName, found).dropDuplicates(["sig"]))
         mine = texts.select(F.col("sig").alias("a"), F.col("shingles").alias("s"))
         other = texts.select(F.col("sig").alias("b"), F.col("shingles").alias("o"))
         both = pairs.join(mine, "a").join(other, "b").withColumn("common", F.size(F.array_intersect("s", "o")))

@@ -118,8 +118,8 @@ def test_groups_by_similarity_match_brute_force(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     sets = [slow_shingles(t) for t in texts]
     want = slow_similar(sets)
-    for tile in (32_768, 40):
-        rows = sorted(simhash.similar_groups(docs, tile=tile).collect(), key=lambda r: r.id)
+    for tile, block in ((32_768, 10**6), (40, 60)):
+        rows = sorted(simhash.similar_groups(docs, tile=tile, block=block).collect(), key=lambda r: r.id)
         seen = {}
         assert [seen.setdefault(r.root, r.id) for r in rows] == want
     # Most of these links differ in more than three bits of the thin query's fingerprints.
