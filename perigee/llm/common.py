@@ -58,9 +58,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of `edges` (a, b); root is the component's smallest node.
 
-    Alternates large-star and small-star steps (Kiveris et al., 2014) until a round changes nothing. Each
-    step is a partially aggregated minimum by node and an equi-join, whose hot nodes adaptive execution
-    splits; each round is written to the shared folder. No edge or node reaches the driver but two sums.
+    Alternates large-star and small-star steps (Kiveris et al., 2014) until a round changes nothing. Each step is a
+    partially aggregated minimum by node and an equi-join. The minima are written before they are joined: a join of rows
+    with an aggregate that has just been shuffled by the same key is never split, one with a table that is read is. No
+    edge or node reaches the driver but two sums.
     """
     e = edges.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).where("x > y").distinct()
     e = materialize(e)
@@ -71,15 +72,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
             break
         seen = mark
         both = e.select(F.col("x").alias("u"), F.col("y").alias("v")).union(e.select("y", "x"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("x"), F.col("m").alias("y"))
         # The smallest neighbour of a large-star edge's upper end, then both ends hang from it.
-        large = large.where("x > y").distinct()
-        low = large.groupBy("x").agg(F.min("y").alias("m"))
+        large = materialize(large.where("x > y").distinct())
+        low = materialize(large.groupBy("x").agg(F.min("y").alias("m")))
         small = large.join(low, "x").where("y > m").select(F.col("y").alias("x"), F.col("m").alias("y"))
         e = materialize(small.union(low.select("x", F.col("m").alias("y"))).distinct())
     roots = e.groupBy("x").agg(F.min("y").alias("root"))
-    return roots.select(F.col("x").alias("node"), "root").union(roots.select(F.col("root").alias("node"), "root").distinct())
+    return materialize(roots.select(F.col("x").alias("node"), "root").union(roots.select(F.col("root").alias("node"), "root").distinct()))
 
 
 def held_out(id_col: Column, mod: int) -> Column:

@@ -1,12 +1,13 @@
 """Embedding near-duplicates: PCA-ordered tiled comparison.
 
 Vectors get length one in double precision and turn to the principal axes of all vectors of their dimension (sums of
-products per partition, then per group of partitions; a d x d matrix reaches the driver), strongest axis first. Equal
-vectors collapse to one row. Rows are dealt to tiles by ranges of the first coordinate; two tiles meet unless the gap
-between their ranges alone already keeps every cosine below the threshold. In a meeting a block of rows accumulates
-the leading coordinates of another block in one product; what the remaining coordinates can add is bounded by the
-product of the suffix norms. Pairs that can still reach the threshold go on to the next coordinates, and a block pair
-of which none can stops. The survivors' cosines are computed whole, from the vectors as given.
+products per partition, then per group of partitions, then per dimension; one d x d matrix a dimension reaches the
+driver), strongest axis first. Equal vectors collapse to one row. Rows are dealt to tiles by ranges of the first
+coordinate; two tiles meet unless the gap between their ranges alone already keeps every cosine below the threshold. A
+vector travels once and as it was given; a meeting turns its rows itself. There a block of rows accumulates the leading
+coordinates of another block in one product; what the remaining coordinates can add is bounded by the product of the
+suffix norms. Pairs that can still reach the threshold go on to the next coordinates, and a block pair of which none can
+stops. The survivors' cosines are computed whole, from the vectors as given.
 
 A meeting gives, for each row, how many vectors it links to, and a spanning forest of its links: rows in proportion to
 the tiles, never all pairs of a group.
@@ -44,11 +45,21 @@ def _fine():
 
 
 def usable(vecs: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(id, v, d): the vectors that can link, as doubles."""
-    v = vecs.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
-    # Where squares over- or underflow, only the direction counts.
-    top = F.array_max(F.transform("v", lambda x: F.abs(x)))
-    return v.where(_fine()).select("id", F.transform("v", lambda x: x / top).alias("v"), F.size("v").alias("d"))
+    """(id, v, d): the vectors that can link; single precision stays as it is, anything else becomes double."""
+    kind = "array<float>" if vecs.schema[vec_col].dataType.simpleString() == "array<float>" else "array<double>"
+    v = vecs.select(F.col(id_col).alias("id"), F.col(vec_col).cast(kind).alias("v"))
+    return v.where(_fine()).select("id", "v", F.size("v").alias("d"))
+
+
+def matrix(vectors: pd.Series) -> np.ndarray:
+    """Vectors of one dimension as rows in double precision. Where squares over- or underflow, only the direction counts,
+    so each row is divided by its largest component."""
+    x = np.vstack([np.asarray(v, dtype=float) for v in vectors])
+    return x / np.abs(x).max(axis=1, keepdims=True)
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
 def axes(vecs: DataFrame) -> dict[int, np.ndarray]:
@@ -60,8 +71,7 @@ def axes(vecs: DataFrame) -> dict[int, np.ndarray]:
         sums: dict[int, np.ndarray] = {}
         for pdf in batches:
             for d, own in pdf.groupby("d"):
-                x = np.vstack(own["v"].to_list())
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
+                x = unit(matrix(own["v"]))
                 m = sums.setdefault(int(d), np.zeros((d + 1, d)))
                 m[:-1] += x.T @ x
                 m[-1] += x.sum(axis=0)
@@ -70,29 +80,20 @@ def axes(vecs: DataFrame) -> dict[int, np.ndarray]:
 
     def total(pdf: pd.DataFrame) -> pd.DataFrame:
         d = int(pdf["d"].iloc[0])
-        return pd.DataFrame({"d": [d], "m": [sum(np.frombuffer(m).reshape(d + 1, d) for m in pdf["m"]).tobytes()]})
+        return pd.DataFrame({"salt": [int(pdf["salt"].iloc[0])], "d": [d], "m": [sum(np.frombuffer(m).reshape(d + 1, d) for m in pdf["m"]).tobytes()]})
 
-    sums = vecs.select("d", "v").mapInPandas(partial, "salt int, d int, m binary").groupBy("salt", "d").applyInPandas(total, "d int, m binary")
+    sums = vecs.select("d", "v").mapInPandas(partial, "salt int, d int, m binary").groupBy("salt", "d").applyInPandas(total, "salt int, d int, m binary")
+    sums = sums.groupBy("d").applyInPandas(total, "salt int, d int, m binary")  # 32 matrices at most meet
     counts = {r["d"]: r["n"] for r in vecs.groupBy("d").agg(F.count("*").alias("n")).collect()}
-    found: dict[int, np.ndarray] = {}
-    for r in sums.collect():  # 32 matrices a dimension at most
-        found[r["d"]] = found.get(r["d"], 0) + np.frombuffer(r["m"]).reshape(r["d"] + 1, r["d"])
     out = {}
-    for d, m in found.items():
+    for r in sums.toLocalIterator():  # one matrix a dimension
+        d, m = r["d"], np.frombuffer(r["m"]).reshape(r["d"] + 1, r["d"])
         # About the origin, not the mean: cosines are products of the vectors themselves.
         values, columns = np.linalg.eigh(m[:-1] / counts[d])
         out[d] = np.ascontiguousarray(columns[:, np.argsort(-values)])
     return out
 
 
-def turned(pdf: pd.Series, basis: dict[int, np.ndarray]) -> list[np.ndarray]:
-    out = []
-    for v in pdf:
-        x = np.asarray(v, dtype=float)
-        out.append(x / np.linalg.norm(x) @ basis[len(x)])
-    return out
-
-
 def near_pairs(x: np.ndarray, y: np.ndarray, sx: np.ndarray, sy: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Rows i of x and j of y whose products can reach the threshold; sx, sy: norms of what follows each step."""
     d = x.shape[1]
@@ -142,19 +143,21 @@ def tile_links(x: np.ndarray, raw: np.ndarray, weight: np.ndarray, split: int |
 
 def embedding_groups(vecs: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.9, tile: int = TILE) -> DataFrame:
     """(id, n_links, component_id, kept) for every row of vecs."""
-    fine = materialize(usable(vecs, id_col, vec_col))
+    fine = materialize(usable(vecs, id_col, vec_col).withColumns({"k1": F.xxhash64("v"), "k2": F.xxhash64(F.lit(7), "v")}))
     basis = axes(fine)
-    key = F.struct(F.xxhash64("v"), F.xxhash64(F.lit(7), "v"))
-    keyed = fine.select("id", "v", "d", key["col1"].alias("k1"), key["col2"].alias("k2"))
-    distinct = keyed.groupBy("k1", "k2").agg(F.min("id").alias("first"), F.count("*").alias("n"), F.first("v").alias("v"), F.first("d").alias("d"))
-
-    @F.pandas_udf("array<double>")
-    def turn(v: pd.Series) -> pd.Series:
-        return pd.Series(turned(v, basis))
+    distinct = fine.groupBy("k1", "k2").agg(F.min("id").alias("first"), F.count("*").alias("n"), F.first("v").alias("v"), F.first("d").alias("d"))
+
+    @F.pandas_udf("double")
+    def lead(v: pd.Series) -> pd.Series:
+        """The first coordinate on the principal axes."""
+        size, out = v.map(len).to_numpy(), np.zeros(len(v))
+        for d in np.unique(size):
+            out[size == d] = unit(matrix(v[size == d])) @ basis[int(d)][:, 0]
+        return pd.Series(out)
 
-    distinct = materialize(distinct.withColumn("t", turn("v")))
+    distinct = materialize(distinct.withColumn("c", lead("v")))
     # Tiles: ranges of the first coordinate. Only the number of rows of each of 2048 ranges goes to the driver.
-    cell = F.least(F.lit(2047), F.greatest(F.lit(0), F.floor((F.element_at("t", 1) + 1) * 1024))).cast("int")
+    cell = F.least(F.lit(2047), F.greatest(F.lit(0), F.floor((F.col("c") + 1) * 1024))).cast("int")
     counts = {(r["d"], r["c"]): r["n"] for r in distinct.groupBy("d", cell.alias("c")).agg(F.count("*").alias("n")).collect()}
     tiles, of, filled = [], {}, 0  # (dimension, first cell, last cell, parts)
     for d, c in sorted(counts):
@@ -179,7 +182,7 @@ def embedding_groups(vecs: DataFrame, id_col: str = "vec_id", vec_col: str = "em
             out.append([{"lo": min(me, p), "hi": max(me, p), "me": me} for u in meets for p in range(first[u], first[u + 1])])
         return pd.Series(out)
 
-    dealt = distinct.select("k1", "k2", "n", "v", "t", F.explode(meetings("d", cell, F.pmod("k1", F.lit(1 << 20)))).alias("m")).select("k1", "k2", "n", "v", "t", "m.*")
+    dealt = distinct.select("k1", "k2", "n", "v", F.explode(meetings("d", cell, F.pmod("k1", F.lit(1 << 20)))).alias("m")).select("k1", "k2", "n", "v", "m.*")
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         lo, hi = pdf["lo"].iloc[0], pdf["hi"].iloc[0]
@@ -188,22 +191,24 @@ def embedding_groups(vecs: DataFrame, id_col: str = "vec_id", vec_col: str = "em
         if split in (0, len(pdf)):
             return pd.DataFrame({c: np.zeros(0, dtype=np.int64) for c in ("k1", "k2", "links", "o1", "o2")})
         k1, k2, weight = (pdf[c].to_numpy() for c in ("k1", "k2", "n"))
-        linked, forest = tile_links(np.vstack(pdf["t"].to_list()), np.vstack(pdf["v"].to_list()), weight, split, threshold)
+        raw = matrix(pdf["v"])
+        linked, forest = tile_links(unit(raw) @ basis[raw.shape[1]], raw, weight, split, threshold)
         rows = np.nonzero(linked)[0]
         a, b = (np.array([f[s] for f in forest], dtype=np.int64) for s in (0, 1))
         none = np.zeros(len(rows), dtype=np.int64)
         return pd.DataFrame({"k1": np.concatenate([k1[rows], k1[a]]), "k2": np.concatenate([k2[rows], k2[a]]), "links": np.concatenate([linked[rows], np.zeros(len(a), dtype=np.int64)]), "o1": np.concatenate([none, k1[b]]), "o2": np.concatenate([none, k2[b]])})
 
     met = materialize(dealt.groupBy("lo", "hi").applyInPandas(meet, "k1 long, k2 long, links long, o1 long, o2 long"))
-    degrees = met.where("links > 0").groupBy("k1", "k2").agg(F.sum("links").alias("links"))
+    degrees = materialize(met.where("links > 0").groupBy("k1", "k2").agg(F.sum("links").alias("links")))
     pair = lambda a, b: F.struct(F.col(a).alias("k1"), F.col(b).alias("k2"))
     roots = connected_components(met.where("links = 0").select(pair("k1", "k2").alias("a"), pair("o1", "o2").alias("b")))
     roots = roots.select("node.k1", "node.k2", "root")
     named = distinct.select("k1", "k2", "first", "n").join(roots, ["k1", "k2"], "left").join(degrees, ["k1", "k2"], "left")
-    named = named.withColumn("root", F.coalesce("root", F.struct("k1", "k2")))
-    names = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = named.join(names, "root").select("k1", "k2", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), "component_id")
-    linked = keyed.select("id", "k1", "k2").join(named, ["k1", "k2"]).select("id", "links", "component_id")
+    # Written before they are joined, so that the rows of a frequent name can be split.
+    named = materialize(named.withColumn("root", F.coalesce("root", F.struct("k1", "k2"))))
+    names = materialize(named.groupBy("root").agg(F.min("first").alias("component_id")))
+    named = materialize(named.join(names, "root").select("k1", "k2", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), "component_id"))
+    linked = fine.select("id", "k1", "k2").join(named, ["k1", "k2"]).select("id", "links", "component_id")
     v = vecs.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
     alone = v.where(~_fine()).select("id", F.lit(0).cast("long").alias("links"), F.col("id").alias("component_id"))
     rows = linked.unionByName(alone)

@@ -161,8 +161,10 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     distinct = materialize(fps.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("n")))
     roots = connected_components(links(distinct, radius))
     named = distinct.join(roots, distinct["fp"] == roots["node"], "left").where("root is not null or n > 1").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    names = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = named.join(names, "root").select(F.col("fp").alias("of"), "root", "component_id")
+    # Written before they are joined, so that the rows of a frequent name or fingerprint can be split.
+    named = materialize(named)
+    names = materialize(named.groupBy("root").agg(F.min("first").alias("component_id")))
+    named = materialize(named.join(names, "root").select(F.col("fp").alias("of"), "root", "component_id"))
     return fps.join(named, fps["fp"] == named["of"], "left").select("id", "sum", "fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "id").alias("component_id"))
 
 
