@@ -5,7 +5,8 @@ sum of its pre-tokens' counts. The tree's leaves are blocks of up to 64 pre-toke
 inner nodes hold the sums of both, so the block at a character offset is found, and a change carried up, in a
 logarithm of the text's length. An edit replaces some characters: pre-tokens are made anew from the last border two or
 more characters before it (what the pattern can look ahead) until a border falls on an old border behind it; from
-there on the old ones hold. Only the blocks in between are rewritten.
+there on the old ones hold. Only the blocks in between are rewritten, each with its own piece of the text, so an edit
+costs what it touches and not what the text has.
 
 Defined results: a null text counts as empty and has no tokens; edits apply in their order, each to the text that the
 one before left; offsets are cut to the text, a null replacement is empty, an edit without a start or end is skipped;
@@ -26,6 +27,10 @@ from pyspark.sql import types as T
 BLOCK = 64
 CACHE = 250_000
 Edit = tuple[int, int, str]
+Block = tuple[str, list[int], list[int]]
+#: E-mail addresses and long numbers. An address begins behind what can't be in it and gives no run back, so that no
+#: part of a text is scanned twice.
+_PRIVATE = r"(?<![\w.+-])[\w.+-]++@[\w-]++(?:\.[\w-]++)+|\+?\d[\d ()-]{6,}\d"
 
 
 class Counter:
@@ -57,20 +62,27 @@ class Counter:
 
 
 class Tree:
-    """A text, its pre-tokens in blocks, and a segment tree of the blocks' characters and tokens."""
+    """A text in blocks of pre-tokens, and a segment tree of the blocks' characters and tokens.
+
+    A block is (its characters, the lengths of its pre-tokens, their token counts); no edit copies more of the text than
+    the blocks that it touches and one more at each side.
+    """
 
     def __init__(self, text: str, counter: Counter):
-        self.text, self.counter = text, counter
+        self.counter, self.encoded = counter, 0
         pieces = counter.pattern.findall(text)
-        self._plant(list(map(len, pieces)), counter.counts(pieces))
-        self.encoded = 0
+        self._plant(self._cut(pieces, counter.counts(pieces)))
 
-    def _plant(self, sizes: list[int], counts: list[int]) -> None:
-        self.blocks = [(sizes[k : k + BLOCK], counts[k : k + BLOCK]) for k in range(0, len(sizes), BLOCK)] or [([], [])]
+    @staticmethod
+    def _cut(pieces: list[str], counts: list[int]) -> list[Block]:
+        return [("".join(p := pieces[k : k + BLOCK]), list(map(len, p)), counts[k : k + BLOCK]) for k in range(0, len(pieces), BLOCK)]
+
+    def _plant(self, blocks: list[Block]) -> None:
+        self.blocks = blocks or [("", [], [])]
         self.width = 1 << (len(self.blocks) - 1).bit_length()
         self.chars, self.tokens = [0] * (2 * self.width), [0] * (2 * self.width)
-        for k, (s, c) in enumerate(self.blocks):
-            self.chars[self.width + k], self.tokens[self.width + k] = sum(s), sum(c)
+        for k, (text, _, c) in enumerate(self.blocks):
+            self.chars[self.width + k], self.tokens[self.width + k] = len(text), sum(c)
         for k in range(self.width - 1, 0, -1):
             self.chars[k], self.tokens[k] = self.chars[2 * k] + self.chars[2 * k + 1], self.tokens[2 * k] + self.tokens[2 * k + 1]
 
@@ -78,6 +90,10 @@ class Tree:
     def n_tokens(self) -> int:
         return self.tokens[1]
 
+    @property
+    def text(self) -> str:
+        return "".join(b[0] for b in self.blocks)
+
     def _find(self, at: int) -> tuple[int, int]:
         """The block that holds character `at` (the last block for the text's end) and the offset of its beginning."""
         node, start = 1, 0
@@ -88,59 +104,77 @@ class Tree:
                 node += 1
         return node - self.width, start
 
-    def _set(self, k: int, sizes: list[int], counts: list[int]) -> None:
-        self.blocks[k] = (sizes, counts)
+    def _set(self, k: int, block: Block) -> None:
+        self.blocks[k] = block
         node = self.width + k
-        self.chars[node], self.tokens[node] = sum(sizes), sum(counts)
+        self.chars[node], self.tokens[node] = len(block[0]), sum(block[2])
         while node > 1:
             node //= 2
             self.chars[node], self.tokens[node] = self.chars[2 * node] + self.chars[2 * node + 1], self.tokens[2 * node] + self.tokens[2 * node + 1]
 
     def edit(self, start: int, end: int, new: str) -> None:
-        start = min(max(start, 0), len(self.text))
-        end = min(max(end, start), len(self.text))
-        text = self.text[:start] + new + self.text[end:]
-        moved = len(new) - (end - start)
+        start = min(max(start, 0), self.chars[1])
+        end = min(max(end, start), self.chars[1])
         # The last border at least two characters before the edit.
-        first, at = self._find(max(0, start - 2))
-        head = 0
-        for size in self.blocks[first][0]:
-            if at + size > start - 2:
+        first, base = self._find(max(0, start - 2))
+        head, skip = 0, 0
+        for size in self.blocks[first][1]:
+            if base + skip + size > start - 2:
                 break
-            at += size
+            skip += size
             head += 1
-        # New pre-tokens, until a border is an old one at or behind the edit's end. `last` and `tail` follow the old ones.
-        last, tail, old, fresh = first, head, at, []
-        done = False
-        for match in self.counter.pattern.finditer(text, at):
-            fresh.append(match[0])
-            here = match.end() - moved
-            while old < here and last < len(self.blocks):
-                if tail < len(self.blocks[last][0]):
-                    old += self.blocks[last][0][tail]
-                    tail += 1
-                elif last + 1 < len(self.blocks):
-                    last, tail = last + 1, 0
-                else:
+        # New pre-tokens of the blocks around the edit until one ends at an old border behind it. One that reaches the
+        # end of what has been looked at may go on in the next blocks, so more of them are looked at: twice as many.
+        last, _ = self._find(end)
+        more = 1
+        while True:
+            last = min(last + more, len(self.blocks) - 1)
+            whole = "".join(b[0] for b in self.blocks[first : last + 1])
+            text = whole[skip : start - base] + new + whole[end - base :]
+            moved = len(new) - (end - start)
+            borders, at = {}, 0
+            for k in range(first, last + 1):
+                for n, size in enumerate(self.blocks[k][1]):
+                    if at >= end - base:
+                        borders[at] = (k, n)
+                    at += size
+            fresh, here, done = [], 0, None
+            final = last == len(self.blocks) - 1
+            for match in self.counter.pattern.finditer(text):
+                if not final and match.end() + 2 > len(text):
+                    break
+                fresh.append(match[0])
+                here = match.end() + skip - moved
+                if here >= end - base and here in borders:
+                    done = borders[here]
                     break
-            if old == here and here >= end:
-                done = True
+            if done or final:
                 break
-        if not done:
-            last, tail = len(self.blocks) - 1, len(self.blocks[-1][0])
-        sizes = self.blocks[first][0][:head] + list(map(len, fresh)) + self.blocks[last][0][tail:]
-        counts = self.blocks[first][1][:head] + self.counter.counts(fresh) + self.blocks[last][1][tail:]
+            more *= 2
+        k, n = done or (last, len(self.blocks[last][1]))
+        _, sizes, counts = self.blocks[k]
+        tail = self.blocks[k][0][sum(sizes[:n]) :]
+        before = self.blocks[first]
         self.encoded += len(fresh)
-        self.text = text
+        pieces = [before[0][:skip], *fresh, tail]
+        text, sizes = "".join(pieces), before[1][:head] + list(map(len, fresh)) + sizes[n:]
+        counts = before[2][:head] + self.counter.counts(fresh) + counts[n:]
+        self._lay(first, k, text, sizes, counts)
+
+    def _lay(self, first: int, last: int, text: str, sizes: list[int], counts: list[int]) -> None:
+        """Puts pre-tokens in the place of the blocks from `first` to `last`."""
         room = last - first + 1
-        if len(sizes) > 4 * BLOCK * room:  # a long insertion: the tree grows
-            s = [x for b in self.blocks[:first] for x in b[0]] + sizes + [x for b in self.blocks[last + 1 :] for x in b[0]]
-            c = [x for b in self.blocks[:first] for x in b[1]] + counts + [x for b in self.blocks[last + 1 :] for x in b[1]]
-            self._plant(s, c)
+        step = BLOCK if len(sizes) > 4 * BLOCK * room else max(1, -(-len(sizes) // room))
+        made, at = [], 0
+        for k in range(0, max(len(sizes), 1), step):
+            to = at + sum(sizes[k : k + step])
+            made.append((text[at:to], sizes[k : k + step], counts[k : k + step]))
+            at = to
+        if len(made) > room:  # a long insertion: the tree grows
+            self._plant(self.blocks[:first] + made + self.blocks[last + 1 :])
             return
-        step = max(1, -(-len(sizes) // room))
         for k in range(room):
-            self._set(first + k, sizes[k * step : (k + 1) * step], counts[k * step : (k + 1) * step])
+            self._set(first + k, made[k] if k < len(made) else ("", [], []))
 
 
 def count_tokens(docs: DataFrame, path: str, pattern: str, edits: Callable[[str], list[Edit]] | DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -176,7 +210,7 @@ def count_tokens(docs: DataFrame, path: str, pattern: str, edits: Callable[[str]
                         out.append((n, len(pieces), 0, n, 0, text))
                         continue
                     tree = Tree(text or "", counter)
-                    before, size = tree.n_tokens, sum(len(s) for s, _ in tree.blocks)
+                    before, size = tree.n_tokens, sum(len(b[1]) for b in tree.blocks)
                     for e in todo:
                         tree.edit(*e)
                     out.append((before, size, len(todo), tree.n_tokens, tree.encoded, tree.text))
@@ -190,5 +224,4 @@ def redactions(text: str) -> list[Edit]:
     """Edits that replace e-mail addresses and long digit runs, from the text's end to its beginning."""
     import re
 
-    found = [(m.start(), m.end(), "[redacted]") for m in re.finditer(r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+|\+?\d[\d ()-]{6,}\d", text)]
-    return found[::-1]
+    return [(m.start(), m.end(), "[redacted]") for m in re.finditer(_PRIVATE, text)][::-1]

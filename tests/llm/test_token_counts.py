@@ -1,4 +1,5 @@
 import random
+import time
 
 import public_tokenizers
 import pytest
@@ -31,7 +32,7 @@ def test_random_edits_equal_whole_encoding(counter):
             text = text[:lo] + new + text[min(max(b, lo), len(text)) :]
             assert tree.text == text
             assert tree.n_tokens == len(counter.encode(text)), (turn, text)
-            assert [s for b_ in tree.blocks for s in b_[0]] == list(map(len, counter.pattern.findall(text)))
+            assert [s for b_ in tree.blocks for s in b_[1]] == list(map(len, counter.pattern.findall(text)))
 
 
 def test_only_touched_regions_are_encoded(counter):
@@ -41,6 +42,25 @@ def test_only_touched_regions_are_encoded(counter):
     assert tree.encoded < 50 * 8 and tree.n_tokens == len(counter.encode(tree.text))
 
 
+def test_long_texts_and_many_edits_take_linear_time(counter):
+    began = time.time()
+    assert token_counts.redactions("a" * 1_000_000) == [] and token_counts.redactions("a@" * 250_000) == []
+    assert token_counts.redactions("1 " * 3 + "(" * 1_000_000) == [] and token_counts.redactions("a@b" + "-" * 1_000_000) == []
+    text = "some words here " * 60_000 + "a" * 50_000
+    tree = token_counts.Tree(text, counter)
+    rng = random.Random(6)
+    for k in range(10_000):
+        at = rng.randrange(900_000)
+        tree.edit(at, at + rng.randrange(9), rng.choice(("", "x", " new words", "1")))
+    assert time.time() - began < 30
+    assert tree.n_tokens == counter.total(tree.text)
+
+
+def test_redactions_find_addresses_and_numbers():
+    text = "mail a.b+c@x-y.org, or call +49 (30) 123-4567; not 12345, not a@b"
+    assert [text[a:b] for a, b, _ in token_counts.redactions(text)] == ["+49 (30) 123-4567", "a.b+c@x-y.org"]
+
+
 def test_dataframe_edits_and_odd_rows(spark, counter):
     docs = spark.createDataFrame([(1, "call me now"), (2, None), (3, ""), (None, "a b"), (1, "call me now"), (4, "x" * 200_000)], "doc_id long, text string").withColumn("edits", F.lit(1)).withColumn("of", F.lit(2))
     edits = spark.createDataFrame([(1, 2, 0, 3, "CALL"), (1, 1, 0, 4, "sms"), (None, 1, 1, 9, None), (3, 1, 0, 0, "new"), (4, 1, None, 3, "no"), (9, 1, 0, 1, "q")], "id long, seq long, start long, end long, new string")
