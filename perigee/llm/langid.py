@@ -11,6 +11,8 @@ The first reading is by text alone; everything else is grouped counts of it. Hos
 a host. The trigram model (languages x 65,536) and the table of declarations (languages x languages + 2) are bounded
 and go to all workers.
 
+Pages and texts are read whole, each in one walk forward whatever stands in it.
+
 Defined results: a null or empty page has no text evidence and no reading of its own, so its address and declaration
 decide; a null url, or one without a host, shares the empty host; a declared value that no labelled text has counts as
 "other", none as "none"; ties go to the language first in order; repeated rows are judged alike and count as pages of
@@ -34,15 +36,33 @@ from perigee.llm.common import materialize
 
 SIZE = 1 << 16
 CHUNK = 1 << 20
-_UNSEEN = re.compile(r"<(script|style|nav|template|noscript)\b.*?</\1\s*>|<!--.*?-->", re.I | re.S)
-_TAG = re.compile(r"<[^>]*>")
+_OPEN = re.compile(r"<(?:!--|(script|style|nav|template|noscript)\b|[^>]*>)", re.I)
+_END = {name: re.compile(rf"</{name}\s*+>", re.I) for name in ("script", "style", "nav", "template", "noscript")} | {"": re.compile("-->")}
+_CLOSE = re.compile(">")
 _HTML = re.compile(r"<html\b[^>]*", re.I)
-_LANG = re.compile(r"\blang\s*=\s*[\"']?\s*([A-Za-z]+)", re.I)
+_LANG = re.compile(r"\blang\s*+=\s*+(?:[\"']\s*+)?([A-Za-z]+)", re.I)
 _MARKS = re.compile(r"[\W\d_]+")
 
 
 def visible(page: str | None) -> str:
-    return entities.unescape(_TAG.sub(" ", _UNSEEN.sub(" ", page or "")))
+    """A page's text: without comments, tags, and what stands in elements that are not read. One walk forward: an end
+    that was once looked for in vain is not looked for again, so a page's time grows with its length alone."""
+    page = page or ""
+    out, at, absent = [], 0, set()
+    last = page.rfind(">")  # behind it no tag ends
+    while found := _OPEN.search(page, at, last + 1):
+        name = (found[1] or "").lower()
+        unread, end = name or found[0] == "<!--", None
+        if unread and name not in absent:
+            end = _END[name].search(page, found.end())
+            if end is None:
+                absent.add(name)
+        if end is None and unread:  # an element without an end hides only its tag, a comment without one is a tag
+            end = _CLOSE.search(page, found.start())
+        out.append(page[at : found.start()])
+        at = end.end() if end else found.end()
+    out.append(page[at:])
+    return entities.unescape(" ".join(out))
 
 
 def declared(page: str | None) -> str | None:
@@ -136,8 +156,10 @@ def identify(pages: DataFrame, docs: DataFrame, id_col: str = "page_id", url_col
     odds = {v: [math.log((said.get((v, g + 1), 0) + (0.5 if v == langs[g] else 0) + 0.5 / len(values)) / (total[g] + 1)) for g in range(k)] for v in values}
     corpus = [(n + 1) / (sum(total) + k) for n in total]
 
-    suffixes = rows.groupBy("suffix").agg(F.array(*counts).alias("of_suffix"))
-    hosts = rows.groupBy("host", "suffix").agg(F.array(*counts).alias("of_host")).join(suffixes, "suffix").drop("suffix").withColumnRenamed("host", "h")
+    # Written before they are joined: the pages of a frequent host, and the hosts of a frequent suffix, can be split.
+    suffixes = materialize(rows.groupBy("suffix").agg(F.array(*counts).alias("of_suffix")))
+    hosts = materialize(rows.groupBy("host", "suffix").agg(F.array(*counts).alias("of_host")))
+    hosts = materialize(hosts.join(suffixes, "suffix").drop("suffix").withColumnRenamed("host", "h"))
     joined = rows.join(hosts, F.col("host") == F.col("h"))
     others = lambda c: F.transform(c, lambda x, i: x - F.when(F.col("guess") == i + 1, 1.0).otherwise(0.0))  # noqa: E731  the page itself doesn't count
     smooth = lambda own, prior: F.zip_with(own, prior, lambda x, p: (x + strength * p) / (F.aggregate(own, F.lit(0.0), lambda a, y: a + y) + strength))
