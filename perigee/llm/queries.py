@@ -133,23 +133,23 @@ FROM places JOIN firsts USING (w) LEFT JOIN near USING (w)
 WHERE near.f IS NOT NULL OR {'d': d, 'n': n} > firsts.f
 """
 
-OP10_SQL = r"""
+#: Plain brute force: every placement at which any token agrees, so it depends on no masks. A window that begins at an
+#: agreeing token and hangs over the item's end has no more agreeing tokens than the last one inside.
+OP10_SQL = rf"""
 WITH d AS (
-  SELECT doc_id, list_filter(string_split(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM documents
+  SELECT doc_id, list_filter(string_split(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM documents
 ), b AS (
-  SELECT item_id, list_filter(string_split(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g'), ' '), lambda x: x <> '') AS v FROM benchmark
-), ds AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, w FROM d),
-bs AS (SELECT item_id, unnest(range(1, len(v) + 1)) AS j, v FROM b),
-seeds AS (
-  SELECT DISTINCT doc_id, item_id, i - j AS start FROM ds JOIN bs ON w[i] = v[j] AND w[i + 1] = v[j + 1] AND w[i + 3] = v[j + 3] AND w[i + 6] = v[j + 6] AND w[i + 7] = v[j + 7]
-), laid AS (
-  SELECT doc_id, item_id, start, least(len(v), 13) AS win, list_transform(range(1, len(v) + 1), lambda k: CAST(k + start >= 1 AND coalesce(w[k + start] = v[k], false) AS INTEGER)) AS a
-  FROM seeds JOIN d USING (doc_id) JOIN b USING (item_id)
-), best AS (
-  SELECT doc_id, item_id, start, win, CAST(list_max(list_transform(range(1, len(a) - win + 2), lambda k: list_sum(a[k:k + win - 1]))) AS INTEGER) AS n FROM laid
+  SELECT item_id, list_filter(string_split(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' '), lambda x: x <> '') AS v FROM benchmark
+), ds AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS t FROM d),
+bs AS (SELECT item_id, unnest(range(1, len(v) + 1)) AS j, unnest(v) AS t, least(len(v), {decontaminate.WINDOW}) AS win FROM b),
+same AS (SELECT doc_id, item_id, i - j AS start, j, win FROM ds JOIN bs USING (t)),
+able AS (SELECT doc_id, item_id, start FROM same GROUP BY doc_id, item_id, start HAVING count(*) >= ceil(min(win) * {decontaminate.SIMILARITY})),
+runs AS (
+  SELECT doc_id, item_id, start, win, count(*) OVER (PARTITION BY doc_id, item_id, start ORDER BY j RANGE BETWEEN CURRENT ROW AND {decontaminate.WINDOW - 1} FOLLOWING) AS n
+  FROM same SEMI JOIN able USING (doc_id, item_id, start)
 )
-SELECT doc_id, item_id, CAST(arg_min(start, {'a': -n, 'b': start}) AS INTEGER) AS start, max(n) AS agreeing, CAST(max(win) AS INTEGER) AS "window"
-FROM best WHERE n >= ceil(win * 0.8) GROUP BY doc_id, item_id
+SELECT doc_id, item_id, CAST(arg_min(start, {{'a': -n, 'b': start}}) AS INTEGER) AS start, CAST(max(n) AS INTEGER) AS agreeing, CAST(max(win) AS INTEGER) AS "window"
+FROM runs WHERE n >= ceil(win * {decontaminate.SIMILARITY}) GROUP BY doc_id, item_id
 """
 
 OP7_SQL = """
