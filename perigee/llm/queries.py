@@ -64,8 +64,8 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_lines": op1_lines, "op2_simhash": op2_simhash, "op3_token_counts": op3_token_counts, "op4_urls": op4_urls, "op5_language_id": op5_language_id, "op6_packing": op6_packing, "op7_embeddings": op7_embeddings, "op8_quality": op8_quality, "op9_lm_score": op9_lm_score, "op10_decontamination": op10_decontamination}
 
-def _op4_sql(strength: float = 4.0, reject: float = 0.5, least: int = 5, bands: int = 4, max_children: int = 24, share: float = 0.02) -> str:
-    """The tree of `urls.judged` in DuckDB's SQL, level by level."""
+def _op4_sql(strength: float = 4.0, reject: float = 0.5, least: int = 5, z: float = 1.96, max_children: int = 24, share: float = 0.02) -> str:
+    """The tree of `urls.judged` in DuckDB's SQL: a recursion down the paths, one along the places of the templates."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     rule, verdict = "NULL", "NULL"
     for what, text in sorted(RULES, key=lambda r: (len(r[1]), r[1])):
@@ -73,39 +73,35 @@ def _op4_sql(strength: float = 4.0, reject: float = 0.5, least: int = 5, bands:
         fits = f"((host = '{own}' OR ends_with(host, '.{own}')) AND starts_with(path, '/{below}'))"
         rule, verdict = f"CASE WHEN {fits} THEN '{text}' ELSE {rule} END", f"CASE WHEN {fits} THEN '{what}' ELSE {verdict} END"
     shaped = lambda c: rf"concat('*', regexp_extract({c}, '(\.[A-Za-z]{{1,5}})\z', 1))"
-    smooth = lambda bad, n, prior: f"((coalesce({bad}, 0) + CAST({strength} AS DOUBLE) * {prior}) / (coalesce({n}, 0) + CAST({strength} AS DOUBLE)))"
+    double = lambda x: f"CAST({x} AS DOUBLE)"
+    smooth = lambda bad, n, prior: f"(({bad} + {double(strength)} * {prior}) / ({n} + {double(strength)}))"
     ctes = [
         "u AS (SELECT page_id, coalesce(CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END, '') AS rest FROM pages)",
         f"hp AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), '{upper}', '{upper.lower()}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u)",
         f"r AS (SELECT page_id, host, path, {rule} AS rule, {verdict} AS decided FROM hp)",
         "paths AS (SELECT host, path, count(*) AS n, count(decided) AS known, count(*) FILTER (WHERE decided = 'block') AS bad FROM r GROUP BY host, path)",
-        "t0 AS (SELECT host, path, n, CASE WHEN path = '' THEN [] ELSE string_split(substr(path, 2), '/')[1:4] END AS pieces, '' AS template, len(string_split(path, '/')) > 5 AS deep FROM paths)",
-    ]
-    for k in range(1, urls.DEPTH + 1):
-        raw = f"CASE WHEN len(pieces) >= {k} THEN pieces[{k}] END"
-        ctes += [
-            f"p{k} AS (SELECT *, CASE WHEN regexp_matches({raw}, '[0-9]') OR length({raw}) > 40 THEN {shaped(raw)} ELSE {raw} END AS piece FROM t{k - 1})",
-            f"c{k} AS (SELECT host, template, piece, sum(n) AS m FROM p{k} WHERE piece IS NOT NULL GROUP BY host, template, piece)",
-            f"a{k} AS (SELECT host, template, sum(m) AS total, count(*) AS children FROM c{k} GROUP BY host, template)",
-            f"m{k} AS (SELECT c.host, c.template, c.piece FROM c{k} c JOIN a{k} a ON c.host = a.host AND c.template = a.template WHERE a.children > {max_children} AND c.m < CAST({share} AS DOUBLE) * a.total AND NOT starts_with(c.piece, '*'))",
-            f"t{k} AS (SELECT p.host, p.path, p.n, p.pieces, CASE WHEN p.piece IS NULL THEN p.template ELSE concat(p.template, '/', CASE WHEN m.piece IS NOT NULL THEN {shaped('p.piece')} ELSE p.piece END) END AS template, p.deep "
-            f"FROM p{k} p LEFT JOIN m{k} m ON p.host = m.host AND p.template = m.template AND p.piece = m.piece)",
-        ]
-    ctes += [
-        f"named AS (SELECT host, path, CASE WHEN deep THEN concat(template, '/**') ELSE template END AS template FROM t{urls.DEPTH})",
-        "tree AS (SELECT paths.host, paths.path, known, bad, template, regexp_extract(template, '^(/[^/]*)?', 0) AS head FROM paths JOIN named ON paths.host = named.host AND paths.path = named.path)",
+        f"walk(host, path, n, rest, template) AS (SELECT host, path, n, CASE WHEN path = '' THEN [] ELSE list_transform(string_split(substr(path, 2), '/'), lambda x: CASE WHEN regexp_matches(x, '[0-9]') OR length(x) > 40 THEN {shaped('x')} ELSE x END) END, '' FROM paths "
+        f"UNION ALL SELECT host, path, n, rest[2:], concat(template, '/', CASE WHEN children > {max_children} AND m < {double(share)} * total AND NOT starts_with(rest[1], '*') THEN {shaped('rest[1]')} ELSE rest[1] END) "
+        "FROM (SELECT *, sum(n) OVER (PARTITION BY host, template, rest[1]) AS m, sum(n) OVER (PARTITION BY host, template) AS total, count(DISTINCT rest[1]) OVER (PARTITION BY host, template) AS children FROM walk WHERE len(rest) > 0) w)",
+        "named AS (SELECT host, path, template FROM walk WHERE len(rest) = 0)",
+        "tree AS (SELECT paths.host, paths.path, known, bad, template FROM paths JOIN named ON paths.host = named.host AND paths.path = named.path)",
         "corpus AS (SELECT CAST(coalesce(sum(bad), 0) AS DOUBLE) / (coalesce(sum(known), 0) + 1) AS x FROM tree)",
-        "hosts AS (SELECT host, sum(known) AS hk, sum(bad) AS hb FROM tree GROUP BY host)",
-        "heads AS (SELECT host, head, sum(known) AS dk, sum(bad) AS db FROM tree GROUP BY host, head)",
-        "leaves AS (SELECT host, template, any_value(head) AS head, sum(known) AS lk, sum(bad) AS lb FROM tree GROUP BY host, template)",
-        f"s1 AS (SELECT l.*, substr(template, length(l.head) + 1) AS tail, dk, db, {smooth('hb', 'hk', '(SELECT x FROM corpus)')} AS host_share FROM leaves l JOIN heads d ON l.host = d.host AND l.head = d.head JOIN hosts h ON l.host = h.host)",
-        f"s2 AS (SELECT *, {smooth('db', 'dk', 'host_share')} AS head_share FROM s1)",
-        f"s3 AS (SELECT *, floor(least({smooth('lb', 'lk', 'head_share')}, CAST(0.999 AS DOUBLE)) * {bands}) AS band FROM s2)",
-        "merged AS (SELECT host, tail, band, count(*) AS branches, sum(lk) AS mk, sum(lb) AS mb FROM s3 GROUP BY host, tail, band)",
-        f"done AS (SELECT s.host, s.template, CASE WHEN branches > 1 THEN concat('/*', s.tail) ELSE s.template END AS branch, mk, {smooth('mb', 'mk', 's.host_share')} AS bad_share FROM s3 s JOIN merged m ON s.host = m.host AND s.tail = m.tail AND s.band = m.band)",
+        f"hosts AS (SELECT host, {smooth('sum(bad)', 'sum(known)', '(SELECT x FROM corpus)')} AS host_share FROM tree GROUP BY host)",
+        "leaves AS (SELECT tree.host, template, any_value(host_share) AS host_share, sum(known) AS known, sum(bad) AS bad FROM tree JOIN hosts ON tree.host = hosts.host GROUP BY tree.host, template)",
+        # One row a branch, with the templates in it; step k merges siblings that differ in place k alone.
+        f"steps(k, host, branch, templates, host_share, known, bad) AS (SELECT 0, host, template, [template], host_share, known, bad FROM leaves UNION ALL SELECT k, host, CASE WHEN count(*) > 1 THEN concat('/', array_to_string(list_transform(any_value(pieces), lambda p, i: CASE WHEN i = k THEN concat('(', names, ')') ELSE p END), '/')) ELSE any_value(branch) END, "
+        "flatten(list(templates)), any_value(host_share), sum(known), sum(bad) FROM (SELECT *, string_agg(piece, '|') OVER (PARTITION BY k, host, family, run ORDER BY piece ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS names FROM "
+        "(SELECT *, sum(apart) OVER (PARTITION BY k, host, family ORDER BY p, piece ROWS UNBOUNDED PRECEDING) AS run FROM "
+        f"(SELECT *, CASE WHEN p - lag(p) OVER f > {double(z)} * sqrt(v + lag(v) OVER f) THEN 1 ELSE 0 END AS apart FROM (SELECT *, p * (1 - p) / (known + {double(strength)}) AS v FROM "
+        f"(SELECT k + 1 AS k, host, branch, templates, host_share, known, bad, pieces, pieces[k + 1] AS piece, {smooth('bad', 'known', 'host_share')} AS p, CASE WHEN known >= {least} AND len(pieces) > k AND NOT starts_with(pieces[k + 1], '*') "
+        "THEN array_to_string(list_transform(pieces, lambda p, i: CASE WHEN i = k + 1 THEN '*' ELSE p END), '/') ELSE concat('/alone/', branch) END AS family "
+        "FROM (SELECT *, string_split(substr(branch, 2), '/') AS pieces FROM steps) s0 WHERE k < (SELECT max(len(string_split(substr(template, 2), '/'))) FROM leaves)) s1) s2 WINDOW f AS (PARTITION BY k, host, family ORDER BY p, piece)) s3) s4) s5 GROUP BY k, host, family, run, names)",
+        "branches AS (SELECT host, branch, unnest(templates) AS template, host_share, known, bad, regexp_extract(branch, '^(/[^/]*)?', 0) AS head FROM steps WHERE k = (SELECT max(k) FROM steps))",
+        f"heads AS (SELECT host, head, {smooth('sum(bad)', 'sum(known)', 'any_value(host_share)')} AS head_share FROM (SELECT DISTINCT host, branch, head, host_share, known, bad FROM branches) b GROUP BY host, head)",
+        f"done AS (SELECT b.host, b.template, b.branch, b.known AS mk, {smooth('b.bad', 'b.known', 'head_share')} AS bad_share FROM branches b JOIN heads d ON b.host = d.host AND b.head = d.head)",
     ]
     return (
-        f"WITH {', '.join(ctes)} SELECT r.page_id, r.host, r.path, r.rule, coalesce(r.decided, CASE WHEN d.mk >= {least} AND d.bad_share > {reject} THEN 'block' ELSE 'allow' END) AS verdict, d.branch AS template, CAST(d.bad_share AS DOUBLE) AS bad_share "
+        f"WITH RECURSIVE {', '.join(ctes)} SELECT r.page_id, r.host, r.path, r.rule, coalesce(r.decided, CASE WHEN d.mk >= {least} AND d.bad_share > {reject} THEN 'block' ELSE 'allow' END) AS verdict, d.branch AS template, CAST(d.bad_share AS DOUBLE) AS bad_share "
         "FROM r JOIN named n ON r.host = n.host AND r.path = n.path JOIN done d ON n.host = d.host AND n.template = d.template"
     )
 

@@ -1,9 +1,11 @@
+import random
 import re
 
+import duckdb
 from pyspark.sql import functions as F
 
 from perigee.llm import urls
-from perigee.llm.queries import RULES, op4_urls
+from perigee.llm.queries import ORACLE_SQL, RULES, op4_urls
 
 
 def split(url):
@@ -62,7 +64,75 @@ def test_templates_merge_and_reject(spark):
     known = spark.createDataFrame([*labels, (None, 1), (1, None), (2, 7)], "id long, bad int")
     rows = {r.id: r for r in urls.judged(df, [], labels=known).collect()}
     assert len(rows) == len(pages)
-    for n, (host, head, want) in enumerate((("a.com", "/spam/*.html", "block"), ("a.com", "/news/*.html", "allow"), ("b.com", "/*/*.html", "block"), ("b.com", "/*/*.html", "block"), ("b.com", "/blog/*.html", "allow"))):
+    for n, (host, head, want) in enumerate((("a.com", "/spam/*.html", "block"), ("a.com", "/news/*.html", "allow"), ("b.com", "/(ads|promo)/*.html", "block"), ("b.com", "/(ads|promo)/*.html", "block"), ("b.com", "/blog/*.html", "allow"))):
         for r in (rows[40 * n + m] for m in range(40)):
             assert (r.host, r.template, r.verdict) == (host, head, want)
     assert {rows[p].template for p, u in pages if "c.com" in u} == {"/*"}
+
+
+def slow_templates(paths, max_children=24, share=0.02):
+    """{(host, path): template}, level by level in dictionaries; paths: {(host, path): pages}."""
+    shaped = lambda p: "*" + (m[1] if (m := re.search(r"(\.[A-Za-z]{1,5})\Z", p)) else "")
+    rest = {k: [] if not k[1] else [shaped(p) if re.search("[0-9]", p) or len(p) > 40 else p for p in k[1][1:].split("/")] for k in paths}
+    name = dict.fromkeys(paths, "")
+    for level in range(max(map(len, rest.values()), default=0)):
+        below = {}
+        for k, n in paths.items():
+            if len(rest[k]) > level:
+                own = below.setdefault((k[0], name[k]), {})
+                own[rest[k][level]] = own.get(rest[k][level], 0) + n
+        for k in paths:
+            if len(rest[k]) > level:
+                own, p = below[k[0], name[k]], rest[k][level]
+                many = len(own) > max_children and own[p] < share * sum(own.values()) and not p.startswith("*")
+                name[k] += "/" + (shaped(p) if many else p)
+    return name
+
+
+def test_trees_of_any_depth_match_brute_force(spark):
+    rng = random.Random(7)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    paths = {}
+    for host in ("a.com", "b.com", "c.com"):
+        for _ in range(300):
+            deep = rng.choice((0, 1, 2, 3, 6, 7))
+            parts = [rng.choice(("news", "sport", word(2), word(5), str(rng.randrange(99)))) for _ in range(deep)]
+            paths[host, "".join("/" + p for p in parts) + rng.choice(("", "/", "/x.html", f"/{word(4)}.htm", "/" + word(50)))] = rng.choice((1, 1, 5))
+        for n in range(70):
+            paths[host, f"/2024/05/01/long/way/down/{word(3)}/{word(6)}/end"] = 1
+            paths[host, "/only/one/chain" + "/x" * (n % 32)] = 1
+    df = spark.createDataFrame([(h, p, n) for (h, p), n in paths.items()], "host string, path string, n long")
+    got = {(r.host, r.path): r.template for r in urls.templates(df).collect()}
+    assert got == slow_templates(paths)
+    assert any(t.startswith("/*/*/*/long/way/down/*/*/end") for t in got.values())
+
+
+def test_similar_branches_merge_at_any_level_and_deep_bad_ones_are_rejected(spark):
+    pages, labels, k = [], [], 0
+    for head, bad in (("/x/y/z/w/v/spam", 1), ("/x/y/z/w/v/junk", 1), ("/x/y/z/w/v/news", 0), ("/x/y/z/w/v/few", 1)):
+        for n in range(40):
+            pages.append((k, f"http://a.com{head}/p{n}.html"))
+            if n < (15 if "few" not in head else 2):
+                labels.append((k, bad))
+            k += 1
+    df, known = spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "id long, bad int")
+    rows = {r.id: (r.template, r.verdict) for r in urls.judged(df, [], labels=known).collect()}
+    assert rows[39] == rows[79] == ("/x/y/z/w/v/(junk|spam)/*.html", "block") and rows[119] == ("/x/y/z/w/v/news/*.html", "allow") and rows[159] == ("/x/y/z/w/v/few/*.html", "allow")
+
+
+def test_sql_rejects_and_merges_as_the_query_does(spark, tmp_path):
+    """A table on which the tree itself blocks, merges and goes deep, for query and SQL alike."""
+    rng, urls_ = random.Random(1), []
+    for host, head in (("a.org", "/fr/"), ("b.net", "/fr/"), ("c.example.com", "/de/"), ("d.example.net", "/en/")):
+        for n in range(90):
+            urls_.append(f"https://{host}{rng.choice((head, '/de/', '/xx/yy/'))}{rng.choice(('one', 'two', 'three'))}/{rng.choice(('p', 'q/r/s/t/u'))}/{n}.html")
+    urls_ += [f"http://www.example.com/{rng.choice(('de', 'dx'))}/{w}" for w in "abcdefghijklm" for _ in range(9)] + ODD
+    urls_ += [f"http://many.example.com/{w}/{n}.html" for w in (a + b for a in "abcdefgh" for b in "qrstuvwxyz") for n in range(6)] + [f"http://many.example.com/de/{n}.html" for n in range(6)]
+    df = spark.createDataFrame(list(enumerate(urls_)), "page_id long, url string")
+    df.write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = con.execute(f"SELECT page_id, host, path, rule, verdict, template, bad_share FROM ({ORACLE_SQL['op4_urls']})").fetchall()
+    got = [tuple(r) for r in op4_urls(spark, str(tmp_path)).select("page_id", "host", "path", "rule", "verdict", "template", "bad_share").collect()]
+    assert sorted(got) == sorted(want) if all(r[3] for r in got) else sorted(map(repr, got)) == sorted(map(repr, want))
+    assert any(r[3] is None and r[4] == "block" for r in got) and any("(" in r[5] for r in got)
