@@ -7,11 +7,14 @@ summed over quarters; the rest are compared by exclusive-or and bit count in num
 forest of its links, never all pairs of a group, and connected components join the forests.
 
 Groups by similarity (`similar_groups`): texts link if their sets of word shingles have a Jaccard similarity of at
-least `similarity`. Equal sets collapse. Candidates are pairs whose set sizes allow it and whose fingerprints over the
-sets, 128 bits here, differ in at most RADIUS bits (FEW_RADIUS where the larger set has at most FEW shingles); the sets
-of each candidate pair are compared exactly. At similarity 0.8 some 19 bits differ, with a standard deviation of 4.
-Two passes: the first gives a forest of candidates a meeting, the second all candidate pairs between the groups that
-the first's verified links make, so a group of copies never gives its pairs but no link is missed for it.
+least `similarity`. Equal sets collapse. Small sets (up to SMALL shingles) meet by keys: at similarity 0.8 two of them
+are linked only if one is the other without one shingle, or both have SMALL and one differs, so the hashes of a set and
+of it without each shingle in turn find their links exactly; a group of thousands gives one link a member. Where a set
+is larger, candidates are pairs whose sizes allow it and whose fingerprints over the sets, 512 bits here, differ in at
+most RADII[-1] bits, and the sets of each candidate pair are compared exactly. At similarity 0.8 some 79 bits differ,
+with a standard deviation of 8. The passes widen: the first ones propose a forest of the nearest candidates a meeting,
+so that groups of copies grow together by few links; the last proposes all candidate pairs between what is still apart,
+so no link is missed.
 
 Defined results: a null or empty text, or one without words, has fingerprint zero and links like any other; a
 null id takes part and never is a component's name unless all its members' ids are null; repeated rows are copies;
@@ -36,8 +39,11 @@ LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: Fingerprints in a tile at most, about: a worker holds two tiles.
 TILE = 32_768
 BLOCK = 256
-RADIUS = 40
-FEW, FEW_RADIUS = 8, 52
+#: Shingles of a small set, by keys; 64-bit words of a set's fingerprint; bits that may differ in each pass, and in the
+#: first one and two words: more than five standard deviations above what similarity 0.8 gives.
+SMALL, WORDS = 9, 8
+RADII = (72, 96, 123)
+FIRST, SECOND = 26, 42
 #: Names of candidates' sets that are broadcast at a time.
 NEED = 1_000_000
 
@@ -179,62 +185,87 @@ def shingle_set(text: bytes | None, size: int) -> np.ndarray:
     return np.unique(np.array([xxh64_intdigest(s, 42) for s in shingles], dtype=np.uint64))
 
 
-def _majority(h: np.ndarray) -> int:
-    ones = np.zeros(64, dtype=np.int64)
-    for at in range(0, len(h), 65_536):
-        ones += np.unpackbits(h[at : at + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<i8")[0])
+def set_fingerprint(h: np.ndarray) -> bytes:
+    """A bit for each of 64 x WORDS hash bits: whether over half the hashes, mixed anew for each word, have it."""
+    ones = np.zeros(64 * WORDS, dtype=np.int64)
+    turn = np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for at in range(0, len(h), 8192):
+        x = h[at : at + 8192, None] + turn
+        x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        ones += np.unpackbits(x.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint16)
+    return np.packbits(2 * ones > len(h), bitorder="little").tobytes()
 
 
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """(id, sum, sig, n, fp, more, shingles): sig names the set, of n hashes; fp and more are 64 bits of its fingerprint each."""
-    from_ = docs.schema[id_col].dataType
-    longs = [T.StructField(c, T.LongType()) for c in ("sum", "sig", "n", "fp", "more")]
-    schema = T.StructType([T.StructField("id", from_), *longs, T.StructField("shingles", T.ArrayType(T.LongType()))])
+    """(id, sum, sig, n, bits, without, shingles): sig names the set, of n hashes; bits is its fingerprint; without: the
+    names of a small set without each of its hashes."""
+    longs = [T.StructField(c, T.LongType()) for c in ("sum", "sig", "n")]
+    lists = [T.StructField(c, T.ArrayType(T.LongType())) for c in ("without", "shingles")]
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *longs, T.StructField("bits", T.BinaryType()), *lists])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
+        name = lambda h: xxh64_intdigest(h.tobytes(), 42)
+        signed = lambda x: pa.array(np.array(x, dtype=np.uint64).view(np.int64))
+        ends = lambda lists: pa.array(np.cumsum([0, *map(len, lists)]).astype(np.int32))
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 sets = [shingle_set(t.as_py(), size) for t in part.column(2).cast(pa.binary())]
-                sig = np.array([xxh64_intdigest(h.tobytes(), 42) for h in sets], dtype=np.uint64).view(np.int64)
-                again = [(m := h * np.uint64(0x9E3779B97F4A7C15)) ^ (m >> np.uint64(29)) for h in sets]
-                again = [(m := h * np.uint64(0xBF58476D1CE4E5B9)) ^ (m >> np.uint64(32)) for h in again]
-                ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-                shingles = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))
-                numbers = [np.array(x, dtype=np.int64) for x in (list(map(len, sets)), list(map(_majority, sets)), list(map(_majority, again)))]
-                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(sig), *map(pa.array, numbers), shingles], names=schema.names)
+                without = [[name(np.delete(h, k)) for k in range(len(h))] if len(h) <= SMALL else [] for h in sets]
+                shingles = pa.ListArray.from_arrays(ends(sets), signed(np.concatenate(sets)))
+                keys = pa.ListArray.from_arrays(ends(without), signed([k for w in without for k in w]))
+                bits = pa.array([set_fingerprint(h) if len(h) >= SMALL - 1 else b"" for h in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], signed([name(h) for h in sets]), pa.array(list(map(len, sets)), pa.int64()), bits, keys, shingles], names=schema.names)
 
     text = F.col(text_col).cast("string")
     return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("sum"), text.alias("text")).mapInArrow(run, schema)
 
 
-def set_candidates(a: np.ndarray, b: np.ndarray | None, similarity: float, forest: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Places, in a and b one after the other, of the candidate pairs between a and b, or within a: columns label, n,
-    fp, more. Pairs of one label don't count; forest: only as many as join what is not joined yet."""
-    both = a if b is None else np.concatenate([a, b])
-    order = np.argsort(a[:, 1], kind="stable")
-    other = order if b is None else len(a) + np.argsort(b[:, 1], kind="stable")
-    size = both[other, 1]
+def small_links(distinct: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links between small sets (sig, n, without) that connect what similarity connects."""
+    able = lambda k, more: k >= similarity * (k + more) - 1e-9
+    owners = distinct.where(F.col("n").between(2, SMALL)).select(F.col("sig").alias("b"), F.col("n").alias("m"), F.explode("without").alias("key"))
+    owners = materialize(owners.where(F.col("m").isin([m for m in range(2, SMALL + 1) if able(m - 1, 1)])))
+    whole = distinct.where(F.col("n") < SMALL).select(F.col("sig").alias("a"))
+    links = owners.join(whole, F.col("key") == F.col("a")).select("a", "b")
+    # One shingle replaced: all that share a key are similar to one another, so each hangs from the first.
+    same = owners.where(F.col("m").isin([m for m in range(2, SMALL + 1) if able(m - 1, 2)]))
+    first = materialize(same.groupBy("key").agg(F.min("b").alias("a"), F.count("*").alias("c")).where("c > 1"))
+    return links.union(same.join(first, "key").where("a <> b").select("a", "b"))
+
+
+def set_candidates(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray] | None, similarity: float, radius: int, forest: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Places, in a and b one after the other, of the candidate pairs between a and b, or within a. Each is (rows of label
+    and n, fingerprints). Pairs of one label don't count; forest: only as many as join what is not joined yet."""
+    both = a[0] if b is None else np.concatenate([a[0], b[0]])
+    bits = a[1] if b is None else np.concatenate([a[1], b[1]])
+    label, n = both[:, 0], both[:, 1]
+    order = np.argsort(a[0][:, 1], kind="stable")
+    other = order if b is None else len(a[0]) + np.argsort(b[0][:, 1], kind="stable")
+    size, word = n[other], bits[:, 0].copy()
     tree, found = Forest(len(both)), []
     for at in range(0, len(order), BLOCK):
         rows = order[at : at + BLOCK]
-        low, high = both[rows[0], 1], both[rows[-1], 1]
+        low, high = n[rows[0]], n[rows[-1]]
         first = max(np.searchsorted(size, np.floor(low * similarity)), at if b is None else 0)
         end = np.searchsorted(size, np.ceil(high / similarity), side="right")
         for start in range(first, end, 32 * BLOCK):
             cols = other[start : min(end, start + 32 * BLOCK)]
-            few = low <= FEW
-            near = np.bitwise_count(both[rows, 2].view(np.uint64)[:, None] ^ both[cols, 2].view(np.uint64)[None, :])
-            i, j = np.nonzero(near <= (FEW_RADIUS if few else 26))
-            bits = near[i, j]
+            i, j = np.nonzero(np.bitwise_count(word[rows][:, None] ^ word[cols][None, :]) <= min(FIRST, radius))
             i, j = rows[i], cols[j]
-            bits = bits + np.bitwise_count(both[i, 3].view(np.uint64) ^ both[j, 3].view(np.uint64))
-            small, large = np.minimum(both[i, 1], both[j, 1]), np.maximum(both[i, 1], both[j, 1])
-            good = (bits <= np.where(large <= FEW, FEW_RADIUS, RADIUS)) & (small >= large * similarity - 1e-9) & (both[i, 0] != both[j, 0])
+            small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+            good = (large > SMALL) & (small >= large * similarity - 1e-9) & (label[i] != label[j])
             i, j = i[good], j[good]
+            for words, most in ((2, min(SECOND, radius)), (WORDS, radius)):
+                near = np.zeros(len(i), dtype=bool)
+                for k in range(0, len(i), 1 << 16):
+                    x, y = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
+                    near[k : k + (1 << 16)] = np.bitwise_count(bits[x, :words] ^ bits[y, :words]).sum(axis=1, dtype=np.int64) <= most
+                i, j = i[near], j[near]
             if b is None:
                 i, j = np.minimum(i, j), np.maximum(i, j)
             if forest and len(i):
@@ -245,10 +276,10 @@ def set_candidates(a: np.ndarray, b: np.ndarray | None, similarity: float, fores
     return pairs[:, 0], pairs[:, 1]
 
 
-def similar_candidates(distinct: DataFrame, similarity: float, forest: bool, tile: int = TILE) -> DataFrame:
-    """(a, b): candidate pairs among the rows (sig, label, n, fp, more) of different labels."""
+def similar_candidates(distinct: DataFrame, similarity: float, radius: int, forest: bool, tile: int = TILE) -> DataFrame:
+    """(a, b): candidate pairs among the rows (sig, label, n, bits) of different labels, of which one is not small."""
     # Sizes in one class or in neighbours: similar sets are never further apart.
-    rows = distinct.where("n > 0").withColumn("c", F.floor(F.ln("n") / F.lit(-np.log(similarity) * (1 + 1e-9))).cast("int"))
+    rows = distinct.where(F.col("n") >= SMALL - 1).withColumn("c", F.floor(F.ln("n") / F.lit(-np.log(similarity) * (1 + 1e-9))).cast("int"))
     counts = {r["c"]: r["k"] for r in rows.groupBy("c").agg(F.count("*").alias("k")).collect()}  # some hundred rows at most
     if not counts:
         return distinct.select(F.col("sig").alias("a"), F.col("sig").alias("b")).limit(0)
@@ -259,26 +290,31 @@ def similar_candidates(distinct: DataFrame, similarity: float, forest: bool, til
     own = pick(first[:classes]) + F.pmod(F.xxhash64("sig"), F.greatest(pick(tiles), F.lit(1)))
     to = [first[min(classes, c + 2)] - 1 for c in range(classes)]
     from_ = [first[max(0, c - 1)] for c in range(classes)]
-    dealt = rows.select("sig", "label", "n", "fp", "more", own.cast("int").alias("t"), F.explode(F.sequence(pick(from_), pick(to))).alias("u"))
+    dealt = rows.select("sig", "label", "n", "bits", own.cast("int").alias("t"), F.explode(F.sequence(pick(from_), pick(to))).alias("u"))
     dealt = dealt.withColumns({"lo": F.least("t", "u"), "hi": F.greatest("t", "u")})
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         t, lo, hi = pdf["t"].to_numpy(), pdf["lo"].iloc[0], pdf["hi"].iloc[0]
-        cells = np.ascontiguousarray(pdf[["label", "n", "fp", "more"]].to_numpy(dtype=np.int64))
+        cells = np.ascontiguousarray(pdf[["label", "n"]].to_numpy(dtype=np.int64))
+        bits = np.frombuffer(b"".join(pdf["bits"]), dtype=np.uint64).reshape(-1, WORDS)
         names = pdf["sig"].to_numpy()
         mine = np.concatenate([np.nonzero(t == lo)[0], np.nonzero(t == hi)[0] if lo != hi else np.zeros(0, dtype=np.int64)])
         split = int((t == lo).sum())
-        a, b = cells[mine[:split]], None if lo == hi else cells[mine[split:]]
-        i, j = set_candidates(a, b, similarity, forest) if len(a) and (b is None or len(b)) else (np.zeros(0, dtype=np.int64),) * 2
+        left, right = mine[:split], mine[split:]
+        if not len(left) or (lo != hi and not len(right)):
+            return pd.DataFrame({"a": np.zeros(0, dtype=np.int64), "b": np.zeros(0, dtype=np.int64)})
+        i, j = set_candidates((cells[left], bits[left]), None if lo == hi else (cells[right], bits[right]), similarity, radius, forest)
         return pd.DataFrame({"a": names[mine[i]], "b": names[mine[j]]})
 
     return dealt.groupBy("lo", "hi").applyInPandas(meet, "a long, b long")
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, tile: int = TILE, block: int = NEED) -> DataFrame:
-    """(id, sum, root): root names the component of verified links."""
+    """(id, sum, root): root names the component of verified links. similarity: 0.8 or more."""
+    if similarity < 0.8:
+        raise ValueError("fingerprints and keys are laid out for a similarity of 0.8 or more")
     sets = materialize(shingle_sets(docs, id_col, text_col, size))
-    distinct = materialize(sets.groupBy("sig").agg(*(F.first(c).alias(c) for c in ("n", "fp", "more"))).withColumn("label", F.col("sig")))
+    distinct = materialize(sets.groupBy("sig").agg(*(F.first(c).alias(c) for c in ("n", "bits", "without"))))
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = materialize(pairs.distinct())
@@ -295,12 +331,15 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def labelled(edges: DataFrame) -> DataFrame:
         roots = connected_components(edges)
-        named = distinct.drop("label").join(roots, F.col("sig") == F.col("node"), "left")
-        return materialize(named.select("sig", "n", "fp", "more", F.coalesce("root", "sig").alias("label")))
-
-    edges = verified(similar_candidates(distinct, similarity, True, tile))
-    rest = verified(similar_candidates(labelled(edges), similarity, False, tile))
-    named = labelled(edges.union(rest)).select(F.col("sig").alias("of"), F.col("label").alias("root"))
+        named = distinct.join(roots, F.col("sig") == F.col("node"), "left")
+        return materialize(named.select("sig", "n", "bits", F.coalesce("root", "sig").alias("label")))
+
+    edges = materialize(small_links(distinct, similarity))
+    now = distinct.withColumn("label", F.col("sig"))
+    for radius in RADII:
+        edges = edges.union(verified(similar_candidates(now, similarity, radius, radius != RADII[-1], tile)))
+        now = labelled(edges)
+    named = now.select(F.col("sig").alias("of"), F.col("label").alias("root"))
     return sets.select("id", "sum", "sig").join(named, F.col("sig") == F.col("of")).select("id", "sum", "root")
 
 

@@ -99,10 +99,24 @@ def slow_similar(sets):
     return [find(i) for i in range(len(sets))]
 
 
+def test_a_large_group_of_small_or_similar_sets_gives_no_pairs(spark):
+    base = [f"w{k}" for k in range(400)]
+    texts = [" ".join(base[:k] + [f"x{k}"] + base[k + 1 :]) for k in range(0, 390, 2)]
+    texts += [f"one two three four five six seven eight {k}" for k in range(500)] + ["one two three four five six seven eight"]
+    texts += [f"a b c d e f g h i j k l m{k}" for k in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = simhash.shingle_sets(docs, "doc_id", "text", 5).withColumn("label", F.col("sig"))
+    assert simhash.small_links(sets, 0.8).count() <= 2 * 802
+    assert simhash.similar_candidates(sets, 0.8, simhash.RADII[0], True).count() < 1000
+    rows = sorted(simhash.similar_groups(docs).collect(), key=lambda r: r.id)
+    seen = {}
+    assert [seen.setdefault(r.root, r.id) for r in rows] == slow_similar([slow_shingles(t) for t in texts])
+
+
 def test_groups_by_similarity_match_brute_force(spark):
     rng = random.Random(8)
     texts = ["", None, " \n", "one", "One", "one two three four five", "one two three four five six"]
-    for n in (5, 9, 10, 14, 24, 60, 200, 900):
+    for n in (5, 8, 9, 10, 11, 12, 13, 14, 15, 24, 60, 200, 900):
         for _ in range(6):
             words = [f"w{rng.randrange(5000)}" for _ in range(n)]
             texts.append(" ".join(words))
