@@ -92,9 +92,8 @@ def _within_one(a: Column, b: Column) -> Column:
     return rest.otherwise((F.size(long) - F.size(short) == 1) & (F.slice(long, at + 1, F.size(long)) == F.slice(short, at, F.size(short))))
 
 
-def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, line_no, kept_id, kept_line_no, edits, line_hash): every occurrence to drop, with the earliest line that drops it
-    (line_no counts from 0; edits is 0 for an exact copy, 1 for a near copy, which goes first if it is earlier)."""
+def _dropped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of `dropped_lines`, repeated where rows share an id."""
     lines = _lines(docs, id_col, text_col)
     size = F.octet_length("s") - F.octet_length(F.replace(F.col("s"), F.lit(" "), F.lit(""))) + 1
     sized = lines.withColumn("len", size)
@@ -103,7 +102,8 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     distinct = materialize(sized.groupBy("i1", "i2").agg(F.min(F.struct("d", "n")).alias("first"), F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("len", "h0", "h1", "h2", "h3"))))
 
     halves = distinct.where(F.col("len") >= MIN_WORDS - 1).select("i1", "i2", F.explode(F.array("h0", "h1", "h2", "h3")).alias("key")).where("key is not null")
-    shared = halves.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    # What rows are joined with by a key that may be frequent is written before: such a join can be split.
+    shared = materialize(halves.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"))
     able = halves.join(shared, "key", "left_semi").select("i1", "i2").distinct()
     able = distinct.join(able, ["i1", "i2"], "left_semi").select(F.col("i1").alias("j1"), F.col("i2").alias("j2"), "first")
     # Their words, from the document that has them first: a document's list is no longer than the document.
@@ -128,20 +128,27 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     keeper = materialize(checked.groupBy("i1", "i2").agg(F.min("by").alias("by")))
 
     marked = distinct.join(keeper, ["i1", "i2"], "left").where("n > 1 or by is not null")
-    marked = marked.select(F.col("i1").alias("k1"), F.col("i2").alias("k2"), "first", "by")
+    marked = materialize(marked.select(F.col("i1").alias("k1"), F.col("i2").alias("k2"), "first", "by"))
     own = F.struct("d", "n")
     out = lines.select("d", "n", "i1", "i2").join(marked, (F.col("i1") == F.col("k1")) & (F.col("i2") == F.col("k2")))
-    out = out.where(F.col("by").isNotNull() | (own > F.col("first"))).distinct()
+    out = out.where(F.col("by").isNotNull() | (own > F.col("first")))
     kept = F.coalesce("by", "first")
     return out.select(F.col("d").alias("id"), F.col("n").alias("line_no"), kept["d"].alias("kept_id"), kept["n"].alias("kept_line_no"), F.col("by").isNotNull().cast("int").alias("edits"), F.col("i1").alias("line_hash"))
 
 
+def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, line_no, kept_id, kept_line_no, edits, line_hash): every occurrence to drop, with the earliest line that drops it
+    (line_no counts from 0; edits is 0 for an exact copy, 1 for a near copy, which goes first if it is earlier)."""
+    # Dealt anew by place: by the lines' hashes, as the join leaves them, all copies of a line would stay in one task.
+    return _dropped(docs, id_col, text_col).repartition("id", "line_no").distinct()
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = None) -> DataFrame:
     """docs without the dropped lines, all columns and rows as they were but the text (and `count_col`, its length).
 
     A text all of whose lines are dropped becomes empty; its row stays.
     """
-    gone = dropped_lines(docs, id_col, text_col).groupBy(F.col("id").alias("__perigee_id")).agg(F.collect_list(F.struct("line_no", "line_hash")).alias("__perigee_gone"))
+    gone = _dropped(docs, id_col, text_col).groupBy(F.col("id").alias("__perigee_id")).agg(F.collect_list(F.struct("line_no", "line_hash")).alias("__perigee_gone"))
     both = docs.join(gone, docs[id_col].eqNullSafe(F.col("__perigee_id")), "left").withColumn("__perigee_lines", F.split(docs[text_col].cast("string"), "\n"))
     # Another row with the same id may have another line there.
     own = F.filter("__perigee_gone", lambda g: F.xxhash64(normal(F.get("__perigee_lines", g["line_no"]))) == g["line_hash"])
