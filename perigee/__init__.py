@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 from pathlib import Path
 
+VERSION = "0.2.0"
 _HOME = str(Path(__file__).resolve().parent.parent)
 
 

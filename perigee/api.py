@@ -1,13 +1,13 @@
-"""The engine's commands: clean, verify, dedup, extract, diff, report, explain.
+"""The engine's commands on tables: clean, verify, dedup, extract, diff, explain. Each takes and returns DataFrames.
 
-Each takes and returns DataFrames, and writes the text artifacts where a folder is given. Tables that several results
-need are written once to the cluster's shared folder.
+`perigee.archive` has the same commands on an output folder. Tables that several results need are written once to the
+cluster's shared folder.
 """
 
 from __future__ import annotations
 
-import json
-from dataclasses import dataclass
+import time
+from dataclasses import dataclass, field
 from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,30 +17,24 @@ from perigee.functions import diagnostics, registry, tle
 from perigee.functions.tle import SPARK
 from perigee.operators import align, dedup as latest, records, verify as checks
 from perigee.sources import exports, storage, tle_text
+from perigee.sources.storage import over, saved
 
 explain = registry.explain
 
 
-def _saved(df: DataFrame) -> DataFrame:
-    return df.sparkSession.read.schema(df.schema).parquet(storage.write(df))
-
-
-def _over(df: DataFrame, sql, *more) -> DataFrame:
-    """A SQL operator over a DataFrame."""
-    name = f"__in_{abs(hash((id(df), id(sql))))}"
-    df.createOrReplaceTempView(name)
-    return df.sparkSession.sql(sql(f"SELECT * FROM {name}", *more))
-
-
 @dataclass
 class CleanResult:
-    """routed: every record and orphan once; cleaned: the fact table; findings: what was quarantined; stats: by file."""
+    """routed: every record and orphan once; cleaned: the fact table; findings: what was quarantined; stats: by file.
+    sizes: bytes by file, where files were read; seconds: what routing took."""
 
     routed: DataFrame
     cleaned: DataFrame
     findings: DataFrame
     stats: DataFrame
     fixes: DataFrame
+    sizes: dict[str, int] = field(default_factory=dict)
+    seconds: float = 0.0
+    started_at: str = ""
 
     def totals(self) -> dict[str, int]:
         names = ("lines", "paired", "orphan", "clean", "quarantined")
@@ -54,146 +48,91 @@ class CleanResult:
         return int(latest.exceeded(t["clean"], t["quarantined"], limit))
 
 
+def utc_stamp() -> str:
+    return time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime())
+
+
 def clean_lines(lines: DataFrame, reconstruct_checksum: bool = False) -> CleanResult:
     """Pairs, repairs, validates and routes lines (src_file, line_no, raw)."""
-    lines = _saved(lines)
-    routed = _saved(_over(lines, lambda t: records.routed(SPARK, t, reconstruct_checksum)))
-    cleaned = _saved(_over(routed, lambda t: records.cleaned(SPARK, t)))
-    lines.createOrReplaceTempView("__clean_lines")
-    stats = _over(routed, lambda t: records.file_stats(SPARK, "SELECT * FROM __clean_lines", t))
-    return CleanResult(routed, cleaned, routed.where("not clean"), stats, _over(routed, records.fix_counts))
+    began, stamp = time.time(), utc_stamp()
+    routed = saved(over(lines, lambda t: records.routed(SPARK, t, reconstruct_checksum)))
+    cleaned = saved(over(routed, lambda t: records.cleaned(SPARK, t)))
+    stats = saved(over(routed, lambda t, u: records.file_stats(SPARK, u, t), lines))
+    return CleanResult(routed, cleaned, routed.where("not clean"), stats, over(routed, records.fix_counts), seconds=time.time() - began, started_at=stamp)
 
 
 def clean(spark: SparkSession, path: str, reconstruct_checksum: bool = False, out_dir: str | None = None, chunk_records: int = exports.DEFAULT_UNITS) -> CleanResult:
     """Cleans a folder of tle*.txt files, or one file; with out_dir, writes 01-cleaned, 02-broken and 03-report."""
     result = clean_lines(tle_text.read_lines(spark, path), reconstruct_checksum)
+    result.sizes = {tle_text.stem(name): size for name, _, size in tle_text.sources(spark, path)}
     if out_dir:
-        stems = [p.rsplit("/", 1)[-1].removesuffix(".txt") for p in tle_text.discover(spark, path)]
-        export_clean(result, out_dir, stems, chunk_records)
-    return result
+        from perigee import archive
 
-
-def findings_json(findings: DataFrame) -> DataFrame:
-    """(src_file, src1, text): a JSON line of sorted keys for each finding."""
-    none = F.lit(None)
-    tier2 = F.when(F.col("related_rule") == "TLE-COL-003", "none").otherwise("tier-1")
-    on_first = F.col("rule_id").isNotNull() & (F.col("rule_id") != "TLE-PAIR-003") & ~F.col("orphan")
-    # Which line of the record is at fault: the second only where the first is fine, which the router left in no column.
-    fine1 = F.expr(f"{tle.line_ok(SPARK, tle.core(SPARK, 'raw1'), 1)} AND raw1 RLIKE R'^[\\x00-\\x7F]*\\z'")
-    second = on_first & F.col("related_rule").isNull() & fine1
-    rows = findings.withColumn("d1", diagnostics.diagnosis(F.col("rule_id"), "raw1", 1, F.col("tier"), F.col("src1"))).withColumn("d2", diagnostics.diagnosis(F.col("rule_id"), "raw2", 2, F.col("tier"), F.col("src2")))
-    rows = rows.withColumn("d3", diagnostics.diagnosis(F.col("related_rule"), "raw2", 2, tier2, F.col("src2"))).withColumn("d", F.when(second, F.col("d2")).otherwise(F.col("d1")))
-    mate = F.col("rule_id") == "TLE-PAIR-003"
-    field = lambda raw: F.expr(f"substr({tle.core(SPARK, raw)}, 3, 5)")
-    row = F.struct(
-        F.when(mate, F.array(F.lit(3), F.lit(7))).when(on_first, F.col("d.column_range")).alias("column_range"),
-        F.when(mate, field("raw2")).when(on_first, F.col("d.expected")).alias("expected"),
-        F.concat("src_file", F.lit(".txt")).alias("file"), F.col("norad_id"),
-        F.when(F.col("orphan"), F.col("note")).when(on_first, F.col("d.note")).otherwise(none).alias("note"),
-        F.when(mate, field("raw1")).when(on_first, F.col("d.observed")).alias("observed"), F.lit("quarantined").alias("outcome"),
-        F.when(F.col("related_rule").isNull(), F.array()).otherwise(F.array("d3")).alias("related"), F.col("rule_id"), F.lit("1").alias("schema_version"),
-        F.when(F.col("orphan"), F.array("src1")).when(mate, F.array("src1", "src2")).otherwise(F.col("d.source_lines")).alias("source_lines"), F.col("tier").alias("tier_attempted"),
-    )
-    return rows.select("src_file", "src1", F.concat(F.to_json(row, {"ignoreNullFields": "false"}), F.lit("\n")).alias("text"))
-
-
-def export_clean(result: CleanResult, out_dir: str, stems: list[str], chunk_records: int = exports.DEFAULT_UNITS) -> None:
-    spark = result.cleaned.sparkSession
-    units = result.cleaned.select(F.col("src_file").alias("stem"), F.col("idx").alias("n"), F.concat("line1", F.lit("\n"), "line2", F.lit("\n")).alias("text"))
-    exports.write_numbered(units, f"{_made(spark, f'{out_dir}/01-cleaned')}", ".cleaned.txt", chunk_records, stems)
-    numbered = _over(result.findings, lambda t: records.in_file(SPARK, t, "src1", "n"))
-    place = F.when(F.col("src2").isNull(), F.concat(F.lit("source line "), "src1")).otherwise(F.concat(F.lit("source lines "), "src1", F.lit("-"), "src2"))
-    head = F.concat(F.lit("["), F.col("n") + 1, F.lit("] "), place, F.lit(" - rule: "), "rule_id", F.lit(" ("), "tier", F.lit(")"), F.when(F.col("note").isNull(), "").otherwise(F.concat(F.lit(" - "), "note")), F.lit("\n"))
-    also = F.when(F.col("related_rule").isNull(), "").otherwise(F.concat(F.lit("    and: rule: "), "related_rule", F.lit("\n")))
-    title = F.when(F.col("n") == 0, F.concat(F.lit("# "), "src_file", F.lit(".broken.txt - quarantined records\n# source: "), "src_file", F.lit(".txt\n\n"))).otherwise("")
-    text = F.concat(title, head, also, F.col("raw1"), F.lit("\n"), F.when(F.col("raw2").isNull(), "").otherwise(F.concat("raw2", F.lit("\n"))), F.lit("\n"))
-    exports.write_numbered(numbered.select(F.col("src_file").alias("stem"), "n", text.alias("text")), _made(spark, f"{out_dir}/02-broken"), ".broken.txt", chunk_records)
-    # One set of findings for all files, in their order: a file's numbers follow those of the files before it.
-    sizes = result.findings.groupBy("src_file").count().orderBy("src_file").collect()  # a row a file
-    ahead, total = {}, 0
-    for r in sizes:
-        ahead[r["src_file"]], total = total, total + r["count"]
-    base = F.lit(0).cast("long")
-    if ahead:
-        base = F.element_at(F.create_map(*[F.lit(x) for kv in ahead.items() for x in kv]), F.col("src_file")).cast("long")
-    lines = findings_json(result.findings).withColumnRenamed("text", "json").join(numbered.select("src_file", "src1", "n"), ["src_file", "src1"])
-    report = _made(spark, f"{out_dir}/03-report")
-    exports.write_numbered(lines.select(F.lit("report").alias("stem"), (F.col("n") + base).alias("n"), F.col("json").alias("text")), report, ".jsonl", chunk_records, ["report"])
-    ids = [r[0] for r in result.findings.where("norad_id is not null").select("norad_id").distinct().orderBy("norad_id").collect()]  # catalog numbers: at most some hundred thousand
-    exports.write_document(spark, f"{report}/broken-noradids.ndjson", "".join(json.dumps({"noradId": i}, separators=(",", ":")) + "\n" for i in ids))
-    whole = run_report(result)
-    exports.write_json(spark, f"{report}/report.json", whole)
-    exports.write_document(spark, f"{report}/report.md", report_text(whole))
-
-
-def _made(spark: SparkSession, folder: str) -> str:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(p)
-    return folder
-
-
-def run_report(result: CleanResult) -> dict:
-    """The run's envelope, schema 3: totals, by fix, by rule, by file."""
-    t = result.totals()
-    fixes = {r["fix"]: r["n"] for r in result.fixes.groupBy("fix").agg(F.sum("n").alias("n")).orderBy("fix").collect()}
-    rules = result.findings.groupBy("src_file", "rule_id").count().collect()
-    total: dict[str, int] = {}
-    for r in rules:
-        total[r["rule_id"]] = total.get(r["rule_id"], 0) + r["count"]
-    by_file = {r["src_file"]: r for r in result.stats.orderBy("src_file").collect()}
-    files = [
-        {"file": f"{f}.txt", "paired_records": r["paired"], "orphan_entries": r["orphan"], "input_lines_seen": r["lines"], "clean_count": r["clean"], "quarantined_count": r["quarantined"], "quarantine_counts": {x["rule_id"]: x["count"] for x in sorted(rules, key=lambda x: x["rule_id"]) if x["src_file"] == f}}
-        for f, r in by_file.items()
-    ]
-    summary = {
-        "files_processed": t["files"], "paired_records": t["paired"], "orphan_entries": t["orphan"], "input_lines_seen": t["lines"], "clean_count": t["clean"], "quarantined_count": t["quarantined"],
-        "failed_count": 0, "fix_counts": fixes, "quarantine_counts": dict(sorted(total.items())),
-    }
-    return {"schema_version": "3", "summary": summary, "files": files}
+        archive.export_clean(result, out_dir, sorted(result.sizes), chunk_records)
+    return result
 
 
 @dataclass
 class VerifyResult:
+    """suspects: (rule, severity, catalog, epoch_key, src_file, idx, detail); checked: what was looked at."""
+
     suspects: DataFrame
     histogram: DataFrame
     reissues: DataFrame
+    checked: dict[str, int]
 
     def exit_code(self) -> int:
         return int(bool(self.suspects.where("severity = 'hard'").limit(1).count()))
 
 
+ALIGNED = {"VRFY-INTERIOR-MUT": "cleaned record differs from its source in a non-edge column", "VRFY-ORIGIN-MISSING": "no source origin found through end of source file"}
+
+
 def verify(cleaned: DataFrame, source_lines: DataFrame | None = None, orbit: bool = False, sample: int = 3000, all_sats: bool = False, tier: str = "sensitive") -> VerifyResult:
     """Checks a fact table again: validity, contradictions at one epoch, the source (records with src1 and src2 by their
     places, others in order), and the orbits of a sample of satellites."""
-    cleaned = _saved(cleaned)
-    found = _over(cleaned, lambda t: checks.suspects(SPARK, t)).select("rule", "severity", "catalog", "epoch_key", "src_file", "idx")
-    valid = _saved(_over(cleaned, lambda t: f"SELECT * FROM ({checks.revalidated(SPARK, t)}) v WHERE valid"))
-    keys = valid.select("src_file", "idx", "catalog", "epoch_key")
+    columns = ["rule", "severity", "catalog", "epoch_key", "src_file", "idx", "detail"]
+    found = saved(over(cleaned, lambda t: checks.suspects(SPARK, t)).select(columns))
+    failed = found.where("rule = 'VRFY-REVALIDATE-FAIL'")
+    places = failed.select("src_file", "idx")
+    valid = cleaned.join(places, ["src_file", "idx"], "left_anti").select(cleaned.columns)
+    said = F.concat(F.lit("cleaned record fails validation: "), diagnostics.record_message("line1", "line2"))
+    told = cleaned.join(places, ["src_file", "idx"], "left_semi").select("src_file", "idx", said.alias("why"))
+    suspects = found.where("rule <> 'VRFY-REVALIDATE-FAIL'").unionByName(failed.drop("detail").join(told, ["src_file", "idx"]).withColumnRenamed("why", "detail").select(columns))
+    sums = cleaned.agg(F.count("*").alias("n"), F.count_distinct("src_file").alias("files")).first()
+    reissues = over(valid, lambda t: f"SELECT catalog, count(*) AS n FROM ({checks.conflicts(t)}) c WHERE reissue GROUP BY catalog")
+    checked = {"files": sums["files"], "records": sums["n"], "source_diff": int(source_lines is not None), "missing_source_files": 0}
     more = []
     if source_lines is not None:
         audit = align.by_provenance if {"src1", "src2"} <= set(cleaned.columns) else align.by_order
-        more.append(audit(valid, source_lines))
+        moved = over(valid, lambda t, u: audit(SPARK, t, u), source_lines)
+        more.append(moved.withColumn("detail", F.create_map(*[F.lit(x) for kv in ALIGNED.items() for x in kv])[F.col("rule")]))
+        checked["missing_source_files"] = over(cleaned, lambda t, u: align.missing_sources(t, u), source_lines).count()
     if orbit:
         from perigee.operators import orbit as tracks
 
-        population = valid.where("catalog <> -1").select("catalog").distinct()
+        population = saved(valid.where("catalog <> -1").select("catalog").distinct())
         chosen = population
         if not all_sats:
-            twice = _over(valid, lambda t: f"SELECT catalog FROM ({checks.duplicate_epoch_catalogs(t)}) d WHERE catalog <> -1")
-            twice.createOrReplaceTempView("__twice")
-            chosen = _over(population, lambda t: checks.stratified_sample(t, "SELECT * FROM __twice", sample, twice.count()))
-        more.append(tracks.suspects(valid.join(chosen, "catalog", "left_semi"), tier).select("rule", "src_file", "idx"))
+            twice = over(valid, lambda t: f"SELECT catalog FROM ({checks.duplicate_epoch_catalogs(t)}) d WHERE catalog <> -1")
+            chosen = saved(over(population, lambda t, u: checks.stratified_sample(t, u, sample), twice))
+        flown = saved(tracks.suspects(valid.join(chosen, "catalog", "left_semi"), tier))
+        seen = flown.where("rule is null").agg(F.count("*").alias("tracks"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs")).first()
+        checked |= {"orbit_population": population.count(), "orbit_sampled": chosen.count(), "orbit_satellites_checked": seen["tracks"], "orbit_pairs_measured": seen["pairs"]}
+        more.append(flown.where("rule is not null").select("rule", "src_file", "idx", "detail"))
+    keys = valid.select("src_file", "idx", "catalog", "epoch_key")
     for extra in more:
         named = extra.withColumn("severity", F.expr(checks.severity("rule"))).join(keys, ["src_file", "idx"])
-        found = found.unionByName(named.select(found.columns))
-    reissues = _over(valid, lambda t: f"SELECT catalog, count(*) AS n FROM ({checks.conflicts(t)}) c WHERE reissue GROUP BY catalog")
-    return VerifyResult(_saved(found), _over(valid, lambda t: checks.histogram(SPARK, t)), reissues)
+        suspects = suspects.unionByName(named.select(columns))
+    checked["epoch_reissues"] = reissues.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return VerifyResult(saved(suspects), over(valid, lambda t: checks.histogram(SPARK, t)), reissues, checked)
 
 
 @dataclass
 class DedupResult:
     import_set: DataFrame
     notes: DataFrame
+    unusable: DataFrame
     manifest: DataFrame
     summary: dict
 
@@ -203,127 +142,63 @@ class DedupResult:
 
 def dedup(cleaned: DataFrame, suspects: DataFrame | None = None) -> DedupResult:
     """The latest record of each satellite and epoch, without hard suspects, with what it replaced and a manifest."""
-    cleaned = _saved(cleaned)
-    used = cleaned
-    if suspects is not None:
-        suspects.createOrReplaceTempView("__suspects")
-        used = _saved(_over(cleaned, lambda t: latest.excluding(t, "SELECT * FROM __suspects")))
-    imported = _over(used, lambda t: latest.import_set(SPARK, t))
-    imported = _saved(imported.repartitionByRange("catalog").sortWithinPartitions("catalog", "epoch_key"))
-    used.createOrReplaceTempView("__used")
-    summary = _over(cleaned, lambda t: latest.summary(SPARK, t, "SELECT * FROM __used")).first().asDict()
-    return DedupResult(imported, _over(used, lambda t: latest.notes(SPARK, t)), _over(imported, lambda t: latest.history(SPARK, t)), summary)
-
-
-def extract(import_set: DataFrame, ids: list[str | int], quarantined_ids: DataFrame | None = None) -> tuple[DataFrame, list[dict]]:
-    """(records of the satellites, oldest first; a document a satellite with its gaps). Unknown ids raise KeyError."""
-    spark = import_set.sparkSession
-    wanted = []
-    for i in ids:
-        n = spark.createDataFrame([(str(i),)], "x string").selectExpr(f"{tle.decode_catalog(SPARK, 'x')} AS c").first()["c"]
-        if n is None or n < 1:
-            raise ValueError(f"not a catalog number: {i}")
-        wanted.append(n)
+    used = cleaned if suspects is None else over(cleaned, latest.excluding, suspects)
+    imported = over(used, lambda t: latest.import_set(SPARK, t))
+    imported = saved(imported.repartitionByRange("catalog", "epoch_key").sortWithinPartitions("catalog", "epoch_key"))
+    summary = over(cleaned, lambda t, u: latest.summary(SPARK, t, u), used).first().asDict()
+    notes, unusable = over(used, lambda t: latest.notes(SPARK, t)), over(used, lambda t: latest.unusable_notes(SPARK, t))
+    return DedupResult(imported, notes, unusable, over(imported, lambda t: latest.history(SPARK, t)), summary)
+
+
+def catalog_number(text: str | int) -> int:
+    """A catalog number from decimal digits or a letter and four digits; ValueError for anything else."""
+    field_ = str(text).strip()
+    if field_.isascii() and field_.isdigit() and int(field_) > 0:
+        return int(field_)
+    if len(field_) == 5 and field_[0] in tle.ALPHA5 and field_[1:].isascii() and field_[1:].isdigit():
+        return (10 + tle.ALPHA5.index(field_[0])) * 10_000 + int(field_[1:])
+    raise ValueError(f"not a catalog number: {text}")
+
+
+def extract(import_set: DataFrame, ids: list[str | int], quarantined_ids: DataFrame | None = None, source: dict | None = None) -> tuple[DataFrame, list[dict]]:
+    """(records of the satellites, oldest first; a document a satellite with its gaps). Unknown ids raise KeyError.
+    source: what the documents say about where the records come from."""
+    wanted = [catalog_number(i) for i in ids]
     rows = import_set.where(F.col("catalog").isin(wanted))
-    history = {r["key"]: r for r in _over(rows, lambda t: latest.history(SPARK, t)).collect()}  # the asked-for ids
+    history = {r["key"]: r for r in over(rows, lambda t: latest.history(SPARK, t)).collect()}  # the asked-for ids
     missing = [i for i in wanted if i not in history]
     if missing:
         raise KeyError(f"not in the import set: {missing}")
-    found = _over(rows, lambda t: f"SELECT *, {tle.iso_of('start_us', SPARK)} AS s, {tle.iso_of('end_us', SPARK)} AS e FROM ({latest.gaps(SPARK, t)}) g").orderBy("key", "start_us").collect()
+    ends = {r["catalog"]: r for r in rows.groupBy("catalog").agg(F.min_by("elset", "epoch_key").alias("first"), F.max_by("elset", "epoch_key").alias("last")).collect()}
+    longest = over(rows, lambda t: f"SELECT key, {tle.iso_of('max_by(before, struct(days, -us))', SPARK)} AS at FROM ({latest.deltas(t, 'catalog', 'epoch_us')}) x WHERE days IS NOT NULL GROUP BY key")
+    at = {r["key"]: r["at"] for r in longest.collect()}
+    found = over(rows, lambda t: f"SELECT *, {tle.iso_of('start_us', SPARK)} AS s, {tle.iso_of('end_us', SPARK)} AS e FROM ({latest.gaps(SPARK, t)}) g").orderBy("key", "start_us").collect()
     gaps: dict[int, list] = {}
     for g in found:
         gaps.setdefault(g["key"], []).append({"start": g["s"], "end": g["e"], "days": round(g["days"], 6)})
     quarantined = None if quarantined_ids is None else {r[0] for r in quarantined_ids.where(F.col("norad_id").isin(wanted)).select("norad_id").distinct().collect()}
     docs = []
     for i in wanted:
-        h = history[i]
-        span = h["span_days"]
+        h, span = history[i], history[i]["span_days"]
         docs.append({
             "schema_version": "2", "norad_id": i, "records": h["records"], "first_epoch": h["first_epoch"], "last_epoch": h["last_epoch"], "span_days": span,
-            "mean_records_per_day": round(h["records"] / span, 6) if span else None, "largest_gap_days": h["largest_gap_days"], "median_spacing_days": h["median_spacing_days"], "gap_count": h["gap_count"],
-            "gaps": gaps.get(i, []), "had_quarantined_records": None if quarantined is None else i in quarantined,
+            "mean_records_per_day": round(h["records"] / span, 6) if span else None, "largest_gap_days": h["largest_gap_days"], "largest_gap_at": at.get(i), "median_spacing_days": h["median_spacing_days"],
+            "gap_count": h["gap_count"], "gaps": gaps.get(i, []), "had_quarantined_records": None if quarantined is None else i in quarantined,
+            "element_set_first": ends[i]["first"], "element_set_last": ends[i]["last"], "source": {"out_dir": None, "dedup_records_written": None, "dedup_schema_version": None, **(source or {})},
         })
     return rows.orderBy("catalog", "epoch_key"), docs
 
 
 def diff(findings_a: DataFrame, findings_b: DataFrame, file_col: str = "src_file") -> tuple[DataFrame, DataFrame]:
-    """(by rule, by file and rule): how two runs' findings differ in number."""
+    """(by rule, by file and rule): how two runs' findings differ in number. A file is present in a run that has any
+    finding of it."""
     out = []
-    for keys in (("rule_id",), ("file", "rule_id")):
+    for keys, by in ((("rule_id",), None), (("file", "rule_id"), "file")):
         counts = [f.withColumn("file", F.col(file_col)).groupBy(*keys).agg(F.count("*").alias("n")) for f in (findings_a, findings_b)]
-        counts[1].createOrReplaceTempView(f"__b{len(keys)}")
-        out.append(_over(counts[0], lambda t, k=keys: latest.run_diff(t, f"SELECT * FROM __b{len(k)}", k)))
+        out.append(over(counts[0], lambda t, u, k=keys, p=by: latest.run_diff(t, u, k, p), counts[1]))
     return out[0], out[1]
 
 
-def _ordered(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """`rows` with n, their number from 0 in the order of `columns`: sorted once into ranges; only one count a range
-    is summed up on the driver."""
-    part = _saved(rows.repartitionByRange(*columns).sortWithinPartitions(*columns).withColumn("id", F.monotonically_increasing_id()))
-    ranges = part.groupBy(F.shiftright("id", 33).alias("p")).agg(F.min("id").alias("first"), F.count("*").alias("m")).orderBy("p").collect()
-    ahead, total = {}, 0
-    for r in ranges:
-        ahead[r["p"]], total = total - r["first"], total + r["m"]
-    base = F.element_at(F.create_map(*[F.lit(x) for kv in ahead.items() for x in kv]), F.shiftright("id", 33)) if ahead else F.lit(0)
-    return part.withColumn("n", (F.col("id") + base).cast("long")).drop("id")
-
-
-def export_verify(result: VerifyResult, out_dir: str, records: int, chunk_records: int = exports.DEFAULT_UNITS) -> None:
-    """04-verify: suspects.NNNNN.jsonl in the order (rule, catalog, epoch, file, index), summary.json, summary.md."""
-    spark = result.suspects.sparkSession
-    folder = _made(spark, f"{out_dir}/04-verify")
-    rows = _ordered(result.suspects, ["rule", "catalog", "epoch_key", "src_file", "idx"])
-    line = exports.json_lines(rows, [F.lit("2").alias("schema_version"), F.col("rule"), F.col("severity"), F.col("catalog"), F.col("epoch_key"), F.col("src_file"), F.col("idx").alias("index")])
-    exports.write_numbered(rows.select(F.lit("suspects").alias("stem"), "n", line.alias("text")), folder, ".jsonl", chunk_records, ["suspects"])
-    by_rule = {r["rule"]: r["n"] for r in _over(result.suspects, checks.suspect_summary).orderBy("rule").collect()}
-    months = {r["month"]: r["n"] for r in result.histogram.orderBy("month").collect()}
-    again = result.reissues.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    hard = sum(n for r, n in by_rule.items() if r in checks.HARD)
-    doc = {"schema_version": "2", "checked": {"records": records, "epoch_reissues": again}, "suspects": {"hard": hard, "soft": sum(by_rule.values()) - hard, "by_rule": by_rule}, "epoch_distribution": months, "exit_code": int(hard > 0)}
-    exports.write_json(spark, f"{folder}/summary.json", doc, sort=True)
-    table = "".join(f"| {r} | {n} |\n" for r, n in by_rule.items())
-    exports.write_document(spark, f"{folder}/summary.md", f"# Verification\n\n{records} records checked, {hard} hard suspects, {again} re-issues.\n\n| rule | suspects |\n|-|-|\n{table}")
-
-
-def export_dedup(result: DedupResult, out_dir: str, chunk_records: int = exports.DEFAULT_UNITS) -> None:
-    """05-dedup: import.NNNNN.txt (140 bytes a record, by catalog and epoch), notes.NNNNN.jsonl, manifest.jsonl, summary.json."""
-    spark = result.import_set.sparkSession
-    folder = _made(spark, f"{out_dir}/05-dedup")
-    numbered = _over(result.import_set, latest.numbered)
-    units = numbered.select(F.lit("import").alias("stem"), (F.col("n") - 1).alias("n"), F.concat("line1", F.lit("\n"), "line2", F.lit("\n")).alias("text"))
-    exports.write_numbered(units, folder, ".txt", chunk_records, ["import"])
-    card = lambda c: f"named_struct('src_file', split({c}, ':')[0], 'index', CAST(split({c}, ':')[1] AS BIGINT), 'element_set', try_cast(split({c}, ':')[2] AS INT))"
-    notes = _ordered(result.notes, ["catalog", "epoch_key"])
-    cells = [F.lit("2").alias("schema_version"), F.col("catalog"), F.col("epoch_key"), (F.col("conflict") == 1).alias("conflict"), F.expr(card("kept")).alias("kept"), F.expr(f"transform(split(dropped, ','), x -> {card('x')})").alias("dropped")]
-    exports.write_numbered(notes.select(F.lit("notes").alias("stem"), "n", exports.json_lines(notes, cells).alias("text")), folder, ".jsonl", chunk_records, ["notes"])
-    rows = _ordered(result.manifest, ["key"])
-    names = [F.col("key").alias("norad_id"), *(F.col(c) for c in ("records", "first_epoch", "last_epoch", "span_days", "median_spacing_days", "largest_gap_days", "gap_count"))]
-    (made,) = exports.write_numbered(rows.select(F.lit("manifest").alias("stem"), "n", exports.json_lines(rows, names).alias("text")), folder, ".jsonl", 0, ["manifest"])
-    exports.rename(spark, f"{folder}/{made}", f"{folder}/manifest.jsonl")
-    exports.write_json(spark, f"{folder}/summary.json", {**result.summary, "exit_code": result.exit_code(), "schema_version": "2"}, sort=True)
-
-
-def export_extract(rows: DataFrame, docs: list[dict], dest: str) -> None:
-    """06-extract: for each satellite its records, <id>.txt, and what is known of its history, <id>.json."""
-    spark = rows.sparkSession
-    folder = _made(spark, dest)
-    numbered = _over(rows, latest.numbered)
-    first = numbered.groupBy("catalog").agg(F.min("n").alias("first"))
-    units = numbered.join(first, "catalog").select(F.col("catalog").cast("string").alias("stem"), (F.col("n") - F.col("first")).alias("n"), F.concat("line1", F.lit("\n"), "line2", F.lit("\n")).alias("text"))
-    for name in exports.write_numbered(units, folder, ".txt", 0):
-        exports.rename(spark, f"{folder}/{name}", f"{folder}/{name.split('.')[0]}.txt")
-    for doc in docs:
-        exports.write_json(spark, f"{folder}/{doc['norad_id']}.json", doc, sort=True)
-
-
-def report_text(report: dict) -> str:
-    """The run's report as Markdown: totals, fixes and rules by number (then name), files by name."""
-    s = report["summary"]
-    all_ = s["paired_records"] + s["orphan_entries"]
-    share = lambda n: f"{100 * n / all_:.4f}%" if all_ else "n/a"
-    order = lambda counts: sorted(counts.items(), key=lambda kv: (-kv[1], kv[0]))
-    out = ["# Cleaning report", "", f"Files: {s['files_processed']}, lines: {s['input_lines_seen']}, records: {s['paired_records']}, orphans: {s['orphan_entries']}", "", f"Clean: {s['clean_count']} ({share(s['clean_count'])}), quarantined: {s['quarantined_count']} ({share(s['quarantined_count'])})", ""]
-    for title, counts, names in (("Fixes", s["fix_counts"], registry.FIXES), ("Quarantined by rule", s["quarantine_counts"], registry.RULES)):
-        out += [f"## {title}", "", "| | n | |", "|-|-|-|", *(f"| {k} | {n} | {names[k]} |" for k, n in order(counts)), ""]
-    out += ["## Files", "", "| file | records | clean | quarantined |", "|-|-|-|-|", *(f"| {f['file']} | {f['paired_records']} | {f['clean_count']} | {f['quarantined_count']} |" for f in report["files"]), ""]
-    return "\n".join(out)
+def stored(spark: SparkSession) -> str:
+    """Where this application's intermediate tables are."""
+    return storage.root(spark)

@@ -61,6 +61,24 @@ def body_errors(line: Column, which: int) -> Column:
     return F.when(F.size(layout) > 0, layout).otherwise(range_errors(line, which))
 
 
+def line_message(line: Column, which: int) -> Column:
+    """What is wrong first with a line of a record, null if nothing."""
+    size, errors = F.length(line), body_errors(line, which)
+    own = F.substring(line, 69, 1)
+    return F.when(size != 69, F.concat(F.lit("line length "), size.cast("string"), F.lit(", expected 69"))).when(F.size(errors) > 0, F.get(errors, F.lit(0))["msg"]).when(~own.rlike(r"^[0-9]\z"), F.concat(F.lit("checksum column 69 is "), shown(own), F.lit(", not a digit")))
+
+
+def record_message(line1: str, line2: str) -> Column:
+    """What is wrong first with a record (columns line1, line2), null if nothing."""
+    found = []
+    for n, name in ((1, line1), (2, line2)):
+        own, total = F.substring(name, 69, 1), F.expr(f"CAST({tle.checksum(name)} AS STRING)")
+        sum_ = F.when(own != total, F.concat(F.lit("checksum mismatch: column 69 is "), shown(own), F.lit(", computed "), total))
+        found.append(F.concat(F.lit(f"line {n}: "), F.coalesce(line_message(F.col(name), n), sum_)))
+    cat = F.when(F.substring(line1, 3, 5) != F.substring(line2, 3, 5), F.concat(F.lit("catalog number mismatch: line 1 '"), F.substring(line1, 3, 5), F.lit("' vs line 2 '"), F.substring(line2, 3, 5), F.lit("'")))
+    return F.coalesce(*found, cat)
+
+
 def bounded(value: Column) -> Column:
     """At most 16 characters."""
     return F.when(F.length(value) > 16, F.concat(F.substring(value, 1, 13), F.lit("..."))).otherwise(value)

@@ -73,8 +73,23 @@ class Dialect:
     def char(self, code: int) -> str:
         return f"char({code})" if self.spark else f"chr({code})"
 
-    def list(self, x: str, order: str) -> str:
-        return f"array_join(transform(array_sort(collect_list(struct({order} AS o, {x} AS x))), s -> s.x), ',')" if self.spark else f"string_agg({x}, ',' ORDER BY {order})"
+    def list(self, x: str, order: str, where: str = "true") -> str:
+        """The texts x of the rows where `where` holds, joined by commas in an order; null where there are none."""
+        if self.spark:
+            rows = f"collect_list(CASE WHEN {where} THEN struct({order} AS o, {x} AS x) END)"
+            return f"nullif(array_join(transform(array_sort({rows}), s -> s.x), ','), '')"
+        return f"string_agg({x}, ',' ORDER BY {order}) FILTER (WHERE {where})"
+
+    def above(self, x: str, bar: str) -> tuple[str, str]:
+        """An aggregate that gathers the numbers x of a group, and how many of what it gathered exceed a bar."""
+        if self.spark:
+            return f"collect_list({x})", f"size(filter(gathered, g -> g > {bar}))"
+        return f"list({x}) FILTER (WHERE {x} IS NOT NULL)", f"coalesce(len(list_filter(gathered, lambda g: g > {bar})), 0)"
+
+    def rounded(self, x: str, digits: int) -> str:
+        """Half to even on the scaled double: what ties of binary fractions (675 s are 1/128 day) need."""
+        scale = f"CAST({10**digits} AS DOUBLE)"
+        return f"({'rint' if self.spark else 'round_even'}({x} * {scale}{'' if self.spark else ', 0'}) / {scale})"
 
 
 SPARK, DUCK = Dialect("spark"), Dialect("duckdb")

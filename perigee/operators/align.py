@@ -1,108 +1,74 @@
-"""Cleaned records against the source files they come from.
+"""Cleaned records against the source files they come from, as SQL text.
 
-For records that carry their source line numbers the audit is a join on (file, line): `by_provenance`. For an exported
-tree, which has none, `by_order` walks each file and its records forward together, one file a task; such a tree's files
-are bounded by whoever wrote them.
+For records that carry their source line numbers the audit is a join on (file, line): `by_provenance`. An exported tree
+has none: `by_order` gives each record the source pair of the same two lines, the n-th occurrence to the n-th, by an
+equi-join; only records that find none, or one behind a pair that an earlier record has, are looked up by satellite and
+epoch among the pairs that no record claims. No file is brought into one task: what precedes a block of records in its
+file comes from a table with a row a block.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from perigee.functions import tle
+from perigee.functions.tle import Dialect
+from perigee.operators import records as lines_to_records
 
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+BLOCK = lines_to_records.BLOCK
 
-from perigee.functions import tle
-from perigee.functions.tle import SPARK
 
-#: Source lines that are looked at together.
-WINDOW = 4096
+def _becomes(core: str) -> str:
+    """A normalised line with its checksum, where that alone is absent."""
+    return f"CASE WHEN length({core}) = 68 THEN concat({core}, CAST({tle.checksum(core)} AS VARCHAR(2))) ELSE {core} END"
 
 
-def by_provenance(records: DataFrame, lines: DataFrame) -> DataFrame:
+def by_provenance(d: Dialect, records: str, lines: str) -> str:
     """(rule, src_file, idx): records one of whose lines is not what its source line becomes by the allowed repairs.
 
     records: (src_file, idx, src1, src2, line1, line2); lines: (src_file, line_no, raw). Both are spread by file and line.
     """
-    core = tle.core(SPARK, "raw")
-    fixed = f"CASE WHEN length({core}) = 68 THEN concat({core}, CAST({tle.checksum(core)} AS VARCHAR(2))) ELSE {core} END"
-    source = lines.select(F.col("src_file").alias("f"), F.col("line_no").alias("no"), F.expr(fixed).alias("becomes"))
-    halves = records.select("src_file", "idx", F.explode(F.array(F.struct(F.col("src1").alias("no"), F.col("line1").alias("line")), F.struct(F.col("src2").alias("no"), F.col("line2").alias("line")))).alias("h"))
-    halves = halves.select("src_file", "idx", F.col("h.no").alias("at"), F.col("h.line").alias("line"))
-    joined = halves.join(source, (F.col("src_file") == F.col("f")) & (F.col("at") == F.col("no")), "left")
-    bad = joined.where(F.col("becomes").isNull() | (F.col("becomes") != F.col("line")))
-    rule = F.when(F.count_if(F.col("becomes").isNotNull()) > 0, "VRFY-INTERIOR-MUT").otherwise("VRFY-ORIGIN-MISSING")
-    return bad.groupBy("src_file", "idx").agg(rule.alias("rule")).select("rule", "src_file", "idx")
-
-
-def _normal(raw: str) -> str:
-    text = raw.lstrip(" \t")
-    return text.rstrip(" \t\r\\")
-
-
-def _signed(core: str) -> str:
-    if len(core) == 68:
-        return core + str(sum(int(c) if c in "0123456789" else c == "-" for c in core) % 10)
-    return core
-
-
-class Walk:
-    """One file's kept lines, consumed forward as its records claim them."""
-
-    def __init__(self, lines: list[str], broken: Iterator[bool] | None = None):
-        self.lines, self.at = [_signed(_normal(x)) for x in lines], 0
-        self.shadow = [not self._fine(k) for k in range(len(lines) - 1)] if broken is None else list(broken)
-
-    def _fine(self, k: int) -> bool:
-        a, b = self.lines[k], self.lines[k + 1]
-        return len(a) == len(b) == 69 and a == _signed(a[:68]) and b == _signed(b[:68]) and a[2:7] == b[2:7] and a[:2] == "1 " and b[:2] == "2 "
-
-    def claim(self, line1: str, line2: str) -> str | None:
-        """None if the record stands behind the last one claimed, within sight; else the rule that it breaks.
-
-        A match within the window of lines in sight goes before an earlier line of the same satellite and epoch; without
-        a match, the first such line whose own pair is fine is the record's origin, changed. With neither, the window
-        moves on."""
-        anchor = (line1[2:7], line1[18:32])
-        while True:
-            sight = range(self.at, min(self.at + WINDOW, len(self.lines)) - 1)
-            for k in sight:
-                if self.lines[k] == line1 and self.lines[k + 1] == line2:
-                    self.at = k + 2
-                    return None
-            near = next((k for k in sight if (self.lines[k][2:7], self.lines[k][18:32]) == anchor and self.lines[k][:1] == "1"), None)
-            if near is not None:
-                shadow = self.shadow[near]
-                self.at = near + 2
-                if shadow:
-                    continue
-                return "VRFY-INTERIOR-MUT"
-            if len(self.lines) - self.at <= 1 or self.at + WINDOW >= len(self.lines):
-                self.at = max(self.at, len(self.lines) - 1)
-                return "VRFY-ORIGIN-MISSING"
-            self.at += WINDOW - 1
-
-
-def by_order(records: DataFrame, lines: DataFrame) -> DataFrame:
-    """(rule, src_file, idx) for records (src_file, idx, line1, line2) against lines (src_file, line_no, raw). Files that
-    only one side has give nothing: a missing source is counted apart, by `missing_sources`."""
-    kept = lines.where(f"NOT {tle.content_free(SPARK, 'raw')}").select("src_file", "line_no", F.regexp_replace("raw", r"[^\x00-\x7F]", "?").alias("raw"))
-
-    def walk(ours: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[str, str, int]] = []
-        if len(ours) and len(theirs):
-            source = Walk(theirs.sort_values("line_no")["raw"].tolist())
-            for r in ours.sort_values("idx").itertuples():
-                rule = source.claim(r.line1, r.line2)
-                if rule:
-                    out.append((rule, r.src_file, r.idx))
-        return pd.DataFrame(out, columns=["rule", "src_file", "idx"])
-
-    ours = records.select("src_file", "idx", "line1", "line2").groupBy("src_file")
-    return ours.cogroup(kept.groupBy("src_file")).applyInPandas(walk, "rule string, src_file string, idx long")
-
-
-def missing_sources(records: DataFrame, lines: DataFrame) -> DataFrame:
-    """Files of records without a source."""
-    return records.select("src_file").distinct().join(lines.select("src_file").distinct(), "src_file", "left_anti")
+    source = f"SELECT src_file AS f, line_no AS no, {_becomes('core')} AS becomes FROM (SELECT src_file, line_no, {tle.core(d, 'raw')} AS core FROM ({lines}) l) c"
+    halves = f"SELECT src_file, idx, src1 AS at, line1 AS line FROM ({records}) a UNION ALL SELECT src_file, idx, src2 AS at, line2 AS line FROM ({records}) b"
+    joined = f"SELECT h.src_file AS src_file, h.idx AS idx, s.becomes AS becomes FROM ({halves}) h LEFT JOIN ({source}) s ON h.src_file = s.f AND h.at = s.no WHERE s.becomes IS NULL OR s.becomes <> h.line"
+    return f"SELECT CASE WHEN count(becomes) > 0 THEN 'VRFY-INTERIOR-MUT' ELSE 'VRFY-ORIGIN-MISSING' END AS rule, src_file, idx FROM ({joined}) j GROUP BY src_file, idx"
+
+
+def source_pairs(d: Dialect, lines: str) -> str:
+    """(src_file, k, p1, p2, valid, catalog, epoch): each kept line that begins like a line 1, with the kept line behind
+    it. valid: whether the pair, normalised but without a checksum made for it, is a record that cleaning accepts; an
+    invalid pair is never a record's origin, though it may share its satellite and epoch."""
+    both = f"SELECT src_file, line_no AS k, {tle.core(d, 'raw')} AS core1, {tle.core(d, 'next_raw')} AS core2 FROM ({lines_to_records.neighbours(d, lines)}) n WHERE next_raw IS NOT NULL AND kind = '1'"
+    valid = f"coalesce({tle.line_ok(d, 'core1', 1)} AND {tle.line_ok(d, 'core2', 2)} AND substr(core1, 3, 5) = substr(core2, 3, 5), false)"
+    return f"SELECT src_file, k, {_becomes('core1')} AS p1, {_becomes('core2')} AS p2, {valid} AS valid, {tle.decode_catalog(d, tle.catalog_field('core1'))} AS catalog, substr(core1, 19, 14) AS epoch FROM ({both}) b"
+
+
+def by_order(d: Dialect, records: str, lines: str) -> str:
+    """(rule, src_file, idx) for records (src_file, idx, line1, line2) against lines (src_file, line_no, raw): INTERIOR-MUT
+    where an unclaimed valid pair of the record's satellite and epoch stands behind what the records before it claim,
+    ORIGIN-MISSING where none does. Files that only one side has give nothing: see `missing_sources`."""
+    pairs = f"SELECT *, row_number() OVER (PARTITION BY src_file, p1, p2 ORDER BY k) AS turn FROM ({source_pairs(d, lines)}) s"
+    own = f"SELECT src_file, idx, line1, line2, row_number() OVER (PARTITION BY src_file, line1, line2 ORDER BY idx) AS turn, CAST(floor(idx / {float(BLOCK)}) AS BIGINT) AS blk FROM ({records}) r"
+    sourced = f"SELECT src_file AS known FROM ({lines}) l GROUP BY src_file"
+    matched = f"SELECT o.src_file AS src_file, o.idx AS idx, o.line1 AS line1, o.line2 AS line2, o.blk AS blk, p.k AS k FROM ({own}) o JOIN ({sourced}) f ON o.src_file = f.known LEFT JOIN ({pairs}) p ON o.src_file = p.src_file AND o.line1 = p.p1 AND o.line2 = p.p2 AND o.turn = p.turn"
+    inside = f"SELECT *, max(k) OVER (PARTITION BY src_file, blk ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS near FROM ({matched}) m"
+    ahead = f"SELECT src_file AS a_file, blk AS a_blk, max(most) OVER (PARTITION BY src_file ORDER BY blk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far FROM (SELECT src_file, blk, max(k) AS most FROM ({matched}) b GROUP BY src_file, blk) e"
+    # Where a changed record's place in the turn is taken by the next copy of its pair, that copy still has an origin: the
+    # last copy of its pair stands behind what the records before it claim.
+    last = f"SELECT src_file AS l_file, p1 AS l1, p2 AS l2, max(k) AS last_k FROM ({pairs}) q GROUP BY src_file, p1, p2"
+    late = (
+        f"SELECT src_file, idx, line1, line2, greatest(coalesce(near, 0), coalesce(far, 0)) AS past "
+        f"FROM ({inside}) i JOIN ({ahead}) a ON i.src_file = a.a_file AND i.blk = a.a_blk WHERE k IS NULL OR k < greatest(coalesce(near, 0), coalesce(far, 0))"
+    )
+    lost = (
+        f"SELECT src_file, idx, {tle.decode_catalog(d, tle.catalog_field('line1'))} AS catalog, substr(line1, 19, 14) AS epoch, past "
+        f"FROM ({late}) t LEFT JOIN ({last}) l ON t.src_file = l.l_file AND t.line1 = l.l1 AND t.line2 = l.l2 WHERE last_k IS NULL OR last_k <= past"
+    )
+    free = f"SELECT p.src_file AS src_file, p.k AS k, p.catalog AS catalog, p.epoch AS epoch FROM ({pairs}) p LEFT JOIN ({own}) o ON o.src_file = p.src_file AND o.line1 = p.p1 AND o.line2 = p.p2 AND o.turn = p.turn WHERE o.idx IS NULL AND p.valid"
+    return (
+        f"SELECT CASE WHEN max(f.k) IS NOT NULL THEN 'VRFY-INTERIOR-MUT' ELSE 'VRFY-ORIGIN-MISSING' END AS rule, l.src_file AS src_file, l.idx AS idx FROM ({lost}) l "
+        f"LEFT JOIN ({free}) f ON l.src_file = f.src_file AND l.catalog = f.catalog AND l.epoch = f.epoch AND f.k > l.past GROUP BY l.src_file, l.idx"
+    )
+
+
+def missing_sources(records: str, lines: str) -> str:
+    """(src_file): files of records without a source."""
+    return f"SELECT r.src_file AS src_file FROM (SELECT src_file FROM ({records}) a GROUP BY src_file) r LEFT JOIN (SELECT src_file AS known FROM ({lines}) b GROUP BY src_file) l ON r.src_file = l.known WHERE l.known IS NULL"

@@ -35,29 +35,41 @@ def unusable_groups(d: Dialect, records: str) -> str:
     return f"SELECT reason, count(*) AS n FROM (SELECT {unusable(d)} AS reason FROM ({ranked(records)}) k WHERE place = 1) u WHERE reason IS NOT NULL GROUP BY reason"
 
 
-def notes(d: Dialect, records: str) -> str:
-    """(catalog, epoch_key, conflict, kept, dropped): for each group that lost records, in text form file:idx:elset."""
-    clash = f"SELECT catalog, epoch_key, max(CASE WHEN clash THEN 1 ELSE 0 END) AS conflict FROM ({verify.conflicts(records)}) c GROUP BY catalog, epoch_key"
+def groups(d: Dialect, records: str) -> str:
+    """A row for each (catalog, epoch_key): of (its records), fine (1 if the kept one can be used), conflict, kept and
+    dropped in text form file:idx:elset. One shuffle: windows and aggregate are all within (catalog, epoch_key)."""
     card = "concat(src_file, ':', CAST(idx AS VARCHAR(20)), ':', coalesce(CAST(elset AS VARCHAR(20)), ''))"
     order = "concat(src_file, lpad(CAST(idx AS VARCHAR(20)), 20, '0'))"
-    lost = f"SELECT catalog, epoch_key, {d.list(card, order)} AS dropped FROM ({ranked(records)}) k WHERE place > 1 GROUP BY catalog, epoch_key"
-    kept = f"SELECT catalog, epoch_key, {card} AS kept FROM ({ranked(records)}) k WHERE place = 1 AND of > 1 AND {unusable(d)} IS NULL"
-    return f"SELECT k.catalog AS catalog, k.epoch_key AS epoch_key, c.conflict AS conflict, k.kept AS kept, l.dropped AS dropped FROM ({kept}) k JOIN ({lost}) l ON k.catalog = l.catalog AND k.epoch_key = l.epoch_key JOIN ({clash}) c ON k.catalog = c.catalog AND k.epoch_key = c.epoch_key"
+    seen = verify._seen(ranked(records))
+    return (
+        f"SELECT catalog, epoch_key, max(of) AS of, max(CASE WHEN place = 1 AND {unusable(d)} IS NULL THEN 1 ELSE 0 END) AS fine, max(CASE WHEN state <> first_state THEN 1 ELSE 0 END) AS conflict, "
+        f"max(CASE WHEN place = 1 THEN {card} END) AS kept, {d.list(card, order, 'place > 1')} AS dropped FROM ({seen}) s GROUP BY catalog, epoch_key"
+    )
+
+
+def notes(d: Dialect, records: str) -> str:
+    """(catalog, epoch_key, conflict, kept, dropped): for each group that lost records, in text form file:idx:elset."""
+    return f"SELECT catalog, epoch_key, conflict, kept, dropped FROM ({groups(d, records)}) g WHERE of > 1 AND fine = 1"
+
+
+def unusable_notes(d: Dialect, records: str) -> str:
+    """(catalog, epoch_key, src_file, idx, reason): kept records that can't be used."""
+    return f"SELECT catalog, epoch_key, src_file, idx, reason FROM (SELECT *, {unusable(d)} AS reason FROM ({ranked(records)}) k WHERE place = 1) u WHERE reason IS NOT NULL"
 
 
 def summary(d: Dialect, records: str, used: str) -> str:
     """One row of counts: records read, excluded, written, dropped, groups collapsed, conflicts, unusable groups, silent
-    satellites (fewer than three records, which have no gap statistics). `used`: the records without hard suspects."""
-    groups = f"SELECT of, CASE WHEN {unusable(d)} IS NULL THEN 1 ELSE 0 END AS fine FROM ({ranked(used)}) k WHERE place = 1"
-    written = f"SELECT coalesce(sum(fine), 0) AS written, coalesce(sum(fine * (of - 1)), 0) AS dropped, coalesce(sum(CASE WHEN of > 1 THEN fine ELSE 0 END), 0) AS collapsed, coalesce(sum(1 - fine), 0) AS unusable FROM ({groups}) g"
-    clash = f"SELECT count(*) AS conflicts FROM (SELECT n.conflict FROM ({notes(d, used)}) n WHERE conflict = 1) x"
-    silent = f"SELECT count(*) AS silent FROM (SELECT catalog FROM ({import_set(d, used)}) i GROUP BY catalog HAVING count(*) < 3) y"
-    pick = lambda sql, c: f"(SELECT {c} FROM ({sql}) q)"
-    big = lambda x: f"CAST({x} AS BIGINT)"
-    read, left = f"(SELECT count(*) FROM ({records}) a)", f"(SELECT count(*) FROM ({used}) b)"
+    satellites (fewer than three records, which have no gap statistics). `used`: the records without hard suspects. One
+    pass over `used`, and a count of `records`."""
+    by_catalog = (
+        f"SELECT catalog, sum(of) AS left_, sum(fine) AS written, sum(fine * (of - 1)) AS dropped, sum(CASE WHEN of > 1 THEN fine ELSE 0 END) AS collapsed, "
+        f"sum(CASE WHEN of > 1 AND conflict = 1 THEN fine ELSE 0 END) AS conflicts, sum(1 - fine) AS unusable FROM ({groups(d, used)}) g GROUP BY catalog"
+    )
+    total = lambda x, name: f"CAST(coalesce(sum({x}), 0) AS BIGINT) AS {name}"
+    sums = ", ".join([total("left_", "left_"), total("written", "records_written"), total("dropped", "records_dropped"), total("collapsed", "groups_collapsed"), total("conflicts", "conflicts_flagged"), total("unusable", "unusable_records"), total("CASE WHEN written BETWEEN 1 AND 2 THEN 1 ELSE 0 END", "gap_silent_satellites")])
     return (
-        f"SELECT {big(read)} AS records_read, {big(f'{read} - {left}')} AS excluded_hard_suspects, {big(pick(written, 'written'))} AS records_written, {big(pick(written, 'dropped'))} AS records_dropped, "
-        f"{big(pick(written, 'collapsed'))} AS groups_collapsed, {big(pick(clash, 'conflicts'))} AS conflicts_flagged, {big(pick(written, 'unusable'))} AS unusable_records, {big(pick(silent, 'silent'))} AS gap_silent_satellites"
+        f"SELECT a.records_read AS records_read, a.records_read - t.left_ AS excluded_hard_suspects, t.records_written AS records_written, t.records_dropped AS records_dropped, t.groups_collapsed AS groups_collapsed, "
+        f"t.conflicts_flagged AS conflicts_flagged, t.unusable_records AS unusable_records, t.gap_silent_satellites AS gap_silent_satellites FROM (SELECT {sums} FROM ({by_catalog}) c) t CROSS JOIN (SELECT count(*) AS records_read FROM ({records}) r) a"  # one row each
     )
 
 
@@ -77,16 +89,15 @@ def gaps(d: Dialect, series: str, key: str = "catalog", us: str = "epoch_us", fa
 
 
 def history(d: Dialect, series: str, key: str = "catalog", us: str = "epoch_us", factor: float = 10.0) -> str:
-    """(key, records, first_epoch, last_epoch, span_days, median_spacing_days, largest_gap_days, gap_count): the manifest."""
+    """(key, records, first_epoch, last_epoch, span_days, median_spacing_days, largest_gap_days, gap_count): the manifest.
+    One window and one aggregate by the same key; a series' spacings are gathered to be held against their own median."""
     step = deltas(series, key, us)
-    ends = f"SELECT key, count(*) AS records, min(us) AS first_us, max(us) AS last_us FROM ({step}) t GROUP BY key"
-    mid = f"SELECT key, {d.median('days')} AS mid, {d.lower_median('days')} AS bar, max(days) AS longest FROM ({step}) t WHERE days IS NOT NULL GROUP BY key"
-    many = f"SELECT t.key AS key, count(*) AS n FROM ({step}) t JOIN ({mid}) m ON t.key = m.key JOIN ({ends}) e ON t.key = e.key WHERE m.bar > 0 AND e.records >= 3 AND t.days > CAST({factor} AS DOUBLE) * m.bar GROUP BY t.key"
-    six = lambda x: f"round({x}, 6)"
+    gathered, above = d.above("days", f"CAST({factor} AS DOUBLE) * bar")
+    own = f"SELECT key, count(*) AS records, min(us) AS first_us, max(us) AS last_us, {d.median('days')} AS mid, {d.lower_median('days')} AS bar, max(days) AS longest, {gathered} AS gathered FROM ({step}) t GROUP BY key"
     return (
-        f"SELECT e.key AS key, e.records AS records, {tle.iso_of('e.first_us', d)} AS first_epoch, {tle.iso_of('e.last_us', d)} AS last_epoch, {six('(e.last_us - e.first_us) / CAST(86400000000 AS DOUBLE)')} AS span_days, "
-        f"CASE WHEN e.records >= 3 THEN {six('m.mid')} END AS median_spacing_days, coalesce({six('m.longest')}, CAST(0 AS DOUBLE)) AS largest_gap_days, CAST(coalesce(g.n, 0) AS BIGINT) AS gap_count "
-        f"FROM ({ends}) e LEFT JOIN ({mid}) m ON e.key = m.key LEFT JOIN ({many}) g ON e.key = g.key"
+        f"SELECT key, records, {tle.iso_of('first_us', d)} AS first_epoch, {tle.iso_of('last_us', d)} AS last_epoch, {d.rounded('((last_us - first_us) / CAST(86400000000 AS DOUBLE))', 6)} AS span_days, "
+        f"CASE WHEN records >= 3 THEN {d.rounded('mid', 6)} END AS median_spacing_days, coalesce({d.rounded('longest', 6)}, CAST(0 AS DOUBLE)) AS largest_gap_days, "
+        f"CAST(CASE WHEN records >= 3 AND bar > 0 THEN {above} ELSE 0 END AS BIGINT) AS gap_count FROM ({own}) o"
     )
 
 
@@ -95,12 +106,18 @@ def extract(imported: str, ids: list[int]) -> str:
     return f"SELECT catalog, epoch_key, line1, line2 FROM ({imported}) i WHERE catalog IN ({', '.join(str(int(i)) for i in ids) or 'NULL'})"
 
 
-def run_diff(counts_a: str, counts_b: str, keys: tuple[str, ...]) -> str:
-    """(keys, a, b, delta, presence) of two runs' counts (keys, n): both, a-only or b-only."""
+def run_diff(counts_a: str, counts_b: str, keys: tuple[str, ...], presence_by: str | None = None) -> str:
+    """(keys, a, b, delta, presence) of two runs' counts (keys, n): both, a-only or b-only. presence_by: the key by which
+    a side counts as present, any row of it sufficing (a file, whatever its rules); each key by itself else."""
     on = " AND ".join(f"a.{k} = b.{k}" for k in keys)
     names = ", ".join(f"coalesce(a.{k}, b.{k}) AS {k}" for k in keys)
     n = "CAST(coalesce(a.n, 0) AS BIGINT)", "CAST(coalesce(b.n, 0) AS BIGINT)"
-    return f"SELECT {names}, {n[0]} AS a, {n[1]} AS b, {n[1]} - {n[0]} AS delta, CASE WHEN a.n IS NULL THEN 'b-only' WHEN b.n IS NULL THEN 'a-only' ELSE 'both' END AS presence FROM ({counts_a}) a FULL OUTER JOIN ({counts_b}) b ON {on}"
+    here = "a.n IS NOT NULL AS in_a, b.n IS NOT NULL AS in_b"
+    rows = f"SELECT {names}, {n[0]} AS a, {n[1]} AS b, {n[1]} - {n[0]} AS delta, {here} FROM ({counts_a}) a FULL OUTER JOIN ({counts_b}) b ON {on}"
+    if presence_by:
+        any_ = lambda c: f"max(CASE WHEN {c} THEN 1 ELSE 0 END) OVER (PARTITION BY {presence_by}) = 1"
+        rows = f"SELECT {', '.join(keys)}, a, b, delta, {any_('in_a')} AS in_a, {any_('in_b')} AS in_b FROM ({rows}) p"
+    return f"SELECT {', '.join(keys)}, a, b, delta, CASE WHEN NOT in_a THEN 'b-only' WHEN NOT in_b THEN 'a-only' ELSE 'both' END AS presence FROM ({rows}) d"
 
 
 def parse_threshold(text: str) -> int | Fraction:

@@ -17,10 +17,14 @@ HARD_ERRORS = (1, 2, 3, 4, 5)
 LOCAL_FACTOR, QUANTUM = 20.0, 0.1
 
 
-def residuals(line1: list[str], line2: list[str], epoch_us: np.ndarray) -> tuple[np.ndarray, np.ndarray, sgp4.Near]:
+def read(line1: list[str], line2: list[str], epoch_us: np.ndarray) -> sgp4.Orbits:
+    return sgp4.parse(line1, line2, epoch_us / 86400e6 + 7306.0)
+
+
+def residuals(line1: list[str], line2: list[str], epoch_us: np.ndarray) -> tuple[np.ndarray, np.ndarray, sgp4.Orbits]:
     """(error codes, residuals, orbits): residual i is the distance in km between where record i - 1 and record i put the
     satellite at the epoch of i; nan where they don't compare (an error, no time between them, or too much)."""
-    orbits = sgp4.parse(line1, line2)
+    orbits = read(line1, line2, epoch_us)
     n = len(line1)
     out = np.full(n, np.nan)
     if n > 1:
@@ -28,23 +32,19 @@ def residuals(line1: list[str], line2: list[str], epoch_us: np.ndarray) -> tuple
     return orbits.error, out, orbits
 
 
-def gap_days(orbits: sgp4.Near, i: np.ndarray) -> np.ndarray:
-    return np.where(orbits.n[i] * 1440 / sgp4.TWO_PI < 1.5, 7.0, 3.0)
+def gap_days(orbits: sgp4.Orbits, i: np.ndarray) -> np.ndarray:
+    """Days across which two records still compare: seven for orbits slower than 1.5 turns a day, else three."""
+    return np.where(orbits.kozai[i] * 1440 / sgp4.TWO_PI < 1.5, 7.0, 3.0)
 
 
-def between(orbits: sgp4.Near, epoch_us: np.ndarray, i: np.ndarray, j: np.ndarray, stretch: float = 1.0) -> np.ndarray:
+def between(orbits: sgp4.Orbits, epoch_us: np.ndarray, i: np.ndarray, j: np.ndarray, stretch: float = 1.0) -> np.ndarray:
     """Residuals from records i to records j."""
     minutes = (epoch_us[j] - epoch_us[i]) / 60e6
-    take = lambda k: sgp4.Near.__new__(sgp4.Near)
-    a = take(i)
-    a.__dict__ = {k: (v[i] if isinstance(v, np.ndarray) else v) for k, v in orbits.__dict__.items()}
-    b = take(j)
-    b.__dict__ = {k: (v[j] if isinstance(v, np.ndarray) else v) for k, v in orbits.__dict__.items()}
-    wrong_a, from_a = a.at(minutes)
-    wrong_b, from_b = b.at(np.zeros(len(j)))
+    able = (orbits.error[i] == 0) & (orbits.error[j] == 0) & (minutes > 0) & (minutes <= stretch * gap_days(orbits, i) * 1440)
+    wrong_a, from_a = orbits.take(i).at(np.where(able, minutes, 0.0))  # none is led further than it is asked for
+    wrong_b, from_b = orbits.take(j).at(np.zeros(len(j)))
     r = np.round(np.sqrt(((from_a - from_b) ** 2).sum(axis=1)), 1)
-    fine = (wrong_a == 0) & (wrong_b == 0) & (orbits.error[i] == 0) & (orbits.error[j] == 0) & ~orbits.deep[i] & ~orbits.deep[j]
-    return np.where(fine & (minutes > 0) & (minutes <= stretch * gap_days(orbits, i) * 1440), r, np.nan)
+    return np.where(able & (wrong_a == 0) & (wrong_b == 0), r, np.nan)
 
 
 def threshold(r: np.ndarray, floor: float, factor: float) -> float:
@@ -74,25 +74,31 @@ def local_thresholds(r: np.ndarray) -> np.ndarray:
     return out
 
 
-def outliers(r: np.ndarray, orbits: sgp4.Near, epoch_us: np.ndarray, floor: float, factor: float) -> list[int]:
-    """Records that don't fit their track. Where both pairs of a record are hot and its neighbours fit each other, it
-    alone is at fault; any other hot pair is laid on its second record."""
+def outliers(r: np.ndarray, orbits: sgp4.Orbits, epoch_us: np.ndarray, floor: float, factor: float) -> list[tuple[int, float, bool]]:
+    """(record, the bar that it exceeds, whether it alone is at fault) of records that don't fit their track. Where both
+    pairs of a record are hot and its neighbours fit each other, it alone is; any other hot pair is laid on its second
+    record."""
     top = threshold(r, floor, factor)
+    bars = np.maximum(top, local_thresholds(r))
     with np.errstate(invalid="ignore"):
-        hot = r > np.maximum(top, local_thresholds(r)) + QUANTUM
+        hot = r > bars + QUANTUM
     found, used, i = [], set(), 1
     while i + 1 < len(r):
         if hot[i] and hot[i + 1] and i not in used:
             probe = between(orbits, epoch_us, np.array([i - 1]), np.array([i + 1]), 2.0)[0]
             if probe <= top + QUANTUM:
-                found.append(i)
+                found.append((i, float(bars[i]), True))
                 used |= {i, i + 1}
         i += 1
-    return sorted(found + [k for k in range(1, len(r)) if hot[k] and k not in used])
+    return sorted(found + [(k, float(bars[k]), False) for k in range(1, len(r)) if hot[k] and k not in used])
+
+
+FOUND = "rule string, src_file string, idx long, residual double, detail string, pairs long"
 
 
 def suspects(records: DataFrame, tier: str = "sensitive") -> DataFrame:
-    """(rule, src_file, idx, residual): records whose elements are no orbit, and outliers of their tracks.
+    """(rule, src_file, idx, residual, detail, pairs): records whose elements are no orbit, and outliers of their tracks;
+    and, with a null rule, a row for each track with the pairs measured in it.
     records: (catalog, epoch_key, epoch_us, line1, line2, src_file, idx), valid."""
     floor, factor = TIERS[tier]
 
@@ -100,15 +106,21 @@ def suspects(records: DataFrame, tier: str = "sensitive") -> DataFrame:
         pdf = pdf.sort_values(["epoch_key", "src_file", "idx"])
         us = pdf["epoch_us"].to_numpy(dtype=np.int64)
         error, r, orbits = residuals(pdf["line1"].tolist(), pdf["line2"].tolist(), us)
-        bad = [k for k in range(len(pdf)) if error[k] in HARD_ERRORS and not orbits.deep[k]]
-        odd = outliers(r, orbits, us, floor, factor)
-        own, at = pdf.iloc[bad + odd], np.concatenate([np.full(len(bad), np.nan), r[odd]])
-        rules = ["VRFY-ORBIT-ERROR"] * len(bad) + ["VRFY-ORBIT-OUTLIER"] * len(odd)
-        rows = list(zip(rules, own["src_file"].tolist(), own["idx"].tolist(), at.tolist(), strict=True))
-        return pd.DataFrame(rows, columns=["rule", "src_file", "idx", "residual"])
+        files, places = pdf["src_file"].tolist(), pdf["idx"].tolist()
+        rows: list[tuple] = [(None, None, None, None, None, int((~np.isnan(r)).sum()))]
+        for k in range(len(pdf)):
+            if orbits.unread[k]:
+                rows.append(("VRFY-ORBIT-ERROR", files[k], places[k], None, "sgp4 cannot parse these elements", None))
+            elif error[k] in HARD_ERRORS:
+                rows.append(("VRFY-ORBIT-ERROR", files[k], places[k], None, f"sgp4 rejects these elements (error {error[k]}: {sgp4.ERRORS[int(error[k])]})", None))
+        for k, bar, alone in outliers(r, orbits, us, floor, factor):
+            why = "isolated by leave-one-out: neighbours agree without it" if alone else "inconclusive"
+            rows.append(("VRFY-ORBIT-OUTLIER", files[k], places[k], float(r[k]), f"orbit residual {float(r[k])} km vs its neighbour exceeds the {bar} km threshold ({why})", None))
+        out = pd.DataFrame(rows, columns=["rule", "src_file", "idx", "residual", "detail", "pairs"])
+        return out.astype({"idx": "Int64", "pairs": "Int64"})
 
     own = records.where("epoch_us is not null").select("catalog", "epoch_key", "epoch_us", "line1", "line2", "src_file", "idx")
-    return own.groupBy("catalog").applyInPandas(track, "rule string, src_file string, idx long, residual double")
+    return own.groupBy("catalog").applyInPandas(track, FOUND)
 
 
 def track_residuals(records: DataFrame) -> DataFrame:

@@ -67,7 +67,9 @@ def paired(d: Dialect, lines: str) -> str:
         f"CASE WHEN {record} THEN NULL WHEN kind = '2' THEN 'orphan line 2: no preceding line 1' WHEN kind = 'X' THEN 'line does not start with ''1 '' or ''2 ''' WHEN kind = 'O' THEN 'line exceeds 4096 bytes; truncated' "
         "WHEN after IS NULL THEN 'orphan line 1 at end of file' WHEN after = '1' THEN 'orphan line 1: followed by another line 1' WHEN after = 'X' THEN 'orphan line 1: followed by a non-TLE line' ELSE 'orphan line 1: followed by an oversized line' END"
     )
-    raw = f"CASE WHEN kind = 'O' THEN substr(raw, 1, {OVERSIZED}) ELSE raw END"
+    # The first bytes, not characters; a character that the cut would split goes.
+    cut = f"decode(substr(encode(raw, 'UTF-8'), 1, {OVERSIZED}), 'UTF-8')" if d.spark else f"decode(encode(raw)[1:{OVERSIZED}])"
+    raw = f"CASE WHEN kind = 'O' THEN {cut} ELSE raw END"
     return (
         f"SELECT src_file, line_no AS src1, CASE WHEN {record} THEN next_no END AS src2, {raw} AS raw1, CASE WHEN {record} THEN next_raw END AS raw2, {rule} AS rule_id, {note} AS note "
         f"FROM ({neighbours(d, lines)}) s WHERE NOT (kind = '2' AND coalesce(before, '') = '1')"
@@ -115,10 +117,9 @@ def routed(d: Dialect, lines: str, rebuild: bool = False) -> str:
 FIXES = ("crlf", "leading-trim", "trailing-ws", "trailing-backslash", "reconstructed-checksum")
 
 
-def cleaned(d: Dialect, routed_sql: str) -> str:
-    """The fact table: (catalog, epoch_key, epoch_us, elset, line1, line2, src_file, idx). The keys of a record whose
-    line 1 can't be read are -1; a blank catalog number alone is -1 with a real epoch."""
-    rows = in_file(d, f"SELECT src_file, src1, line1, line2 FROM ({routed_sql}) r WHERE clean", "src1", "idx")
+def facts(d: Dialect, rows: str) -> str:
+    """(catalog, epoch_key, epoch_us, elset, line1, line2, src_file, idx) of records (src_file, idx, line1, line2). The keys
+    of a record whose line 1 can't be read are -1; a blank catalog number alone is -1 with a real epoch."""
     catalog = tle.decode_catalog(d, tle.catalog_field("line1"))
     return (
         f"SELECT CASE WHEN epoch_day IS NULL THEN -1 ELSE coalesce({catalog}, -1) END AS catalog, coalesce(epoch_key, CAST(-1 AS DOUBLE)) AS epoch_key, epoch_us, "
@@ -126,10 +127,18 @@ def cleaned(d: Dialect, routed_sql: str) -> str:
     )
 
 
+def cleaned(d: Dialect, routed_sql: str) -> str:
+    """The fact table of accepted records, numbered in their files."""
+    return facts(d, in_file(d, f"SELECT src_file, src1, line1, line2 FROM ({routed_sql}) r WHERE clean", "src1", "idx"))
+
+
 def fix_counts(routed_sql: str) -> str:
     """(src_file, fix, n): lines fixed, of accepted records."""
-    arms = [f"SELECT src_file, '{f}' AS fix, sum({f.replace('-', '_')}1 + {f.replace('-', '_')}2) AS n FROM ({routed_sql}) r GROUP BY src_file" for f in FIXES]
-    return f"SELECT src_file, fix, CAST(n AS BIGINT) AS n FROM ({' UNION ALL '.join(arms)}) u WHERE n > 0"
+    sums = ", ".join(f"sum({f.replace('-', '_')}1 + {f.replace('-', '_')}2) AS {f.replace('-', '_')}" for f in FIXES)
+    by_file = f"SELECT src_file, {sums} FROM ({routed_sql}) r GROUP BY src_file"
+    pick = "CASE fix " + " ".join(f"WHEN '{f}' THEN {f.replace('-', '_')}" for f in FIXES) + " END"
+    names = " UNION ALL ".join(f"SELECT '{f}' AS fix" for f in FIXES)
+    return f"SELECT src_file, fix, CAST(n AS BIGINT) AS n FROM (SELECT src_file, fix, {pick} AS n FROM ({by_file}) b CROSS JOIN ({names}) f) u WHERE n > 0"  # five rows
 
 
 def file_stats(d: Dialect, lines: str, routed_sql: str) -> str:

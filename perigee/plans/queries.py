@@ -7,7 +7,6 @@ from collections.abc import Callable
 from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from perigee import on_path
 from perigee.functions import tle
@@ -89,6 +88,12 @@ def _edges(d: Dialect) -> str:
     return f"SELECT src_file, line_no, {tle.core(d, 'raw')} AS core, {flags} FROM (SELECT * FROM feed_lines) l WHERE NOT {tle.content_free(d, 'raw')}"
 
 
+def _changed(_: Dialect) -> str:
+    """Records of the feed with their places in it, some changed afterwards: the line itself, or where it is said to stand."""
+    line2 = "CASE WHEN src1 % 13 = 0 THEN concat(substr(line2, 1, 67), '##') ELSE line2 END"
+    return f"SELECT src_file, src1 AS idx, src1, CASE WHEN src1 % 17 = 0 THEN src2 + 10000000 ELSE src2 END AS src2, CASE WHEN src1 % 37 = 0 THEN concat(substr(line1, 1, 20), '999', substr(line1, 24)) ELSE line1 END AS line1, {line2} AS line2 FROM (SELECT * FROM routed) c WHERE clean"
+
+
 def _population(d: Dialect) -> str:
     return f"SELECT DISTINCT catalog FROM ({_good(d)}) g WHERE catalog <> -1"
 
@@ -126,6 +131,11 @@ TEXTS: dict[str, Text] = {
     "tle_duplicate_epochs": lambda d: verify.duplicate_epoch_catalogs(_good(d)),
     "tle_suspects": _suspects,
     "tle_suspect_summary": lambda d: verify.suspect_summary(_suspects(d)),
+    "tle_suspects_by_file": lambda d: verify.suspect_summary(_suspects(d), True),
+    "align_source": lambda d: align.by_provenance(d, _changed(d), "SELECT * FROM feed_lines"),
+    "align_order": lambda d: align.by_order(d, _changed(d), "SELECT * FROM feed_lines"),
+    "align_missing_sources": lambda d: align.missing_sources(_changed(d), "SELECT * FROM feed_lines WHERE src_file <> 'tle03'"),
+    "tle_dedup_unusable_notes": lambda d: dedup.unusable_notes(d, f"SELECT CASE WHEN idx % 7 = 0 THEN -1 ELSE catalog END AS catalog, epoch_key, CASE WHEN idx % 11 = 0 THEN NULL ELSE epoch_us END AS epoch_us, elset, line1, line2, src_file, idx FROM ({_good(d)}) g"),
     "tle_dedup_latest": _imported,
     "tle_dedup_notes": lambda d: dedup.notes(d, _good(d)),
     "tle_dedup_excluding_hard": lambda d: f"SELECT catalog, epoch_key, src_file, idx FROM ({dedup.import_set(d, _used(d))}) i",
@@ -140,11 +150,12 @@ TEXTS: dict[str, Text] = {
     "events_gap_list": lambda d: dedup.gaps(d, f"SELECT DISTINCT user_id, {d.micros('ts')} AS us FROM events", "user_id", "us", 3.0),
     "orders_latest": lambda d: "SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS nth FROM orders) o WHERE nth = 1",
     "run_diff_by_rule": lambda d: dedup.run_diff(_counts(d, False, False), _counts(d, True, False), ("rule_id",)),
-    "run_diff_by_file": lambda d: dedup.run_diff(_counts(d, False, True), _counts(d, True, True), ("src_file", "rule_id")),
+    "run_diff_by_file": lambda d: dedup.run_diff(_counts(d, False, True), _counts(d, True, True), ("src_file", "rule_id"), "src_file"),
     "lineitem_run_diff": lambda d: dedup.run_diff("SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem WHERE l_discount < 0.05 GROUP BY l_returnflag, l_linestatus", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem WHERE l_discount > 0.02 AND l_returnflag <> 'R' GROUP BY l_returnflag, l_linestatus", ("l_returnflag", "l_linestatus")),
     "quality_gate": lambda d: dedup.gate(_stats(d), Fraction("1.5")),
     "sample_even": lambda d: verify.even_sample(_population(d), 20),
-    "sample_stratified": lambda d: verify.stratified_sample(_population(d), verify.duplicate_epoch_catalogs(f"SELECT catalog, epoch_key FROM ({_good(d)}) g WHERE catalog < 9"), 25, 8),
+    "sample_stratified": lambda d: verify.stratified_sample(_population(d), verify.duplicate_epoch_catalogs(_good(d)), 25),
+    "sample_stratified_few": lambda d: verify.stratified_sample(_population(d), f"SELECT catalog FROM ({_suspects(d)}) s WHERE rule = 'VRFY-EPOCH-CONFLICT'", 40),
     "outlier_global_mad": lambda d: verify.global_threshold(d, _residuals(d)),
     "outlier_local_median": lambda d: verify.local_thresholds(d, _residuals(d)),
     "outlier_hot": lambda d: verify.hot(d, _residuals(d)),
@@ -186,18 +197,11 @@ def _base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(_scanned(f"SELECT * FROM {name}", spark, sf_dir))
 
 
-def align_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cleaned records, some changed afterwards, against the lines that they come from."""
-    routed = _base(spark, sf_dir, "routed").where("clean").withColumn("idx", F.col("src1"))
-    changed = routed.withColumn("line2", F.when(F.col("src1") % 13 == 0, F.concat(F.expr("substr(line2, 1, 67)"), F.lit("##"))).otherwise(F.col("line2")))
-    return align.by_provenance(changed.withColumn("src2", F.when(F.col("src1") % 17 == 0, F.col("src2") + 10_000_000).otherwise(F.col("src2"))), _base(spark, sf_dir, "feed_lines"))
-
-
 def orbit_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orbit.track_residuals(_base(spark, sf_dir, "good"))
 
 
-#: These have no SQL text: the first is checked by tests on a small archive, the second by published residuals.
-FRAMES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"align_source": align_source, "orbit_residuals": orbit_residuals}
+#: These have no SQL text of their own: orbits are checked by published positions.
+FRAMES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"orbit_residuals": orbit_residuals}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _query(name) for name in TEXTS} | FRAMES
 ORACLE_SQL: dict[str, str] = {name: _oracle(text(DUCK)) for name, text in TEXTS.items()}

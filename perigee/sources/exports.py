@@ -65,10 +65,13 @@ def write_numbered(units: DataFrame, folder: str, suffix: str, per_file: int = D
 
 
 def rename(spark: SparkSession, old: str, new: str) -> None:
+    """Puts a file in another's place. Where the file system can, in one step: no moment has neither."""
     Path, fs = _fs(spark, old)
-    fs.delete(Path(new), False)
-    if not fs.rename(Path(old), Path(new)):
-        raise OSError(f"can't rename {old} to {new}")
+    jvm = spark.sparkContext._jvm
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    context.rename(fs.makeQualified(Path(old)), fs.makeQualified(Path(new)), options)
 
 
 def write_document(spark: SparkSession, path: str, text: str) -> None:
@@ -78,9 +81,25 @@ def write_document(spark: SparkSession, path: str, text: str) -> None:
     out = fs.create(part, True)
     out.write(bytearray(text.encode()))
     out.close()
-    fs.delete(Path(path), False)
-    if not fs.rename(part, Path(path)):
-        raise OSError(f"can't write {path}")
+    rename(spark, part.toString(), path)
+
+
+def read_document(spark: SparkSession, path: str) -> str | None:
+    """A small text file's content, null where there is none."""
+    Path, fs = _fs(spark, path)
+    if not fs.exists(Path(path)):
+        return None
+    stream = fs.open(Path(path))
+    try:
+        return bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode("utf-8", "replace")
+    finally:
+        stream.close()
+
+
+def made(spark: SparkSession, folder: str) -> str:
+    Path, fs = _fs(spark, folder)
+    fs.mkdirs(Path(folder))
+    return folder
 
 
 def write_json(spark: SparkSession, path: str, value: object, sort: bool = False) -> None:

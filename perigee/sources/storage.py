@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -25,9 +26,38 @@ def root(spark: SparkSession) -> str:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="perigee-")
         _roots[app] = f"{base.rstrip('/')}/{app}-{uuid.uuid4().hex[:8]}"
+        atexit.register(_delete, spark, _roots[app])
     return _roots[app]
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    """At exit: removes the application's tables if the session is still there."""
+    try:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # noqa: BLE001  the JVM may be gone, and then nothing can be done
+        pass
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """The rows, written once and read from there."""
+    return df.sparkSession.read.schema(df.schema).parquet(write(df))
+
+
+def over(df: DataFrame, sql: Callable[..., str], *more: DataFrame) -> DataFrame:
+    """A SQL operator over DataFrames: `sql` takes a SELECT for each. The views live only until the plan is made, under
+    names of their own, so threads on one session don't meet."""
+    spark = df.sparkSession
+    names = [f"__perigee_{uuid.uuid4().hex}" for _ in (df, *more)]
+    for name, rows in zip(names, (df, *more), strict=True):
+        rows.createOrReplaceTempView(name)
+    try:
+        return spark.sql(sql(*(f"SELECT * FROM {name}" for name in names)))
+    finally:
+        for name in names:
+            spark.catalog.dropTempView(name)
+
+
 def stamp(spark: SparkSession, path: str) -> tuple:
     """Name, size and time of the files at a path: what tells a changed input from the one before."""
     jvm = spark.sparkContext._jvm
