@@ -102,9 +102,10 @@ def _dropped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     distinct = materialize(sized.groupBy("i1", "i2").agg(F.min(F.struct("d", "n")).alias("first"), F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("len", "h0", "h1", "h2", "h3"))))
 
     halves = distinct.where(F.col("len") >= MIN_WORDS - 1).select("i1", "i2", F.explode(F.array("h0", "h1", "h2", "h3")).alias("key")).where("key is not null")
-    # What rows are joined with by a key that may be frequent is written before: such a join can be split.
+    # What rows are joined with by a key that may be frequent is written before: such a join can be split. These tables
+    # grow with the input, so they are never broadcast, not even where they are still small.
     shared = materialize(halves.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"))
-    able = halves.join(shared, "key", "left_semi").select("i1", "i2").distinct()
+    able = halves.join(shared.hint("merge"), "key", "left_semi").select("i1", "i2").distinct()
     able = distinct.join(able, ["i1", "i2"], "left_semi").select(F.col("i1").alias("j1"), F.col("i2").alias("j2"), "first")
     # Their words, from the document that has them first: a document's list is no longer than the document.
     places = able.groupBy(F.col("first.d").alias("at")).agg(F.collect_list(F.struct(F.col("first.n").alias("n"), "j1", "j2")).alias("at_lines"))
@@ -130,7 +131,7 @@ def _dropped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     marked = distinct.join(keeper, ["i1", "i2"], "left").where("n > 1 or by is not null")
     marked = materialize(marked.select(F.col("i1").alias("k1"), F.col("i2").alias("k2"), "first", "by"))
     own = F.struct("d", "n")
-    out = lines.select("d", "n", "i1", "i2").join(marked, (F.col("i1") == F.col("k1")) & (F.col("i2") == F.col("k2")))
+    out = lines.select("d", "n", "i1", "i2").join(marked.hint("merge"), (F.col("i1") == F.col("k1")) & (F.col("i2") == F.col("k2")))
     out = out.where(F.col("by").isNotNull() | (own > F.col("first")))
     kept = F.coalesce("by", "first")
     return out.select(F.col("d").alias("id"), F.col("n").alias("line_no"), kept["d"].alias("kept_id"), kept["n"].alias("kept_line_no"), F.col("by").isNotNull().cast("int").alias("edits"), F.col("i1").alias("line_hash"))
