@@ -104,8 +104,12 @@ def verify(cleaned: DataFrame, source_lines: DataFrame | None = None, orbit: boo
     checked = {"files": sums["files"], "records": sums["n"], "source_diff": int(source_lines is not None), "missing_source_files": 0}
     more = []
     if source_lines is not None:
-        audit = align.by_provenance if {"src1", "src2"} <= set(cleaned.columns) else align.by_order
-        moved = over(valid, lambda t, u: audit(SPARK, t, u), source_lines)
+        if {"src1", "src2"} <= set(cleaned.columns):
+            moved = over(valid, lambda t, u: align.by_provenance(SPARK, t, u), source_lines)
+        else:
+            pairs = saved(over(source_lines, lambda t: align.turns(SPARK, t)))
+            claimed = saved(over(valid, lambda t, u: align.matched(SPARK, t, u), pairs))
+            moved = over(claimed, lambda t, u: align.judged(SPARK, t, u), pairs)
         more.append(moved.withColumn("detail", F.create_map(*[F.lit(x) for kv in ALIGNED.items() for x in kv])[F.col("rule")]))
         checked["missing_source_files"] = over(cleaned, lambda t, u: align.missing_sources(t, u), source_lines).count()
     if orbit:

@@ -48,27 +48,30 @@ def _diagnosed(findings: DataFrame) -> DataFrame:
     on_line = ~F.col("orphan") & (F.col("rule_id") != "TLE-PAIR-003")
     mate = F.col("rule_id") == "TLE-PAIR-003"
     # Which line of the record is at fault: the second only where the first is fine, which the router left in no column.
-    fine1 = F.expr(f"{tle.line_ok(SPARK, tle.core(SPARK, 'raw1'), 1)} AND raw1 RLIKE R'^[\\x00-\\x7F]*\\z'")
-    second = on_line & F.col("related_rule").isNull() & fine1
-    rows = findings.withColumn("d1", diagnostics.diagnosis(F.col("rule_id"), "raw1", 1, F.col("tier"), F.col("src1"))).withColumn("d2", diagnostics.diagnosis(F.col("rule_id"), "raw2", 2, F.col("tier"), F.col("src2")))
-    rows = rows.withColumn("d3", diagnostics.diagnosis(F.col("related_rule"), "raw2", 2, tier2, F.col("src2"))).withColumn("d", F.when(second, F.col("d2")).otherwise(F.col("d1")))
-    field = lambda raw: F.expr(f"substr({tle.core(SPARK, raw)}, 3, 5)")
+    # Written step by step: a diagnosis names its line's errors, and its readers name it, many times.
+    rows = findings.withColumns({f"core{n}": F.expr(tle.core(SPARK, f"raw{n}")) for n in (1, 2)})
+    rows = saved(rows.withColumns({f"errors{n}": diagnostics.body_errors(F.col(f"core{n}"), n) for n in (1, 2)} | {"fine1": F.expr(f"{tle.line_ok(SPARK, 'core1', 1)} AND raw1 RLIKE R'^[\\x00-\\x7F]*\\z'")}))
+    second = on_line & F.col("related_rule").isNull() & F.col("fine1")
+    one, two = (diagnostics.diagnosis(F.col("rule_id"), f"core{n}", f"errors{n}", F.col("tier"), F.col(f"src{n}")) for n in (1, 2))
+    rows = rows.withColumn("d", F.when(second, two).otherwise(one)).withColumn("d3", diagnostics.diagnosis(F.col("related_rule"), "core2", "errors2", tier2, F.col("src2")))
+    rows = saved(rows.drop("errors1", "errors2", "fine1"))
+    field = lambda core: F.substring(core, 3, 5)
     first = F.struct(
-        F.when(mate, F.array(F.lit(3), F.lit(7))).when(on_line, F.col("d.column_range")).alias("column_range"), F.when(mate, field("raw2")).when(on_line, F.col("d.expected")).alias("expected"),
-        F.when(F.col("orphan"), F.col("note")).when(on_line, F.col("d.note")).otherwise(none).alias("note"), F.when(mate, field("raw1")).when(on_line, F.col("d.observed")).alias("observed"), F.col("rule_id"),
+        F.when(mate, F.array(F.lit(3), F.lit(7))).when(on_line, F.col("d.column_range")).alias("column_range"), F.when(mate, field("core2")).when(on_line, F.col("d.expected")).alias("expected"),
+        F.when(F.col("orphan"), F.col("note")).when(on_line, F.col("d.note")).otherwise(none).alias("note"), F.when(mate, field("core1")).when(on_line, F.col("d.observed")).alias("observed"), F.col("rule_id"),
         F.when(F.col("orphan"), F.array("src1")).when(mate, F.array("src1", "src2")).otherwise(F.col("d.source_lines")).alias("source_lines"), F.col("tier").alias("tier_attempted"),
     )
-    return rows.withColumn("first", first).withColumn("related", F.when(F.col("related_rule").isNull(), F.array()).otherwise(F.array("d3")))
+    return saved(rows.withColumn("first", first).withColumn("related", F.when(F.col("related_rule").isNull(), F.array()).otherwise(F.array("d3"))).drop("d", "d3", "core1", "core2"))
 
 
-def findings_json(findings: DataFrame) -> DataFrame:
+def findings_json(diagnosed: DataFrame) -> DataFrame:
     """(src_file, src1, text): a JSON line of sorted keys for each finding."""
     f = lambda c: F.col(f"first.{c}").alias(c)
     row = F.struct(
         f("column_range"), f("expected"), F.concat("src_file", F.lit(".txt")).alias("file"), F.col("norad_id"), f("note"), f("observed"), F.lit("quarantined").alias("outcome"), F.col("related"), f("rule_id"),
         F.lit("1").alias("schema_version"), f("source_lines"), f("tier_attempted"),
     )
-    return _diagnosed(findings).select("src_file", "src1", F.concat(F.to_json(row, {"ignoreNullFields": "false"}), F.lit("\n")).alias("text"))
+    return diagnosed.select("src_file", "src1", F.concat(F.to_json(row, {"ignoreNullFields": "false"}), F.lit("\n")).alias("text"))
 
 
 def diagnostic_text(d: Column) -> Column:
@@ -102,7 +105,7 @@ def export_clean(result: api.CleanResult, out_dir: str, stems: list[str], chunk_
     for r in numbered.groupBy("src_file").count().orderBy("src_file").collect():  # a row a file
         ahead[r["src_file"]], total = total, total + r["count"]
     base = F.element_at(F.create_map(*[F.lit(x) for kv in ahead.items() for x in kv]), F.col("src_file")).cast("long") if ahead else F.lit(0).cast("long")
-    lines = findings_json(numbered).withColumnRenamed("text", "json").join(numbered.select("src_file", "src1", "n"), ["src_file", "src1"])
+    lines = findings_json(broken).withColumnRenamed("text", "json").join(numbered.select("src_file", "src1", "n"), ["src_file", "src1"])
     report = _step(spark, out_dir, REPORT)
     exports.write_numbered(lines.select(F.lit("report").alias("stem"), (F.col("n") + base).alias("n"), F.col("json").alias("text")), report, ".jsonl", chunk_records, ["report"])
     ids = [r[0] for r in numbered.where("norad_id is not null").select("norad_id").distinct().orderBy("norad_id").collect()]  # catalog numbers: at most some hundred thousand

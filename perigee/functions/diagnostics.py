@@ -6,7 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from perigee.functions import tle
-from perigee.functions.tle import SPARK
 
 ERROR = "struct<kind:string,msg:string,lo:int,hi:int,observed:string,expected:string>"
 #: Characters that are not shown as themselves between single quotes.
@@ -57,15 +56,16 @@ def range_errors(line: Column, which: int) -> Column:
 
 
 def body_errors(line: Column, which: int) -> Column:
-    layout = layout_errors(line, which)
-    return F.when(F.size(layout) > 0, layout).otherwise(range_errors(line, which))
+    """The errors of the layout, or, where it is fine, those of the ranges. A long expression: whoever names its result
+    more than once writes it first."""
+    fine = F.substring(line, 1, 68).rlike(tle.LAYOUT[which])
+    return F.concat(layout_errors(line, which), F.when(fine, range_errors(line, which)).otherwise(F.array().cast(f"array<{ERROR}>")))
 
 
 def line_message(line: Column, which: int) -> Column:
     """What is wrong first with a line of a record, null if nothing."""
-    size, errors = F.length(line), body_errors(line, which)
-    own = F.substring(line, 69, 1)
-    return F.when(size != 69, F.concat(F.lit("line length "), size.cast("string"), F.lit(", expected 69"))).when(F.size(errors) > 0, F.get(errors, F.lit(0))["msg"]).when(~own.rlike(r"^[0-9]\z"), F.concat(F.lit("checksum column 69 is "), shown(own), F.lit(", not a digit")))
+    size, own = F.length(line), F.substring(line, 69, 1)
+    return F.when(size != 69, F.concat(F.lit("line length "), size.cast("string"), F.lit(", expected 69"))).otherwise(F.coalesce(F.get(body_errors(line, which), F.lit(0))["msg"], F.when(~own.rlike(r"^[0-9]\z"), F.concat(F.lit("checksum column 69 is "), shown(own), F.lit(", not a digit")))))
 
 
 def record_message(line1: str, line2: str) -> Column:
@@ -91,19 +91,18 @@ def noted(text: Column) -> Column:
     return F.when(short != "", short)
 
 
-def diagnosis(rule: Column, raw: str, which: int, tier: Column, line_no: Column) -> Column:
-    """The diagnostic of one line of a record that breaks `rule`, its fields in the order of their names."""
-    core = F.expr(tle.core(SPARK, raw))
-    errors = body_errors(core, which)
-    first = F.get(errors, F.lit(0))
+def diagnosis(rule: Column, core: str, errors: str, tier: Column, line_no: Column) -> Column:
+    """The diagnostic of one line of a record that breaks `rule`, its fields in the order of their names. core, errors:
+    columns with the normalised line and what `body_errors` says of it."""
+    first, joined = F.get(errors, F.lit(0)), F.array_join(F.transform(errors, lambda e: e["msg"]), "; ")
+    total = F.expr(f"CAST({tle.checksum(core)} AS STRING)")
+    core = F.col(core)
     size = F.length(core)
     layout, check = rule == "TLE-COL-004", rule == "TLE-CHK-001"
     columns = F.when(layout & first["lo"].isNotNull(), F.array(first["lo"], first["hi"])).when(check, F.array(F.lit(69), F.lit(69)))
     absent = (rule == "TLE-COL-001") & (size == 68)
     observed = F.when(layout, first["observed"]).when(check, F.substring(core, 69, 1)).when(rule == "TLE-COL-001", size.cast("string"))
-    total = F.expr(f"CAST({tle.checksum(tle.core(SPARK, raw))} AS STRING)")
     expected = F.when(layout, first["expected"]).when(check, total).when(absent, "69").when(rule == "TLE-COL-001", "68 or 69")
-    joined = F.array_join(F.transform(errors, lambda e: e["msg"]), "; ")
     note = F.when(layout | (rule == "TLE-COL-002"), joined).when(rule == "TLE-COL-003", "line contains a non-ASCII byte").when(absent, "checksum absent; use --reconstruct-checksum to recompute")
     return F.struct(
         columns.alias("column_range"), bounded(expected).alias("expected"), noted(note).alias("note"), bounded(observed).alias("observed"), rule.alias("rule_id"),

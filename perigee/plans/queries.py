@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from perigee import on_path
+from perigee import archive, on_path
 from perigee.functions import tle
 from perigee.functions.tle import DUCK, SPARK, Dialect
 from perigee.operators import align, dedup, orbit, records, verify
 from perigee.plans import feed
-from perigee.sources import storage
+from perigee.sources import exports, storage, tle_text
 
 Text = Callable[[Dialect], str]
 
@@ -201,7 +203,72 @@ def orbit_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orbit.track_residuals(_base(spark, sf_dir, "good"))
 
 
+def _tree(spark: SparkSession, sf_dir: str) -> str:
+    """The feed as an archive of text files, cleaned, verified against them and reduced by the commands on folders; made
+    once. Gives the folder: in/ and out/."""
+
+    def make() -> str:
+        folder = f"{storage.root(spark)}/tree-{uuid.uuid4().hex}"
+        lines = _base(spark, sf_dir, "feed_lines")
+        units = lines.select(F.col("src_file").alias("stem"), (F.col("line_no") - 1).alias("n"), F.concat("raw", F.lit("\n")).alias("text"))
+        for name in exports.write_numbered(units, exports.made(spark, f"{folder}/in"), ".txt", 0):
+            exports.rename(spark, f"{folder}/in/{name}", f"{folder}/in/{name.split('.')[0]}.txt")
+        archive.clean(spark, f"{folder}/in", f"{folder}/out", reconstruct_checksum=True, chunk_records=1000)
+        archive.verify(spark, f"{folder}/out", f"{folder}/in", chunk_records=1000)
+        archive.dedup(spark, f"{folder}/out", chunk_records=1000)
+        return folder
+
+    return storage.kept(spark, f"{sf_dir}/events.parquet", "tree", make)
+
+
+def _of_tree(read: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: read(spark, _tree(spark, sf_dir))
+
+
+def _document(spark: SparkSession, path: str, columns: str, pick: str | None = None) -> DataFrame:
+    """Numbers of a small JSON document as one row."""
+    doc = tle_text.read_json(spark, path)
+    doc = doc[pick] if pick else doc
+    names = columns.split()
+    return spark.createDataFrame([tuple(int(doc[n]) for n in names)], ", ".join(f"{n} bigint" for n in names))
+
+
+KEPT = "SELECT catalog, epoch_key, epoch_us, elset, line1, line2, src_file, idx"
+#: What the commands on folders leave, read back: (query, the SQL that makes the same of the tables).
+TREE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], Text]] = {
+    "archive_lines": (lambda s, t: tle_text.read_lines(s, f"{t}/in"), lambda d: "SELECT src_file, line_no, raw FROM (SELECT * FROM feed_lines) l"),
+    "archive_cleaned": (lambda s, t: tle_text.read_cleaned(s, f"{t}/out/01-cleaned"), lambda d: f"{KEPT} FROM ({_cleaned(d)}) c"),
+    "archive_findings": (
+        lambda s, t: tle_text.read_findings(s, f"{t}/out/03-report").select("file", "rule_id", "norad_id", "tier_attempted", F.get("related", F.lit(0))["rule_id"].alias("related_rule"), F.get("source_lines", F.lit(0)).isNotNull().alias("placed")),
+        lambda d: f"SELECT concat(src_file, '.txt') AS file, rule_id, norad_id, tier AS tier_attempted, related_rule, true AS placed FROM ({_routed(d)}) r WHERE NOT clean",
+    ),
+    "archive_broken_ids": (lambda s, t: tle_text.read_broken_ids(s, f"{t}/out/03-report/broken-noradids.ndjson"), lambda d: f"SELECT DISTINCT norad_id FROM ({_findings(d)}) f WHERE norad_id IS NOT NULL"),
+    "archive_report_totals": (
+        lambda s, t: _document(s, f"{t}/out/03-report/report.json", "files_processed paired_records orphan_entries input_lines_seen clean_count quarantined_count failed_count", "summary"),
+        lambda d: "SELECT count(*) AS files_processed, " + ", ".join(f"CAST(sum({c}) AS BIGINT) AS {n}" for c, n in (("paired", "paired_records"), ("orphan", "orphan_entries"), ("lines", "input_lines_seen"), ("clean", "clean_count"), ("quarantined", "quarantined_count"))) + f", CAST(0 AS BIGINT) AS failed_count FROM ({_stats(d)}) s",
+    ),
+    # Every record of the tree has its origin, so the audit against the source adds nothing.
+    "archive_suspects": (lambda s, t: tle_text.read_suspects(s, f"{t}/out/04-verify"), lambda d: f"SELECT rule, severity, catalog, epoch_key, src_file, idx, detail FROM ({_suspects(d)}) s"),
+    "archive_import_set": (
+        lambda s, t: tle_text.read_import(s, f"{t}/out/05-dedup").drop("src_file"),
+        lambda d: f"SELECT catalog, epoch_key, epoch_us, elset, line1, line2, CAST(row_number() OVER (ORDER BY catalog, epoch_key) - 1 AS BIGINT) AS idx FROM ({dedup.import_set(d, _used(d))}) i",
+    ),
+    "archive_notes": (
+        lambda s, t: s.read.schema("catalog long, epoch_key double, conflict boolean, kept struct<src_file: string, index: long, element_set: int>, dropped array<struct<index: long>>").json(f"{t}/out/05-dedup/notes.*.jsonl").where("kept is not null").select("catalog", "epoch_key", F.col("conflict").cast("int").alias("conflict"), F.concat("kept.src_file", F.lit(":"), "kept.index", F.lit(":"), F.coalesce(F.col("kept.element_set").cast("string"), F.lit(""))).alias("kept"), F.size("dropped").cast("long").alias("n")),
+        lambda d: f"SELECT n.catalog AS catalog, n.epoch_key AS epoch_key, n.conflict AS conflict, n.kept AS kept, CAST(length(n.dropped) - length(replace(n.dropped, ',', '')) + 1 AS BIGINT) AS n FROM ({dedup.notes(d, _used(d))}) n",
+    ),
+    "archive_manifest": (
+        lambda s, t: s.read.schema("norad_id long, records long, first_epoch string, last_epoch string, span_days double, median_spacing_days double, largest_gap_days double, gap_count long").json(f"{t}/out/05-dedup/manifest.jsonl"),
+        lambda d: f"SELECT key AS norad_id, records, first_epoch, last_epoch, span_days, median_spacing_days, largest_gap_days, gap_count FROM ({dedup.history(d, dedup.import_set(d, _used(d)))}) h",
+    ),
+    "archive_dedup_summary": (
+        lambda s, t: _document(s, f"{t}/out/05-dedup/summary.json", "records_read excluded_hard_suspects records_written records_dropped groups_collapsed conflicts_flagged unusable_records gap_silent_satellites"),
+        lambda d: dedup.summary(d, _cleaned(d), _used(d)),
+    ),
+}
+
+
 #: These have no SQL text of their own: orbits are checked by published positions.
 FRAMES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"orbit_residuals": orbit_residuals}
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _query(name) for name in TEXTS} | FRAMES
-ORACLE_SQL: dict[str, str] = {name: _oracle(text(DUCK)) for name, text in TEXTS.items()}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _query(name) for name in TEXTS} | {name: _of_tree(read) for name, (read, _) in TREE.items()} | FRAMES
+ORACLE_SQL: dict[str, str] = {name: _oracle(text(DUCK)) for name, text in [*TEXTS.items(), *((n, t) for n, (_, t) in TREE.items())]}

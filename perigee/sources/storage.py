@@ -72,9 +72,14 @@ def write(df: DataFrame) -> str:
     return path
 
 
-def once(spark: SparkSession, source: str, name: str, make: Callable[[], DataFrame]) -> str:
-    """Where the table `name` made from `source` is; it is made if this application has none of the source as it is now."""
+def kept(spark: SparkSession, source: str, name: str, make: Callable[[], str]) -> str:
+    """The path that `make` gives for `name`, made if this application has none of the source as it is now."""
     key = (spark.sparkContext.applicationId, source, stamp(spark, source), name)
     if key not in _made:
-        _made[key] = write(make())
+        _made[key] = make()
     return _made[key]
+
+
+def once(spark: SparkSession, source: str, name: str, make: Callable[[], DataFrame]) -> str:
+    """Where the table `name` made from `source` is; it is made if this application has none of the source as it is now."""
+    return kept(spark, source, name, lambda: write(make()))

@@ -2,7 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from perigee import api
+from perigee import api, archive
 from perigee.functions import diagnostics
 
 L1 = "1 00005U 58002B   00179.78495062  .00000023  00000-0  28098-4 0  4753"
@@ -32,7 +32,7 @@ def test_messages(spark):
 def test_findings_carry_them(spark):
     raws = [L1[:24] + "A" + L1[25:], L2, L1, L2[:68] + "1", L1[:60], L2[:7] + "x" + L2[8:], L1[:68], L2, "zz"]
     lines = spark.createDataFrame([("tle1", n + 1, r) for n, r in enumerate(raws)], "src_file string, line_no long, raw string")
-    rows = [json.loads(r.text) for r in api.findings_json(api.clean_lines(lines).findings).orderBy("src1").collect()]
+    rows = [json.loads(r.text) for r in archive.findings_json(archive._diagnosed(api.clean_lines(lines).findings)).orderBy("src1").collect()]
     short = [(r["rule_id"], r["source_lines"], r["column_range"], r["observed"], r["expected"]) for r in rows]
     assert short == [
         ("TLE-COL-004", [1], [25, 32], "A8495062", None), ("TLE-CHK-001", [4], [69, 69], "1", "7"), ("TLE-COL-001", [5], None, "60", "68 or 69"), ("TLE-COL-001", [7], None, "68", "69"), ("TLE-PAIR-002", [9], None, None, None),
