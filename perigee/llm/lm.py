@@ -10,8 +10,9 @@ depends neither on other scored texts nor on any order.
 
 How it is spread: texts are packed into buckets of some megabytes, one compressed row each. A bucket counts its
 distinct words and a partition its distinct (depth + 1)-grams; their training counts are added up by key. Trees are
-built per pair of nearest context bytes, the two top levels (256 x 255 + 255 rows at most, which reach the driver) from
-sums over those. Each distinct gram then has one log probability. They are counted: up to BROADCAST of them go to
+built in groups of contexts that agree in their three nearest bytes (a group has some hundred thousand grams, a single
+context at most what two more bytes and a symbol can make); the level above from sums by key over all groups, the two top
+levels (256 x 255 + 255 rows at most, which reach the driver) from sums over that. Each distinct gram then has one log probability. They are counted: up to BROADCAST of them go to
 every worker; more go, by a join, to the buckets that hold the gram, with the same scores. Word counts go back to
 their buckets where they differ from what the bucket has counted itself.
 
@@ -41,6 +42,8 @@ DEPTH = 5
 BROADCAST = 4_000_000
 #: Bytes of text in a bucket, about.
 BUCKET = 6_000_000
+#: Grams in a group of contexts, about, while trees are built.
+GROUP = 400_000
 #: Positions that are worked on at a time.
 CHUNK = 1_000_000
 END = b"\n"
@@ -234,45 +237,73 @@ def _decisions(keys: np.ndarray, n: np.ndarray, depth: int, low: int) -> Iterato
         yield t, bit, where, place, np.stack([n0, n1]), weighted, p
 
 
-def log_probabilities(counts: DataFrame, depth: int) -> DataFrame:
-    """(key, logp): log10 of the probability of each gram's byte after the bytes before it. counts: (key, n)."""
-    low = 2
-    pairs = counts.withColumn("pair", F.shiftright("key", 8).bitwiseAND(F.lit(65535)))
+def log_probabilities(counts: DataFrame, depth: int, rows: int = GROUP) -> DataFrame:
+    """(key, logp): log10 of the probability of each gram's byte after the bytes before it. counts: (key, n).
 
-    def second(pdf: pd.DataFrame) -> pd.DataFrame:
+    Grams that agree in their `low` nearest context bytes meet in one group, some `rows` of them with others; the level
+    above is summed up by key and goes back to the groups that lie below it, the two top levels go to all."""
+    low = min(3, depth)
+    groups = max(1, -(-counts.count() // rows))
+    near = lambda k: F.shiftright("key", 8).bitwiseAND(F.lit((1 << 8 * k) - 1))
+    grams_ = counts.withColumn("grp", F.pmod(F.xxhash64(near(low)), F.lit(groups)).cast("int"))
+
+    def lowest(pdf: pd.DataFrame) -> pd.DataFrame:
         keys, n, out = pdf["key"].to_numpy(), pdf["n"].to_numpy().astype(float), []
         for t, _, _, place, n01, weighted, _ in _decisions(keys, n, depth, low):
             symbol = keys[place] & 255
-            out.append(pd.DataFrame({"near": (keys[place] >> 8) & 255, "node": (1 << t) | symbol >> (8 - t), "n0": n01[0], "n1": n01[1], "w": weighted}))
+            out.append(pd.DataFrame({"context": (keys[place] >> 8) & ((1 << 8 * low) - 1), "node": (1 << t) | symbol >> (8 - t), "n0": n01[0], "n1": n01[1], "w": weighted}))
         return pd.concat(out)
 
-    nodes = pairs.groupBy("pair").applyInPandas(second, "near long, node long, n0 double, n1 double, w double")
-    top = nodes.groupBy("near", "node").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("w").alias("w")).toPandas()  # 256 x 255 rows at most
+    def weighed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Nodes with the sums of their children's weights as `below`: their own weight, and how it weighs against them."""
+        for pdf in batches:
+            own, below = estimate(pdf["n0"].to_numpy(), pdf["n1"].to_numpy()), pdf["below"].to_numpy()
+            yield pdf[["context", "node", "n0", "n1"]].assign(w=math.log(0.5) + np.logaddexp(own, below), ratio=np.exp(np.clip(own - below, -700, 700)))
+
+    summed = lambda nodes, k: nodes.groupBy(F.col("context").bitwiseAND(F.lit((1 << 8 * k) - 1)).alias("context"), "node").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("w").alias("below"))
+    nodes = grams_.groupBy("grp").applyInPandas(lowest, "context long, node long, n0 double, n1 double, w double")
+    middle = None
+    if low == 3:
+        middle = nodes = materialize(summed(nodes, 2).mapInPandas(weighed, "context long, node long, n0 double, n1 double, w double, ratio double"))
+    top = summed(nodes, 1).toPandas()  # 256 x 255 rows at most
     n0, n1, below = (np.zeros((257, 256)) for _ in range(3))
-    near, node = top["near"].to_numpy(), top["node"].to_numpy()
-    n0[near, node], n1[near, node], below[near, node] = top["n0"], top["n1"], top["w"]
+    one, node = top["context"].to_numpy(), top["node"].to_numpy()
+    n0[one, node], n1[one, node], below[one, node] = top["n0"], top["n1"], top["below"]
     own = estimate(n0[:256], n1[:256])
     weighted = math.log(0.5) + np.logaddexp(own, below[:256])
     ratio = np.zeros((257, 256))
     ratio[:256] = np.exp(np.clip(own - below[:256], -700, 700))
     # Row 256: the root of each decision.
     present = np.zeros((256, 256), dtype=bool)
-    present[near, node] = True
+    present[one, node] = True
     n0[256], n1[256], sums = n0[:256].sum(axis=0), n1[:256].sum(axis=0), np.where(present, weighted, 0).sum(axis=0)
     ratio[256] = np.exp(np.clip(estimate(n0[256], n1[256]) - sums, -700, 700))
 
-    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
+    def finish(pdf: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
         keys, n = pdf["key"].to_numpy(), pdf["n"].to_numpy().astype(float)
-        total, symbol, one = np.zeros(len(keys)), keys & 255, (keys >> 8) & 255
+        total, symbol, first = np.zeros(len(keys)), keys & 255, (keys >> 8) & 255
+        two = ((keys >> 8) & 65_535) << 8
+        name = (above["context"].to_numpy() << 8) | above["node"].to_numpy()
+        order = np.argsort(name)
+        name, m0, m1, mr = name[order], *(above[c].to_numpy()[order] for c in ("n0", "n1", "ratio"))
         for t, bit, _, _, _, _, p in _decisions(keys, n, depth, low):
             at = (1 << t) | symbol >> (8 - t)
-            for row in (one, np.full(len(keys), 256)):
+            if len(name):
+                k = np.searchsorted(name, two | at)
+                kt = (np.where(bit == 1, m1[k], m0[k]) + 0.5) / (m0[k] + m1[k] + 1.0)
+                p = (mr[k] * kt + p) / (mr[k] + 1)
+            for row in (first, np.full(len(keys), 256)):
                 kt = (np.where(bit == 1, n1[row, at], n0[row, at]) + 0.5) / (n0[row, at] + n1[row, at] + 1.0)
                 p = (ratio[row, at] * kt + p) / (ratio[row, at] + 1)
             total += np.log10(p)
         return pd.DataFrame({"key": keys, "logp": total})
 
-    return pairs.groupBy("pair").applyInPandas(finish, "key long, logp double")
+    if middle is None:
+        none = pd.DataFrame({"context": np.zeros(0, np.int64), "node": np.zeros(0, np.int64), "n0": [], "n1": [], "ratio": []})
+        return grams_.groupBy("grp").applyInPandas(lambda pdf: finish(pdf, none), "key long, logp double")
+    lies = materialize(grams_.select("grp", near(2).alias("context")).distinct())
+    back = middle.join(lies, "context").select("grp", "context", "node", "n0", "n1", "ratio")
+    return grams_.groupBy("grp").cogroup(back.groupBy("grp")).applyInPandas(finish, "key long, logp double")
 
 
 _held: dict[str, tuple[pd.Index, np.ndarray]] = {}

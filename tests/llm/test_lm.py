@@ -71,6 +71,7 @@ def lower(t):
 @pytest.mark.parametrize(("depth", "bucket", "chunk"), [(3, 10**7, 10**6), (4, 300, 50), (2, 2000, 200)])
 def test_scores_match_brute_force(spark, monkeypatch, depth, bucket, chunk):
     monkeypatch.setattr(lm, "CHUNK", chunk)
+    monkeypatch.setattr(lm.log_probabilities, "__defaults__", (400_000 if depth == 2 else 90,))
     rng = random.Random(depth)
     rows = [(d, " ".join(rng.choice(("the", "The", "of", "ß", "Éa", "x9", "in\tto", "q" * 70)) for _ in range(rng.randrange(30)))) for d in range(40)]
     rows += [(100, None), (101, ""), (102, " \n\x0b"), (None, "the of"), (3, "the of the"), (3, "the of the")]
