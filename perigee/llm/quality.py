@@ -156,58 +156,6 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: st
     return ftrl(lambda: data, bits)
 
 
-def score(self, hasher: Hasher, text: str | None) -> float:
-        i, x = hasher.features(text, self.bits)
-        z = self.bias + float(self.weights[i] @ x)
-        return 1 / (1 + math.exp(-max(-35.0, min(35.0, z))))
-
-
-def ftrl(rows: Callable[[], Iterable[Row]], bits: int = BITS, epochs: int = 6, alpha: float = 1.0, beta: float = 1.0, l1: float = 0.02, l2: float = 0.1) -> Model:
-    """Follow-the-regularised-leader with per-coordinate rates (McMahan et al., 2013); `rows` gives the rows (indices,
-    values, label) anew, in one order, for each epoch."""
-    z, n = np.zeros(1 << bits), np.zeros(1 << bits)
-    zb = nb = 0.0
-    for _ in range(epochs):
-        for i, x, y in rows():
-            zi, ni = z[i], n[i]
-            root = np.sqrt(ni)
-            w = np.where(np.abs(zi) <= l1, 0.0, (np.sign(zi) * l1 - zi) / ((beta + root) / alpha + l2))
-            wb = -zb * alpha / (beta + math.sqrt(nb))
-            p = 1 / (1 + math.exp(-max(-35.0, min(35.0, float(w @ x) + wb))))
-            g = (p - y) * x
-            z[i] = zi + g - (np.sqrt(ni + g * g) - root) / alpha * w
-            n[i] = ni + g * g
-            gb = p - y
-            zb += gb - (math.sqrt(nb + gb * gb) - math.sqrt(nb)) / alpha * wb
-            nb += gb * gb
-    weights = np.where(np.abs(z) <= l1, 0.0, (np.sign(z) * l1 - z) / ((beta + np.sqrt(n)) / alpha + l2))
-    return Model(weights, -zb * alpha / (beta + math.sqrt(nb)), bits)
-
-
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", folds: int = 5, sample: int = SAMPLE, bits: int = BITS, held_bytes: int = HELD_BYTES) -> Model:
-    """Learns from labelled rows whose crc32(id as text) mod `folds` is not 0, at most `sample` of them (those whose
-    ids hash lowest). A label that is neither 0 nor 1 counts as none; of several labels of an id the largest holds.
-    Features of up to `held_bytes` stay on the driver through all epochs; more are read anew from the shared folder for
-    each one, with the same result.
-    """
-    known = labels.where(F.col(label).isin(0, 1) & (held_out(F.col(id_col), folds) != 0)).groupBy(F.col(id_col).alias("_id")).agg(F.max(label).alias("_y"))
-    known = known.orderBy(F.xxhash64(F.col("_id").cast("string")), "_id").limit(sample)
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(F.broadcast(known), "_id")  # `sample` rows at most
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                made = [hasher.features(t.as_py(), bits) for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.string()), part.column(2).cast(pa.int32()), pa.array([i.tobytes() for i, _ in made], pa.binary()), pa.array([x.astype(np.float32).tobytes() for _, x in made], pa.binary())], names=["id", "y", "i", "x"])
-
-    # Repeated rows of an id count once: the sample's bound holds for what is gathered.
-    found = rows.select("_id", "_text", "_y").mapInArrow(run, "id string, y int, i binary, x binary").groupBy("id").agg(F.min_by(F.struct("y", "i", "x"), F.xxhash64("i", "x")).alias("r")).orderBy(F.xxhash64("id"), "id")
-    data = [(np.frombuffer(r.r.i, np.int32), np.frombuffer(r.r.x, np.float32).astype(float), r.r.y) for r in found.toLocalIterator()]
-    return ftrl(data, bits)
-
-
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(id, score) of every row, or the columns `keep` with a column _score."""
     names = list(keep) or [id_col]
