@@ -9,6 +9,13 @@ VERSION = "0.2.0"
 _HOME = str(Path(__file__).resolve().parent.parent)
 
 
+def tuned(spark) -> None:
+    """Validation makes long methods, which the JVM never compiles; below this limit Spark splits them instead. Sessions
+    that have another limit than Spark's own keep it."""
+    if spark.conf.get("spark.sql.codegen.hugeMethodLimit", "65535") == "65535":
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+
+
 def on_path() -> None:
     """Lets Python workers on this machine import the package wherever the driver was started. On a cluster it is
     installed on the executors or sent with --py-files."""

@@ -13,6 +13,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from perigee import tuned
 from perigee.functions import diagnostics, registry, tle
 from perigee.functions.tle import SPARK
 from perigee.operators import align, dedup as latest, records, verify as checks
@@ -54,6 +55,7 @@ def utc_stamp() -> str:
 
 def clean_lines(lines: DataFrame, reconstruct_checksum: bool = False) -> CleanResult:
     """Pairs, repairs, validates and routes lines (src_file, line_no, raw)."""
+    tuned(lines.sparkSession)
     began, stamp = time.time(), utc_stamp()
     routed = saved(over(lines, lambda t: records.routed(SPARK, t, reconstruct_checksum)))
     cleaned = saved(over(routed, lambda t: records.cleaned(SPARK, t)))

@@ -167,13 +167,18 @@ TEXTS: dict[str, Text] = {
 TABLES = ("events", "documents", "orders", "lineitem")
 
 
+def path_of(spark: SparkSession, sf_dir: str, base: str) -> str:
+    """Where the shared table `base` of a folder's events is; it is made where it is missing."""
+    return storage.once(spark, f"{sf_dir}/events.parquet", base, lambda: spark.sql(_scanned(BASES[base](SPARK), spark, sf_dir)))
+
+
 def _scanned(text: str, spark: SparkSession, sf_dir: str) -> str:
     """The text over the Parquet files of a folder, and over the shared tables that it names."""
 
     def path(m: re.Match) -> str:
         if m[1] in TABLES:
             return f"FROM parquet.`{sf_dir}/{m[1]}.parquet`"
-        return f"FROM parquet.`{storage.once(spark, f'{sf_dir}/events.parquet', m[1], lambda: spark.sql(_scanned(BASES[m[1]](SPARK), spark, sf_dir)))}`"
+        return f"FROM parquet.`{path_of(spark, sf_dir, m[1])}`"
 
     return re.sub(rf"\bFROM ({'|'.join([*TABLES, *BASES])})\b", path, text)
 

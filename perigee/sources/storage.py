@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from perigee import on_path
+from perigee import on_path, tuned
 
 _roots: dict[str, str] = {}
 _made: dict[tuple, str] = {}
@@ -18,6 +18,7 @@ _made: dict[tuple, str] = {}
 def root(spark: SparkSession) -> str:
     """A folder of this application below spark.checkpoint.dir; a temporary one only where a local master has none set."""
     on_path()
+    tuned(spark)
     app = spark.sparkContext.applicationId
     if app not in _roots:
         base = spark.conf.get("spark.checkpoint.dir", None)

@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from perigee.functions import tle
 from perigee.functions.tle import SPARK
 from perigee.operators import records
 
@@ -75,3 +76,24 @@ def test_cleaning_twice_changes_nothing(spark):
     first = routed(spark, ["  " + L1, L2 + "\r", L1[:68], L2[:68]], rebuild=True)
     again = routed(spark, [x for r in first for x in (r.line1, r.line2)])
     assert all(r.clean for r in again) and [(r.line1, r.line2) for r in again] == [(r.line1, r.line2) for r in first]
+
+
+def test_body_by_text_is_layout_and_ranges_by_number(spark):
+    """Random lines at and around every bound: comparing texts gives what comparing numbers gives."""
+    rng, rows = random.Random(9), []
+    for _ in range(4000):
+        line1, line2 = list(L1), list(L2)
+        for line, spans in ((line1, ((20, 32),)), (line2, ((8, 16), (17, 25), (34, 42), (43, 51), (52, 63)))):
+            for a, b in spans:
+                if rng.random() < 0.5:
+                    point, n = "".join(line[a:b]).index("."), b - a
+                    whole = rng.choice((rng.choice(("0", "179", "180", "359", "360", "366", "367", "", "1", "00", "99")), "1 2", "  ", "2 "))[-point:].rjust(point)
+                    line[a:b] = whole + "." + rng.choice(("0" * (n - point - 1), "0" * (n - point - 2) + "1", "9" * (n - point - 1)))
+            if rng.random() < 0.1:
+                line[rng.randrange(68)] = rng.choice(" 0A.-+x")
+        rows.append(("".join(line1), "".join(line2)))
+    spark.createDataFrame(rows, "a string, b string").createOrReplaceTempView("test_bodies")
+    both = lambda c, n: f"(CASE WHEN {tle.layout_ok(SPARK, c, n)} THEN {tle.semantic_ok(c, n)} ELSE false END)"
+    found = spark.sql(f"SELECT {tle.body_ok(SPARK, 'a', 1)} AS a1, {both('a', 1)} AS a2, {tle.body_ok(SPARK, 'b', 2)} AS b1, {both('b', 2)} AS b2 FROM test_bodies").collect()
+    assert all(r.a1 == r.a2 and r.b1 == r.b2 for r in found)
+    assert 400 < sum(r.a1 for r in found) < 3800 and 100 < sum(r.b1 for r in found) < 3000
