@@ -15,27 +15,48 @@ from perigee.llm.common import materialize, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Trains on the labels of docs and keeps the documents that score at least 0.3."""
+    """Trains on the labels of docs and keeps the documents that score at least 0.3.
+
+    Rows go or stay one by one, each by its own text, with all columns as they were: repeated rows alike, a null or empty
+    text by the bias alone, a null id like any other (it is never trained on). Without labels every row scores 0.5 and
+    stays. A column of any name passes through.
+    """
     return quality.keep_good(docs, quality.train(docs, table(spark, sf_dir, "labels")), 0.3)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes repeated and nearly repeated lines out of the texts; every document stays, n_chars follows its text."""
+    """Takes repeated and nearly repeated lines out of the texts; every document stays, n_chars follows its text.
+
+    Of equal or near lines the earliest stays, by (doc_id, line number), a null id before all others; rows that share an id
+    share their places, so repeated rows keep the same lines. A null text stays null; a text all of whose lines go is empty.
+    """
     return lines.dedup_lines(docs, count_col="n_chars")
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8 or more) stays, that with the smallest id."""
+    """One document of each group of near copies (five-word shingles, similarity 0.8 or more) stays, that with the smallest id.
+
+    Null ids come last; of rows that share an id, the one whose text hashes lowest stays; of equal rows, one. Null and empty
+    texts, and those without words, are one group. The row that stays is as it was.
+    """
     return simhash.keep_one(docs, size=5, similarity=0.8)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a benchmark item is found go."""
+    """Documents in which a benchmark item is found go.
+
+    Each row is judged by its own text, whatever ids it shares; a null or empty text contains nothing and stays; an item
+    without tokens is never found; an empty benchmark takes nothing.
+    """
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the packed sequences."""
+    """The pieces of the packed sequences.
+
+    Every row is a document of its own, repeated rows and null ids too; a null or empty text is its end token alone. An
+    empty table gives no pieces.
+    """
     pieces = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
     return pieces.select(F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
