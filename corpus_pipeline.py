@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from perigee.llm import decontaminate, lines, packing, quality, simhash
-from perigee.llm.common import materialize, table
+from perigee.llm.common import materialize, small_batches, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,6 +21,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     text by the bias alone, a null id like any other (it is never trained on). Without labels every row scores 0.5 and
     stays. A column of any name passes through.
     """
+    small_batches(spark)
     return quality.keep_good(docs, quality.train(docs, table(spark, sf_dir, "labels")), 0.3)
 
 
@@ -39,6 +40,7 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Null ids come last; of rows that share an id, the one whose text hashes lowest stays; of equal rows, one. Null and empty
     texts, and those without words, are one group. The row that stays is as it was.
     """
+    small_batches(spark)
     return simhash.keep_one(docs, size=5, similarity=0.8)
 
 
@@ -57,6 +59,7 @@ def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Every row is a document of its own, repeated rows and null ids too; a null or empty text is its end token alone. An
     empty table gives no pieces.
     """
+    small_batches(spark)
     pieces = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
     return pieces.select(F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 

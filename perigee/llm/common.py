@@ -12,6 +12,15 @@ from pyspark.sql import functions as F
 from perigee import on_path
 
 _roots: dict[str, str] = {}
+#: Size of the Arrow batches that Python workers are handed, about. Spark's own bound is 64 MB: a worker holds a batch and
+#: what it makes of it, the executor the buffers that it fills.
+BATCH = "8m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the batches of long texts. Sessions that have another bound than Spark's own keep it."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "64m") == "64m":
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
 
 
 def shared_dir(spark: SparkSession) -> str:

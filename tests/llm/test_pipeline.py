@@ -4,6 +4,7 @@ import sys
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -60,3 +61,25 @@ def test_run_equals_its_stages_and_odd_rows(spark):
     for some in (docs, docs.limit(0)):
         for _, stage in corpus_pipeline.STAGES:
             some = spark.createDataFrame((out := stage(spark, some, SF)).collect(), out.schema)
+
+
+def test_stages_bound_the_batches_of_long_texts(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("ten bytes "), 1000).alias("text"))
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes], pa.int64())], names=["n"])
+
+    few = spark.read.parquet(f"{SF}/documents.parquet").limit(3)
+    try:
+        for _, stage in (corpus_pipeline.STAGES[k] for k in (0, 2, 4)):
+            spark.conf.unset(key)
+            stage(spark, few, SF)
+            found = [r.n for r in docs.mapInArrow(sizes, "n long").collect()]
+            assert sum(found) > 30_000_000 and max(found) < 9_000_000
+        spark.conf.set(key, "16m")
+        corpus_pipeline.sequence_packing(spark, few, SF)
+        assert spark.conf.get(key) == "16m"
+    finally:
+        spark.conf.unset(key)
