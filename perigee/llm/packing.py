@@ -131,7 +131,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 4096, end_id: int = 2, i
     fields = [T.StructField("id", done.schema["id"].dataType), *(T.StructField(c, T.LongType()) for c in ("start", "length")), T.StructField("ids", T.BinaryType()), *(T.StructField(c, T.LongType()) for c in ("doc_tokens", "sequence_id", "offset"))]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(k, 128) for b in batches for k in range(0, b.num_rows, 128)):
             at = base[np.searchsorted(parts, batch.column(0).to_numpy())] + batch.column(1).to_numpy()
             n = batch.column(3).to_numpy()
             pieces = (at + n - 1) // length - at // length + 1
