@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +18,11 @@ _roots: dict[str, str] = {}
 #: Size of the Arrow batches that Python workers are handed, about. Spark's own bound is 64 MB: a worker holds a batch and
 #: what it makes of it, the executor the buffers that it fills.
 BATCH = "8m"
+#: Whether Spark removes an execution's shuffle files as it ends. Only a plan that is executed again would miss them.
+FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_lock = threading.Lock()
+#: By session: the writes under way, and the setting before them.
+_writing: dict[int, tuple[int, str | None]] = {}
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -51,11 +59,37 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+@contextmanager
+def _freeing(spark: SparkSession) -> Iterator[None]:
+    """While it holds, an execution's shuffle files go as it ends, not when the driver next collects its garbage.
+
+    Threads on one session may overlap: the last one out restores the setting.
+    """
+    session = spark._jsparkSession.hashCode()
+    with _lock:
+        if session not in _writing:
+            _writing[session] = (0, spark.conf.get(FREE, None))
+            spark.conf.set(FREE, "true")
+        _writing[session] = (_writing[session][0] + 1, _writing[session][1])
+    try:
+        yield
+    finally:
+        with _lock:
+            n, before = _writing.pop(session)
+            if n > 1:
+                _writing[session] = (n - 1, before)
+            elif before is None:
+                spark.conf.unset(FREE)
+            else:
+                spark.conf.set(FREE, before)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Writes the rows once to the shared folder and reads them back: lineage ends there, a lost executor costs a reread."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with _freeing(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -8,9 +8,9 @@ drop others even where it is dropped itself. Earlier means a smaller (doc_id, li
 
 Only DataFrame expressions are used. Steps: hash each line's words and find each distinct line's first place; keep
 lines that share their first or last half with another line of about their length (a line within one edit always
-does); for those, emit all variants with at most one word left out as hashed keys; join equal variants through each
-key's earliest line, so a group of thousands of copies gives one witness a key and never its pairs; verify the
-edit distance of each witness on the words themselves.
+does); for those, emit all variants with at most one word left out as hashed keys; name each variant its key's earliest
+line, so a group of thousands of copies gives one witness a key and never its pairs; verify the edit distance of each
+witness on the words themselves. Distinct lines have a number, which stands for their hashes while variants are dealt.
 
 Keys: a word's hash is salted with its position, and a line's hash is the exclusive-or of them. Leaving word i out
 without closing the gap finds replacements; closing it (what follows moves by one) finds insertions and deletions.
@@ -23,7 +23,7 @@ whatever their names, pass through.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from perigee.llm.common import materialize
@@ -60,8 +60,8 @@ def _halves(s: Column, size: Column) -> list[Column]:
 
 
 def _variants(near: DataFrame) -> DataFrame:
-    """A row for each variant: key, role (y: compares with any; x: a word was left out and the gap closed)."""
-    rows = near.select("i1", "i2", "first", "len", "w", F.aggregate(F.transform("w", lambda w, i: F.xxhash64(w, i)), F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x)).alias("all"))
+    """A row for each variant: key, closed (a word was left out and the gap closed; all others compare with any)."""
+    rows = near.select("line", "first", "len", "w", F.aggregate(F.transform("w", lambda w, i: F.xxhash64(w, i)), F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x)).alias("all"))
     # upto[i]: exclusive-or, over the words up to and with i, of a word's hashes at its place and one before it; made
     # block by block, so that the arrays that grow stay short.
     moved = F.transform("w", lambda w, i: F.xxhash64(w, i).bitwiseXOR(F.xxhash64(w, i - 1)))
@@ -69,7 +69,7 @@ def _variants(near: DataFrame) -> DataFrame:
     blocks = F.transform(F.sequence(F.lit(0), F.shiftright(F.col("len") - 1, 7)), lambda k: F.slice("m", k * BLOCK + 1, F.lit(BLOCK)))
     run = lambda part: F.aggregate(part, F.array(F.lit(0).cast("long")), lambda acc, x: F.array_append(acc, F.element_at(acc, -1).bitwiseXOR(x)))
     rows = rows.withColumn("runs", F.transform(blocks, run)).withColumn("before", run(F.transform("runs", lambda r: F.element_at(r, -1))))
-    holes = rows.select("i1", "i2", "first", "len", "all", "w", "runs", "before", F.explode(F.sequence(F.lit(-1), F.col("len") - 1)).alias("i"))
+    holes = rows.select("line", "first", "len", "all", "w", "runs", "before", F.explode(F.sequence(F.lit(-1), F.col("len") - 1)).alias("i"))
     own = F.xxhash64(F.get("w", F.col("i")), "i")
     block = F.shiftright("i", 7)
     upto = F.get("before", block).bitwiseXOR(F.get(F.get("runs", block), F.col("i") - block * BLOCK + 1))
@@ -77,8 +77,8 @@ def _variants(near: DataFrame) -> DataFrame:
     closed = hole.bitwiseXOR(F.element_at("before", -1)).bitwiseXOR(upto)
     # Place -1 stands for the whole line.
     keys = F.when(F.col("i") < 0, F.array(F.xxhash64(F.lit("d"), "len", "all"))).otherwise(F.array(F.xxhash64(F.lit("s"), "len", "i", hole), F.xxhash64(F.lit("d"), F.col("len") - 1, closed)))
-    out = holes.select("i1", "i2", "first", F.posexplode(keys).alias("x", "key"))
-    return out.select("i1", "i2", "first", "key", F.when(F.col("x") == 1, "x").otherwise("y").alias("role")).where("key is not null")
+    out = holes.select("line", "first", F.posexplode(keys).alias("x", "key"))
+    return out.select("line", "first", "key", (F.col("x") == 1).alias("closed")).where("key is not null")
 
 
 def _within_one(a: Column, b: Column) -> Column:
@@ -99,36 +99,41 @@ def _dropped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     sized = lines.withColumn("len", size)
     halves = [h.alias(f"h{k}") for k, h in enumerate(_halves(F.col("s"), F.col("len")))]
     sized = sized.select("d", "n", "i1", "i2", "len", *halves)
-    distinct = materialize(sized.groupBy("i1", "i2").agg(F.min(F.struct("d", "n")).alias("first"), F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("len", "h0", "h1", "h2", "h3"))))
+    distinct = sized.groupBy("i1", "i2").agg(F.min(F.struct("d", "n")).alias("first"), F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("len", "h0", "h1", "h2", "h3")))
+    # The number is written with the line, so all that reads the table sees the same.
+    distinct = materialize(distinct.withColumn("line", F.monotonically_increasing_id()))
 
-    halves = distinct.where(F.col("len") >= MIN_WORDS - 1).select("i1", "i2", F.explode(F.array("h0", "h1", "h2", "h3")).alias("key")).where("key is not null")
+    halves = distinct.where(F.col("len") >= MIN_WORDS - 1).select("line", F.explode(F.array("h0", "h1", "h2", "h3")).alias("key")).where("key is not null")
     # What rows are joined with by a key that may be frequent is written before: such a join can be split. These tables
     # grow with the input, so they are never broadcast, not even where they are still small.
     shared = materialize(halves.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"))
-    able = halves.join(shared.hint("merge"), "key", "left_semi").select("i1", "i2").distinct()
-    able = distinct.join(able, ["i1", "i2"], "left_semi").select(F.col("i1").alias("j1"), F.col("i2").alias("j2"), "first")
+    able = halves.join(shared.hint("merge"), "key", "left_semi").select("line").distinct()
+    # Written, so that the shuffles of halves are gone when texts are shuffled.
+    able = materialize(distinct.join(able, "line", "left_semi").select("line", F.col("i1").alias("j1"), F.col("i2").alias("j2"), "first"))
     # Their words, from the document that has them first: a document's list is no longer than the document.
-    places = able.groupBy(F.col("first.d").alias("at")).agg(F.collect_list(F.struct(F.col("first.n").alias("n"), "j1", "j2")).alias("at_lines"))
+    places = able.groupBy(F.col("first.d").alias("at")).agg(F.collect_list(F.struct(F.col("first.n").alias("n"), "line", "j1", "j2")).alias("at_lines"))
     texts = docs.select(F.col(id_col).alias("d"), F.col(text_col).cast("string").alias("text"))
     # The split stands below the explode: one for each document, not one for each of its lines.
     near = texts.join(places, F.col("d").eqNullSafe(F.col("at"))).select("d", F.split("text", "\n").alias("lines"), "at_lines")
     near = near.select("d", "lines", F.explode("at_lines").alias("p"))
-    near = near.select(F.struct("d", F.col("p.n").alias("n")).alias("first"), "p.j1", "p.j2", normal(F.get("lines", F.col("p.n"))).alias("s"))
+    near = near.select(F.struct("d", F.col("p.n").alias("n")).alias("first"), "p.line", "p.j1", "p.j2", normal(F.get("lines", F.col("p.n"))).alias("s"))
     near = near.where((F.xxhash64("s") == F.col("j1")) & (F.xxhash64(F.lit(7), "s") == F.col("j2"))).withColumn("w", F.split("s", " "))
-    near = materialize(near.select(F.col("j1").alias("i1"), F.col("j2").alias("i2"), "first", "w", F.size("w").alias("len")).dropDuplicates(["i1", "i2"]))
+    near = materialize(near.select("line", "first", "w", F.size("w").alias("len")).dropDuplicates(["line"]))
 
-    variants = _variants(near).repartition("key")
-    least = variants.groupBy("key").agg(F.min(F.when(F.col("role") == "y", F.struct("first", "i1", "i2"))).alias("y"), F.min(F.when(F.col("role") == "x", F.struct("first", "i1", "i2"))).alias("x"), F.count("*").alias("c")).where("c > 1")
+    # A window, as a join of the variants with their minima would make and deal them twice. Dealt before it, without the
+    # structs that it compares.
+    least = lambda closed: F.min(F.when(F.col("closed") == closed, F.struct("first", "line"))).over(Window.partitionBy("key"))
+    variants = _variants(near).repartition("key").select("line", "first", "closed", least(False).alias("y"), least(True).alias("x"))
     # A replaced word: any member of the key. A closed gap: the whole line that it equals, or the earliest longer one.
-    witness = F.when(F.col("role") == "x", F.col("y")).when(F.col("y.first") < F.col("first"), F.col("y")).otherwise(F.col("x"))
-    hits = variants.join(least, "key").withColumn("by", witness).where(F.col("by.first") < F.col("first"))
-    hits = hits.groupBy("i1", "i2", F.col("by.i1").alias("k1"), F.col("by.i2").alias("k2")).agg(F.min("by.first").alias("by"))
-    words = near.select(F.col("i1").alias("k1"), F.col("i2").alias("k2"), F.col("w").alias("kw"))
-    checked = hits.join(near.select("i1", "i2", "w"), ["i1", "i2"]).join(words, ["k1", "k2"])
+    witness = F.when(F.col("closed"), F.col("y")).when(F.col("y.first") < F.col("first"), F.col("y")).otherwise(F.col("x"))
+    hits = variants.withColumn("by", witness).where(F.col("by.first") < F.col("first"))
+    hits = hits.groupBy("line", F.col("by.line").alias("k")).agg(F.min("by.first").alias("by"))
+    words = near.select(F.col("line").alias("k"), F.col("w").alias("kw"))
+    checked = hits.join(near.select("line", "w"), "line").join(words, "k")
     checked = checked.where((F.greatest(F.size("w"), F.size("kw")) >= MIN_WORDS) & _within_one(F.col("w"), F.col("kw")))
-    keeper = materialize(checked.groupBy("i1", "i2").agg(F.min("by").alias("by")))
+    keeper = materialize(checked.groupBy("line").agg(F.min("by").alias("by")))
 
-    marked = distinct.join(keeper, ["i1", "i2"], "left").where("n > 1 or by is not null")
+    marked = distinct.join(keeper.hint("merge"), "line", "left").where("n > 1 or by is not null")
     marked = materialize(marked.select(F.col("i1").alias("k1"), F.col("i2").alias("k2"), "first", "by"))
     own = F.struct("d", "n")
     out = lines.select("d", "n", "i1", "i2").join(marked.hint("merge"), (F.col("i1") == F.col("k1")) & (F.col("i2") == F.col("k2")))

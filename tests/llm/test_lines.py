@@ -1,9 +1,10 @@
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
-from perigee.llm import lines
+from perigee.llm import common, lines
 
 
 def words(line):
@@ -92,3 +93,47 @@ def test_many_near_copies_do_not_pair(spark):
 def test_real_lines(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     assert run(spark, docs)[1] == brute(docs)
+
+
+def shuffle_files(spark):
+    found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {name for i in range(found.size()) if (name := found.apply(i).getName()).startswith("shuffle_")}
+
+
+def test_shuffle_files_go_with_their_step(spark):
+    docs = spark.createDataFrame([(i, f"one two three four {i} six seven\nonce {i}") for i in range(300)], "doc_id long, text string")
+    before, setting = shuffle_files(spark), spark.conf.get(common.FREE, None)
+    lines.dropped_lines(docs)  # all steps but the last, which the caller runs
+    end = time.time() + 20
+    while (left := shuffle_files(spark) - before) and time.time() < end:
+        time.sleep(0.2)
+    assert not left and spark.conf.get(common.FREE, None) == setting
+
+
+def test_overlapping_writes_restore_the_setting(spark):
+    setting = spark.conf.get(common.FREE, None)
+    try:
+        for value in ("false", "true"):
+            spark.conf.set(common.FREE, value)
+            one, other = common._freeing(spark), common._freeing(spark)
+            one.__enter__()
+            other.__enter__()
+            one.__exit__(None, None, None)
+            assert spark.conf.get(common.FREE) == "true"
+            other.__exit__(None, None, None)
+            assert spark.conf.get(common.FREE) == value
+    finally:
+        spark.conf.unset(common.FREE) if setting is None else spark.conf.set(common.FREE, setting)
+
+
+def test_variants_are_made_once(spark, monkeypatch):
+    plans = []
+
+    def kept(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return common.materialize(df)
+
+    monkeypatch.setattr(lines, "materialize", kept)
+    lines.dropped_lines(spark.createDataFrame([(1, "a b c d e"), (2, "a b c d f")], "doc_id long, text string"))
+    # Lines are made by the first step, variants by the last but none: each by one such node.
+    assert [p.count("posexplode(") for p in plans if "posexplode(" in p] == [1, 1]
